@@ -91,7 +91,7 @@ Rule = PeakRule | RatioRule
 
 
 def _signals(layout: Layout, x: Column, value: str, windows: Sequence[int], dense: bool, rule: Rule, fit: bool) -> Layout:
-    layout = ols_columns(layout, x, value, windows, dense, fit)
+    layout = ols_columns(layout, x, value, windows, dense, ("r2",) if fit else ())
     if rule.slope_digits is not None:
         layout = layout.add({f"slope_{w}": F.round(f"slope_{w}", rule.slope_digits) for w in windows})
     signal = {
@@ -154,7 +154,7 @@ def detect(
         ]
     )
     rows = layout.with_rows(layout.df.withColumn("_level", levels)).finish()
-    wide = [f"{c}_{w}" for w in windows for c in ("slope", "signal", "rollmax", "cp", "r2", "sigma", "intercept")]
+    wide = [f"{c}_{w}" for w in windows for c in ("slope", "signal", "rollmax", "cp", "r2")]
     return rows.drop(*wide).select("*", F.inline("_level")).drop("_level")
 
 
@@ -351,7 +351,7 @@ def rolling_fit_stats(
     keys = keys_of(keys)
     dense = index is not None and index == t
     layout = lay_out(df, keys, t, before=w, index=index, block_rows=block_rows)
-    layout = ols_columns(layout, axis_value(df, t, x_unit), value, [w], dense, fit=True)
+    layout = ols_columns(layout, axis_value(df, t, x_unit), value, [w], dense, ("r2", "sigma"))
     stats = F.array(
         F.struct(F.lit("sigmas").alias("statistics"), F.col(f"sigma_{w}").alias("value")),
         F.struct(F.lit("r.squareds").alias("statistics"), F.col(f"r2_{w}").alias("value")),

@@ -32,14 +32,15 @@ def is_daily(df: DataFrame, t: str) -> bool:
     return isinstance(df.schema[t].dataType, T.DateType)
 
 
-def position(df: DataFrame, t: str) -> Column:
-    """The axis as a long: microseconds, days, or the integer itself."""
+def position(df: DataFrame, t: str, c: Column | None = None) -> Column:
+    """The axis ``t`` (or ``c``, of the same type) as a long: microseconds, days, or the integer."""
     kind = df.schema[t].dataType
+    c = F.col(t) if c is None else c
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(t).cast("timestamp"))
+        return F.unix_micros(c.cast("timestamp"))
     if isinstance(kind, T.DateType):
-        return F.unix_date(F.col(t)).cast("long")
-    return F.col(t).cast("long")
+        return F.unix_date(c).cast("long")
+    return c.cast("long")
 
 
 def _numbered(window: WindowSpec, order: Sequence[str]) -> Column:

@@ -11,64 +11,88 @@ from ..functions.aggregates import pearson, rmse
 from .layout import BLOCK_ROWS, is_daily, keys_of, position
 
 
+def _around(
+    df: DataFrame, keys: list[str], t: str, knot: Column, bin_width: int, first: Sequence[str] = ()
+) -> DataFrame:
+    """Add the knots (t, v) at or before and at or after each row as ``_prev`` and ``_next``.
+
+    ``knot`` is NULL on rows that are none; ``first`` orders rows at the same place.  Rows look for
+    knots within their bin of the axis; where there is none, the bin's carried knot is used, found
+    on a table of one row per bin.  A daily axis needs no bins.
+    """
+    place = list(keys)
+    df = df.withColumn("_knot", knot)
+    binned = not is_daily(df, t)
+    if binned:
+        df = df.withColumn("_bin", F.floor(position(df, t) / bin_width))
+        place.append("_bin")
+
+    def last_seen(window, c: str, to: int = 0) -> Column:
+        return F.last(c, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, to))
+
+    inside = Window.partitionBy(*place)
+    seen = df.withColumns(
+        {
+            "_prev": last_seen(inside.orderBy(t, *first), "_knot"),
+            "_next": last_seen(inside.orderBy(F.col(t).desc(), *first), "_knot"),
+        }
+    )
+    if binned:
+        by_bin = Window.partitionBy(*keys)
+        carried = (
+            df.groupBy(*place)
+            .agg(F.min("_knot").alias("_first"), F.max("_knot").alias("_last"))
+            .select(
+                *place,
+                last_seen(by_bin.orderBy("_bin"), "_last", -1).alias("_carry_prev"),
+                last_seen(by_bin.orderBy(F.col("_bin").desc()), "_first", -1).alias("_carry_next"),
+            )
+        )
+        seen = (
+            seen.join(carried, place)
+            .withColumns({"_prev": F.coalesce("_prev", "_carry_prev"), "_next": F.coalesce("_next", "_carry_next")})
+            .drop("_bin", "_carry_prev", "_carry_next")
+        )
+    return seen.drop("_knot")
+
+
+def _line(df: DataFrame, t: str) -> Column:
+    """The straight line between the neighbouring knots at the row's place."""
+    at, a, b = (position(df, t, c) for c in (F.col(t), F.col("_prev.t"), F.col("_next.t")))
+    share = F.try_divide((at - a).cast("double"), (b - a).cast("double"))
+    return F.when(a == b, F.col("_prev.v")).otherwise(
+        F.col("_prev.v") + share * (F.col("_next.v") - F.col("_prev.v"))
+    )
+
+
 def knots_around(
     grid: DataFrame,
     knots: DataFrame,
     keys: str | Sequence[str],
     t: str,
     value: str = "value",
+    name: str | None = None,
     bin_width: int = BLOCK_ROWS,
 ) -> DataFrame:
     """For each grid row the knot at or before it and the knot at or after it.
 
-    Adds prev_t, prev_value, next_t, next_value (NULL beyond the outer knots).  Rows look for knots
-    within their bin of the axis; where there is none, the bin's carried knot is used, found on a
-    table of one row per bin.  A daily axis needs no bins.
+    Gives prev_t, prev_value, next_t, next_value (NULL beyond the outer knots) and, as ``name``,
+    the line between them.
     """
     keys = keys_of(keys)
     rows = grid.select(*keys, t, F.lit(None).cast("double").alias("_v"), F.lit(True).alias("_grid"))
     marks = knots.select(*keys, t, F.col(value).cast("double").alias("_v"), F.lit(False).alias("_grid"))
     both = rows.unionByName(marks.filter(F.col("_v").isNotNull()))
-    binned = not is_daily(grid, t)
-    place = list(keys)
-    if binned:
-        both = both.withColumn("_bin", F.floor(position(both, t) / bin_width))
-        place.append("_bin")
     knot = F.when(~F.col("_grid"), F.struct(F.col(t).alias("t"), F.col("_v").alias("v")))
-    # At the same place a knot comes before the grid row in either direction.
-    ahead = Window.partitionBy(*place).orderBy(F.col(t), F.col("_grid"))
-    back = Window.partitionBy(*place).orderBy(F.col(t).desc(), F.col("_grid"))
-
-    def last_seen(window, c: Column, to: int = 0) -> Column:
-        return F.last(c, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, to))
-
-    both = both.withColumns({"_prev": last_seen(ahead, knot), "_next": last_seen(back, knot)})
-    if binned:
-        point = F.struct(F.col(t).alias("t"), F.col(value).cast("double").alias("v"))
-        bins = both.select(*place).distinct()
-        ends = (
-            knots.filter(F.col(value).isNotNull())
-            .withColumn("_bin", F.floor(position(knots, t) / bin_width))
-            .groupBy(*place)
-            .agg(F.min(point).alias("_first"), F.max(point).alias("_last"))
-        )
-        by_bin = Window.partitionBy(*keys)
-        carried = bins.join(ends, place, "left").select(
-            *place,
-            last_seen(by_bin.orderBy("_bin"), F.col("_last"), -1).alias("_carry_prev"),
-            last_seen(by_bin.orderBy(F.col("_bin").desc()), F.col("_first"), -1).alias("_carry_next"),
-        )
-        both = both.join(carried, place).withColumns(
-            {"_prev": F.coalesce("_prev", "_carry_prev"), "_next": F.coalesce("_next", "_carry_next")}
-        )
-    return both.filter("_grid").select(
-        *keys,
-        t,
-        F.col("_prev.t").alias("prev_t"),
-        F.col("_prev.v").alias("prev_value"),
-        F.col("_next.t").alias("next_t"),
-        F.col("_next.v").alias("next_value"),
-    )
+    # At the same place a knot comes before the grid row, in either direction.
+    around = _around(both, keys, t, knot, bin_width, first=["_grid"]).filter("_grid")
+    ends = [
+        F.col(f"_{side}.{field}").alias(f"{side}_{text}")
+        for side in ("prev", "next")
+        for field, text in (("t", "t"), ("v", "value"))
+    ]
+    line = [_line(around, t).alias(name)] if name else []
+    return around.select(*keys, t, *ends, *line)
 
 
 def interpolate_linear(
@@ -81,14 +105,7 @@ def interpolate_linear(
     bin_width: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Straight lines between neighbouring knots on the grid; NULL outside the outer knots."""
-    keys = keys_of(keys)
-    around = knots_around(grid, knots, keys, t, value, bin_width)
-    at, a, b = position(around, t), position(around, "prev_t"), position(around, "next_t")
-    share = F.try_divide((at - a).cast("double"), (b - a).cast("double"))
-    line = F.when(a == b, F.col("prev_value")).otherwise(
-        F.col("prev_value") + share * (F.col("next_value") - F.col("prev_value"))
-    )
-    return around.select(*keys, t, line.alias(name))
+    return knots_around(grid, knots, keys, t, value, name, bin_width).select(*keys_of(keys), t, name)
 
 
 def reconstruct(
@@ -98,11 +115,12 @@ def reconstruct(
     value: str = "value",
     cp: str = "cp",
     name: str = "approx_value",
+    bin_width: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The series with the line through its own flagged points beside it; keys may hold a level."""
-    keys = keys_of(keys)
-    lines = interpolate_linear(df.filter(F.col(cp)), df, keys, t, value, name)
-    return df.join(lines, [*keys, t], "left")
+    knot = F.when(F.col(cp), F.struct(F.col(t).alias("t"), F.col(value).cast("double").alias("v")))
+    around = _around(df, keys_of(keys), t, knot, bin_width)
+    return around.withColumn(name, _line(around, t)).drop("_prev", "_next")
 
 
 def score_reconstruction(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import as_column
@@ -84,9 +84,9 @@ def ols_columns(
     c: str,
     windows: Sequence[int],
     dense: bool,
-    fit: bool = False,
+    fit: Sequence[str] = (),
 ) -> Layout:
-    """Add ``slope_<w>`` for each width (with ``fit`` also intercept_, r2_ and sigma_).
+    """Add ``slope_<w>`` for each width; ``fit`` names further columns: r2, sigma, intercept.
 
     ``dense`` says that x counts rows, which lets wide frames use running sums: Spark sums a
     sliding frame anew at each row, so running sums cost O(n) instead of O(n w).
@@ -98,23 +98,21 @@ def ols_columns(
         layout = layout.add({"_x": x})
         for w in narrow:
             frame = layout.trailing(w)
-            slope = when_full(c, F.regr_slope(c, "_x").over(frame), layout, w)
-            columns[f"slope_{w}"] = slope
-            if fit:
-                columns[f"intercept_{w}"] = when_full(c, F.regr_intercept(c, "_x").over(frame), layout, w)
-                sxx, syy = F.regr_sxx(c, "_x").over(frame), F.regr_syy(c, "_x").over(frame)
-                sxy = F.regr_sxy(c, "_x").over(frame)
-                columns[f"r2_{w}"] = when_full(c, F.try_divide(sxy * sxy, sxx * syy), layout, w)
-                rest = syy - F.try_divide(sxy * sxy, sxx)
-                if w > 2:
-                    sigma = F.sqrt(F.greatest(rest, F.lit(0.0)) / F.lit(float(w - 2)))
-                    columns[f"sigma_{w}"] = when_full(c, sigma, layout, w)
-                else:
-                    columns[f"sigma_{w}"] = F.lit(None).cast("double")
+            sxy, sxx = F.regr_sxy(c, "_x").over(frame), F.regr_sxx(c, "_x").over(frame)
+            syy = F.regr_syy(c, "_x").over(frame)
+            rest = F.greatest(syy - F.try_divide(sxy * sxy, sxx), F.lit(0.0))
+            parts = {
+                "slope": F.try_divide(sxy, sxx),
+                "intercept": F.regr_intercept(c, "_x").over(frame),
+                "r2": F.try_divide(sxy * sxy, sxx * syy),
+                "sigma": F.sqrt(F.try_divide(rest, F.lit(float(w - 2)))),
+            }
+            for name in ("slope", *fit):
+                columns[f"{name}_{w}"] = when_full(c, parts[name], layout, w)
     if wide:
         layout = _running_sums(layout, x, c)
         for w in wide:
-            columns.update(_dense_fit(layout, c, w, fit))
+            columns.update(_dense_fit(layout, w, fit))
     return layout.with_rows(layout.df.withColumns(columns).drop("_x", *_SUMS))
 
 
@@ -136,7 +134,7 @@ def _running_sums(layout: Layout, x: Column, c: str) -> Layout:
     )
 
 
-def _dense_fit(layout: Layout, c: str, w: int, fit: bool) -> dict[str, Column]:
+def _dense_fit(layout: Layout, w: int, fit: Sequence[str]) -> dict[str, Column]:
     def over_frame(name: str) -> Column:
         return F.col(name) - F.coalesce(F.lag(name, w).over(layout.window), F.lit(0))
 
@@ -146,15 +144,16 @@ def _dense_fit(layout: Layout, c: str, w: int, fit: bool) -> dict[str, Column]:
     sy = over_frame("_sy")
     sxy = over_frame("_sxy") - centre * sy
     slope = sxy / F.lit(sxx)
-    out = {f"slope_{w}": F.when(full, slope)}
-    if fit:
-        syy = F.greatest(over_frame("_syy") - sy * sy / F.lit(float(w)), F.lit(0.0))
-        mean_x = F.col("_x") - F.lit((w - 1) / 2.0)
-        out[f"intercept_{w}"] = F.when(full, F.col("_y0") + sy / F.lit(float(w)) - slope * mean_x)
-        out[f"r2_{w}"] = F.when(full, F.try_divide(sxy * sxy, F.lit(sxx) * syy))
-        rest = F.greatest(syy - slope * slope * F.lit(sxx), F.lit(0.0))
-        out[f"sigma_{w}"] = F.when(full, F.sqrt(rest / F.lit(float(w - 2))))
-    return out
+    syy = F.greatest(over_frame("_syy") - sy * sy / F.lit(float(w)), F.lit(0.0))
+    mean_x = F.col("_x") - F.lit((w - 1) / 2.0)
+    rest = F.greatest(syy - slope * slope * F.lit(sxx), F.lit(0.0))
+    parts = {
+        "slope": slope,
+        "intercept": F.col("_y0") + sy / F.lit(float(w)) - slope * mean_x,
+        "r2": F.try_divide(sxy * sxy, F.lit(sxx) * syy),
+        "sigma": F.sqrt(rest / F.lit(float(w - 2))),
+    }
+    return {f"{name}_{w}": F.when(full, parts[name]) for name in ("slope", *fit)}
 
 
 def rolling_ols(
@@ -177,7 +176,7 @@ def rolling_ols(
         block_rows = min(block_rows, max(RUNNING_BLOCK_ROWS, 8 * w))
     x = axis_value(df, t, x_unit)
     layout = lay_out(df, keys, t, before=w, index=index, block_rows=block_rows)
-    layout = ols_columns(layout, x, c, [w], dense, fit=True)
+    layout = ols_columns(layout, x, c, [w], dense, ("intercept", "r2", "sigma"))
     forecast = F.lag(f"intercept_{w}").over(layout.window) + F.lag(f"slope_{w}").over(layout.window) * x
     out = layout.add({"forecast": forecast}).finish()
     return out.withColumnsRenamed({f"{n}_{w}": n for n in ("slope", "intercept", "r2", "sigma")})
@@ -274,10 +273,11 @@ def kernel_smooth(
         F.when(offset <= reach, home - 1),
     )
     out = out.withColumn("_bin", F.explode(F.array_compact(copies))).withColumn("_home", F.col("_bin") == home)
-    near = Window.partitionBy(*keys, "_bin").orderBy("_x").rangeBetween(-reach, reach)
-    out = out.withColumn(
-        "_near", F.collect_list(F.when(F.col(c).isNotNull(), F.struct("_x", F.col(c).alias("_y")))).over(near)
-    )
+    out = out.withColumn("_pair", F.when(F.col(c).isNotNull(), F.struct("_x", F.col(c).cast("double").alias("_y"))))
+    # A range frame with fractional bounds exists in SQL text only.
+    place = ", ".join(f"`{k}`" for k in (*keys, "_bin"))
+    near = f"RANGE BETWEEN {reach!r}D PRECEDING AND {reach!r}D FOLLOWING"
+    out = out.withColumn("_near", F.expr(f"collect_list(_pair) OVER (PARTITION BY {place} ORDER BY _x {near})"))
 
     def weight(p: Column) -> Column:
         return F.exp(-0.5 * F.pow((p["_x"] - F.col("_x")) / F.lit(sd), F.lit(2.0)))
@@ -290,4 +290,4 @@ def kernel_smooth(
         ),
         lambda acc: F.try_divide(acc["wy"], acc["w"]),
     )
-    return out.filter("_home").withColumn(name, sums).drop("_x", "_bin", "_home", "_near")
+    return out.filter("_home").withColumn(name, sums).drop("_x", "_bin", "_home", "_pair", "_near")

@@ -170,9 +170,11 @@ def _solve(pending: DataFrame, rows: DataFrame, keys: list[str], min_seg: int) -
     segmentation without changes has one row with a NULL tau.
     """
     group = [*keys, "penalty"]
+    # A fixed number of tasks: the rows are few for the work they cause, so none should be merged.
+    tasks_wanted = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = (
         rows.join(pending.select(*group), keys)
-        .repartition(*group)
+        .repartition(tasks_wanted, *group)
         .sortWithinPartitions(*group, "index")
     )
     schema = T.StructType(

@@ -247,9 +247,9 @@ def run_bau(
         if not sites:
             continue
         variables = [c for c in (*WEATHER, *CALENDAR) if has_pressure or c != "atmospheric_pressure"]
-        own = span.filter(F.col(site).isin(sites)) if len(sites) <= 1000 else span
-        models = fit_bau(train.filter(F.col(site).isin(sites)), variables, forest, site, sites, pooled)
-        fitted = model_stats(models.predict(train.filter(F.col(site).isin(sites))), site)
+        own, early = (x.filter(F.col(site).isin(sites)) for x in (span, train))
+        models = fit_bau(early, variables, forest, site, sites, pooled)
+        fitted = model_stats(models.predict(early), site)
         stats = fitted.select(site, *STATS).distinct()
         out = models.predict(own).select(site, t, "value", "value_predict").join(stats, site)
         if n_samples is not None:
