@@ -14,15 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import axis_key, uniform
 from .layout import BLOCK_ROWS, Layout, keys_of, lay_out
-from .rolling import (
-    FRAME_ROWS,
-    RUNNING_BLOCK_ROWS,
-    axis_value,
-    gradient_column,
-    kernel_smooth,
-    max_column,
-    ols_columns,
-)
+from .rolling import Fit, gradient_column, kernel_smooth, max_column
 
 
 @dataclass(frozen=True)
@@ -50,15 +42,15 @@ class PeakRule:
     def reach(self) -> tuple[int, int]:
         return self.k + 1, self.ahead + 1
 
-    def apply(self, layout: Layout, w: int) -> Layout:
-        peak, window = f"rollmax_{w}", layout.window
-        layout = layout.add({peak: max_column(f"signal_{w}", layout, self.k)})
-        later = F.lead(peak, self.ahead).over(window)
+    def apply(self, layout: Layout, windows: Sequence[int]) -> Layout:
+        layout = layout.add({f"rollmax_{w}": max_column(f"signal_{w}", layout, self.k) for w in windows})
+        return layout.add({f"cp_{w}": self._flag(f"rollmax_{w}", layout) for w in windows})
+
+    def _flag(self, peak: str, layout: Layout) -> Column:
+        later = F.lead(peak, self.ahead).over(layout.window)
         holds = F.col(peak) == later if self.plateau == "equal" else F.signum(peak) == F.signum(later)
-        flag = (F.col(peak) - F.lag(peak).over(window) > 0) & holds
-        if self.floor is not None:
-            flag = flag & (F.col(peak) > self.floor)
-        return layout.add({f"cp_{w}": flag})
+        flag = (F.col(peak) - F.lag(peak).over(layout.window) > 0) & holds
+        return flag if self.floor is None else flag & (F.col(peak) > self.floor)
 
 
 @dataclass(frozen=True)
@@ -78,20 +70,20 @@ class RatioRule:
 
     reach = (1, 1)
 
-    def apply(self, layout: Layout, w: int) -> Layout:
-        now = F.col(f"signal_{w}")
+    def apply(self, layout: Layout, windows: Sequence[int]) -> Layout:
+        return layout.add({f"cp_{w}": self._flag(F.col(f"signal_{w}"), layout) for w in windows})
+
+    def _flag(self, now: Column, layout: Layout) -> Column:
         previous = F.lag(now).over(layout.window)
         flag = (now > previous * F.lit(float(self.cp_factor))) & (previous > F.lit(float(self.epsilon)))
-        if self.rising:
-            flag = flag & (now - previous > 0)
-        return layout.add({f"cp_{w}": flag})
+        return flag & (now - previous > 0) if self.rising else flag
 
 
 Rule = PeakRule | RatioRule
 
 
-def _signals(layout: Layout, x: Column, value: str, windows: Sequence[int], dense: bool, rule: Rule, fit: bool) -> Layout:
-    layout = ols_columns(layout, x, value, windows, dense, ("r2",) if fit else ())
+def _signals(fits: Fit, windows: Sequence[int], rule: Rule, fit: bool) -> Layout:
+    layout = fits.columns(windows, ("slope", "r2") if fit else ("slope",))
     if rule.slope_digits is not None:
         layout = layout.add({f"slope_{w}": F.round(f"slope_{w}", rule.slope_digits) for w in windows})
     signal = {
@@ -100,10 +92,7 @@ def _signals(layout: Layout, x: Column, value: str, windows: Sequence[int], dens
     }
     if rule.digits is not None:
         signal = {name: F.round(c, rule.digits) for name, c in signal.items()}
-    layout = layout.add(signal)
-    for w in windows:
-        layout = rule.apply(layout, w)
-    return layout
+    return rule.apply(layout.add(signal), windows)
 
 
 def detect(
@@ -116,7 +105,7 @@ def detect(
     x_unit: str = "s",
     index: str | None = None,
     fit: bool = False,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Run one rule at several window lengths: one output row per input row and window.
 
@@ -125,20 +114,9 @@ def detect(
     Rows with a NULL value are left out first, as a fit cannot use them.
     """
     keys = keys_of(keys)
-    dense = index is not None and index == t
-    if dense and max(windows) > FRAME_ROWS:
-        block_rows = min(block_rows, max(RUNNING_BLOCK_ROWS, 8 * max(windows)))
-    before, after = rule.reach
-    layout = lay_out(
-        df.filter(F.col(value).isNotNull()),
-        keys,
-        t,
-        before=before + max(windows),
-        after=after,
-        index=index,
-        block_rows=block_rows,
-    )
-    layout = _signals(layout, axis_value(df, t, x_unit), value, windows, dense, rule, fit)
+    rows = df.filter(F.col(value).isNotNull())
+    fits = Fit.over(rows, keys, t, value, windows, rule.reach, x_unit, index, block_rows)
+    layout = _signals(fits, windows, rule, fit)
     fields = {"slope": "slope", "second_derivative": "signal", "cp": "cp"}
     if isinstance(rule, PeakRule):
         fields["rollmax"] = "rollmax"
@@ -172,7 +150,7 @@ def gradient_peaks(
     on: str = "gradient",
     x_unit: str = "s",
     index: str | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Peak detector: adds change_point (second derivative), rollmax and flag."""
     rule = PeakRule(k=k, lead=lead, plateau=plateau, digits=digits, floor=floor, on=on)
@@ -191,7 +169,7 @@ def gradient_ratio(
     rising: bool = False,
     x_unit: str = "s",
     index: str | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Ratio detector: complete rows with slope, r_squared, second_derivative and cp."""
     rule = RatioRule(cp_factor=cp_factor, epsilon=epsilon, rising=rising)
@@ -240,7 +218,7 @@ def gradient_peaks_long(
     lead: int = 4,
     x_unit: str = "s",
     index: str | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Peak detector on a rounded slope, with every intermediate signal in long form."""
     windows = [w] if isinstance(w, int) else list(w)
@@ -258,7 +236,7 @@ def sweep_windows(
     rule: Rule | None = None,
     x_unit: str = "s",
     index: str | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Complete detector rows at each window length, wide (see ``signals_long`` for long form)."""
     rule = rule or PeakRule(k=7, lead=4, slope_digits=7)
@@ -282,7 +260,7 @@ def sweep_noise(
     fit: bool = False,
     x_unit: str = "s",
     index: str | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Detector at every noise level and window length.
 
@@ -345,13 +323,11 @@ def rolling_fit_stats(
     w: int,
     x_unit: str = "s",
     index: str | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Residual sd and r2 of the rolling fit, long: keys, t, statistics, value (NULL until full)."""
     keys = keys_of(keys)
-    dense = index is not None and index == t
-    layout = lay_out(df, keys, t, before=w, index=index, block_rows=block_rows)
-    layout = ols_columns(layout, axis_value(df, t, x_unit), value, [w], dense, ("r2", "sigma"))
+    layout = Fit.over(df, keys, t, value, [w], (0, 0), x_unit, index, block_rows).columns([w], ("r2", "sigma"))
     stats = F.array(
         F.struct(F.lit("sigmas").alias("statistics"), F.col(f"sigma_{w}").alias("value")),
         F.struct(F.lit("r.squareds").alias("statistics"), F.col(f"r2_{w}").alias("value")),
@@ -369,12 +345,12 @@ def abs_slope_peaks(
     lead: int = 2,
     bandwidth: float | None = 20.0,
     index: str | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Peaks of the absolute rolling slope, of the kernel-smoothed series unless bandwidth is None."""
     column = value
     if bandwidth is not None:
-        df, column = kernel_smooth(df, keys, t, value, bandwidth), "smooth"
+        df, column = kernel_smooth(df, keys, t, value, bandwidth, index=index), "smooth"
     return gradient_peaks(
         df, keys, t, column, w, k, "equal", lead, floor=None, on="slope", index=index, block_rows=block_rows
     ).withColumnRenamed("change_point", "abs_slope")
@@ -387,10 +363,10 @@ def sign_change_points(
     value: str,
     bandwidth: float = 10.0,
     index: str | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Rows where the sign of the kernel-smoothed series differs from the previous row's."""
-    smooth = kernel_smooth(df, keys, t, value, bandwidth)
-    layout = lay_out(smooth, keys, t, before=1, index=index, block_rows=block_rows)
+    smooth = kernel_smooth(df, keys, t, value, bandwidth, index=index)
+    layout = lay_out(smooth, keys, t, before=1, index=index, block_rows=block_rows or BLOCK_ROWS)
     flip = F.signum("smooth") != F.lag(F.signum("smooth")).over(layout.window)
     return layout.add({"flag": flip}).finish().filter("flag")

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
-BLOCK_ROWS = 1 << 16
+SERIES_ROWS = 1 << 18  # longest series that is numbered by one window
+BLOCK_ROWS = 1 << 14  # rows of a series that are framed together
 
 ROW = "_row"
 BLOCK = "_block"
@@ -59,13 +60,13 @@ def add_index(
     t: str,
     tie: Sequence[str] = (),
     name: str = "index",
-    block_rows: int = BLOCK_ROWS,
+    series_rows: int = SERIES_ROWS,
 ) -> DataFrame:
     """Dense row index 1..n along ``t`` (then ``tie``) within each series.
 
     A daily axis, or series proven short by one small aggregate, are numbered by one window.
     Otherwise rows are counted per bin of the axis, the bin counts are summed up along the series
-    (a table of n / block_rows rows), and each row adds its place within its own bin.  Bins that
+    (a table of n / series_rows rows), and each row adds its place within its own bin.  Bins that
     hold many times the mean are split again by the same rule.
     """
     keys = keys_of(keys)
@@ -82,9 +83,9 @@ def add_index(
         F.max("n").alias("longest"),
         F.sum("n").alias("total"),
         F.min("lo").alias("lo"),
-        F.min((F.col("hi") - F.col("lo") + 1) / F.ceil(F.col("n") / block_rows)).alias("width"),
+        F.min((F.col("hi") - F.col("lo") + 1) / F.ceil(F.col("n") / series_rows)).alias("width"),
     ).first()
-    if measured.longest is None or measured.longest <= block_rows:
+    if measured.longest is None or measured.longest <= series_rows:
         return df.withColumn(name, _numbered(whole, order))
 
     width = max(1, int(measured.width))
@@ -92,12 +93,12 @@ def add_index(
     binned = df.withColumns(
         {"_bin": F.floor((at - lo) / width), "_within": F.pmod(at - lo, F.lit(width))}
     )
-    crowded = 4 * block_rows
+    crowded = 4 * series_rows
     hot = (
         binned.groupBy(*keys, "_bin")
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > crowded)
-        .select(*keys, "_bin", F.ceil(F.col("_n") / block_rows).alias("_parts"))
+        .select(*keys, "_bin", F.ceil(F.col("_n") / series_rows).alias("_parts"))
     )
     if measured.total // crowded <= 1_000_000:  # an upper bound of the rows of `hot`
         hot = F.broadcast(hot)
@@ -166,21 +167,26 @@ def lay_out(
     after: int = 0,
     index: str | None = None,
     block_rows: int = BLOCK_ROWS,
+    restart: bool = False,
 ) -> Layout:
     """Order each series by ``t`` for frames reaching ``before`` rows back and ``after`` rows ahead.
 
     ``index`` names a dense row index the table already has (see ``add_index``); without it one is
-    made, except on a daily axis, whose length the calendar bounds.
+    made.  A daily axis, whose length the calendar bounds, is not cut into blocks, unless running
+    sums want to ``restart`` at each block; its blocks then stay where the series is.
     """
     keys = keys_of(keys)
-    if index is None and is_daily(df, t):
+    daily = index is None and is_daily(df, t)
+    if daily:
         window = Window.partitionBy(*keys).orderBy(t)
-        return Layout(df.withColumn(ROW, _numbered(window, [t])), window, (ROW,))
-    added: tuple[str, ...] = (ROW, BLOCK, HOME)
-    if index is None:
-        df = add_index(df, keys, t, name=ROW, block_rows=block_rows)
+        df = df.withColumn(ROW, _numbered(window, [t]))
+        if not restart:
+            return Layout(df, window, (ROW,))
+    elif index is None:
+        df = add_index(df, keys, t, name=ROW)
     else:
         df = df.withColumn(ROW, F.col(index).cast("long"))
+    added = (ROW, BLOCK, HOME)
     rows = max(block_rows, before + 1, after + 1)
     block = F.floor((F.col(ROW) - 1) / F.lit(rows)).cast("long")
     place = F.pmod(F.col(ROW) - 1, F.lit(rows))
@@ -192,4 +198,7 @@ def lay_out(
     spread = df.withColumn(BLOCK, F.explode(F.array_compact(blocks))).withColumn(
         HOME, F.col(BLOCK) == block
     )
+    # Rows may arrive partitioned by series alone, which a window by block would accept as it is.
+    if not daily:
+        spread = spread.repartition(*keys, BLOCK)
     return Layout(spread, Window.partitionBy(*keys, BLOCK).orderBy(ROW), added)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import axis_key, gaussian, uniform
-from .layout import BLOCK_ROWS, add_index, keys_of
+from .layout import SERIES_ROWS, add_index, keys_of
 from .reconstruct import interpolate_linear
 
 
@@ -98,11 +98,11 @@ def permute(
     c: str,
     seed: int = 0,
     name: str = "sample",
-    block_rows: int = BLOCK_ROWS,
+    series_rows: int = SERIES_ROWS,
 ) -> DataFrame:
     """Deal the values of a series out again over its rows, in an order fixed by the seed."""
     keys = keys_of(keys)
-    places = add_index(df, keys, t, name="_place", block_rows=block_rows)
+    places = add_index(df, keys, t, name="_place", series_rows=series_rows)
     draw = (uniform(*keys, axis_key(df, t), F.lit("permute"), F.lit(seed)) * 4294967296.0).cast("long")
     dealt = add_index(
         df.select(*keys, t, F.col(c).alias(name), draw.alias("_draw")),
@@ -110,6 +110,6 @@ def permute(
         "_draw",
         tie=[t],
         name="_place",
-        block_rows=block_rows,
+        series_rows=series_rows,
     )
     return places.join(dealt.select(*keys, "_place", name), [*keys, "_place"]).drop("_place")

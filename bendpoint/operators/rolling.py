@@ -6,7 +6,11 @@ Each public function takes a series table and returns it with columns added.  Th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,12 +18,13 @@ from pyspark.sql import functions as F
 from ..functions.scalars import as_column
 from .layout import BLOCK_ROWS, ROW, Layout, keys_of, lay_out
 
-# Frames up to this width are summed row by row; wider ones on a dense index use running sums.
-FRAME_ROWS = 64
-RUNNING_BLOCK_ROWS = 1 << 14
+# Frames up to this width are summed row by row, wider ones by running sums over short blocks.
+FRAME_ROWS = 16
+RUNNING_BLOCK_ROWS = 256
 
 KERNEL_SD = 0.3706506  # sd of the normal kernel per unit of bandwidth (quartiles at +-bandwidth/4)
 KERNEL_REACH = 4.0  # kernel is cut at this many sd
+MAX_SHIFTS = 128  # widest reach in rows that is written as shifted columns
 
 
 def when_full(c: Column | str, value: Column, layout: Layout, n: int) -> Column:
@@ -66,94 +71,112 @@ def max_column(c: Column | str, layout: Layout, k: int) -> Column:
     return when_full(c, F.max(as_column(c)).over(layout.trailing(k)), layout, k)
 
 
-def axis_value(df: DataFrame, t: str, x_unit: str = "s") -> Column:
-    """The regressor: seconds (or days) for a time axis, the number itself for an index axis."""
+def axis_grain(df: DataFrame, t: str, x_unit: str = "s") -> tuple[Column, float]:
+    """The regressor in the axis' own grain, and how many units of ``x_unit`` a grain is."""
     kind = df.schema[t].dataType.typeName()
     if kind == "date":
-        days = F.unix_date(F.col(t)).cast("double")
-        return days if x_unit == "day" else days * 86400.0
+        return F.unix_date(F.col(t)).cast("double"), 1.0 if x_unit == "day" else 86400.0
     if kind.startswith("timestamp"):
         seconds = F.unix_micros(F.col(t).cast("timestamp")) / F.lit(1e6)
-        return seconds / 86400.0 if x_unit == "day" else seconds
-    return F.col(t).cast("double")
+        return seconds, 1.0 / 86400.0 if x_unit == "day" else 1.0
+    return F.col(t).cast("double"), 1.0
 
 
-def ols_columns(
-    layout: Layout,
-    x: Column,
-    c: str,
-    windows: Sequence[int],
-    dense: bool,
-    fit: Sequence[str] = (),
-) -> Layout:
-    """Add ``slope_<w>`` for each width; ``fit`` names further columns: r2, sigma, intercept.
-
-    ``dense`` says that x counts rows, which lets wide frames use running sums: Spark sums a
-    sliding frame anew at each row, so running sums cost O(n) instead of O(n w).
+def axis_value(df: DataFrame, t: str, x_unit: str = "s") -> Column:
+    """Seconds (or days) for a time axis, the number itself for an index axis."""
+    x, scale = axis_grain(df, t, x_unit)
+    return x if scale == 1.0 else x * F.lit(scale)
+
+
+@dataclass(frozen=True)
+class Fit:
+    """A layout on which rolling fits are made, with its regressor ``_x``.
+
+    Spark sums a sliding frame anew at each row.  Wide frames therefore use differences of running
+    sums, which start over at each block of a few frame widths and so keep their digits.
     """
-    narrow = [w for w in windows if not dense or w <= FRAME_ROWS]
-    wide = [w for w in windows if w not in narrow]
-    columns: dict[str, Column] = {}
-    if narrow:
-        layout = layout.add({"_x": x})
-        for w in narrow:
-            frame = layout.trailing(w)
-            sxy, sxx = F.regr_sxy(c, "_x").over(frame), F.regr_sxx(c, "_x").over(frame)
-            syy = F.regr_syy(c, "_x").over(frame)
-            rest = F.greatest(syy - F.try_divide(sxy * sxy, sxx), F.lit(0.0))
-            parts = {
-                "slope": F.try_divide(sxy, sxx),
-                "intercept": F.regr_intercept(c, "_x").over(frame),
-                "r2": F.try_divide(sxy * sxy, sxx * syy),
-                "sigma": F.sqrt(F.try_divide(rest, F.lit(float(w - 2)))),
-            }
-            for name in ("slope", *fit):
-                columns[f"{name}_{w}"] = when_full(c, parts[name], layout, w)
-    if wide:
-        layout = _running_sums(layout, x, c)
-        for w in wide:
-            columns.update(_dense_fit(layout, w, fit))
-    return layout.with_rows(layout.df.withColumns(columns).drop("_x", *_SUMS))
-
-
-_SUMS = ("_x0", "_y0", "_sy", "_sxy", "_syy", "_sn")
-
-
-def _running_sums(layout: Layout, x: Column, c: str) -> Layout:
-    """Sums of y, xy, yy from the block's first row, with x and y measured from that row."""
-    run = layout.running()
-    layout = layout.add({"_x0": F.first(x).over(run), "_y0": F.first(c).over(run), "_x": x})
-    dx, dy = F.col("_x") - F.col("_x0"), F.col(c) - F.col("_y0")
-    return layout.add(
-        {
-            "_sy": F.sum(dy).over(run),
-            "_sxy": F.sum(dx * dy).over(run),
-            "_syy": F.sum(dy * dy).over(run),
-            "_sn": F.count(c).over(run),
-        }
-    )
 
+    layout: Layout
+    value: str
+    scale: float
+    running: bool
+
+    @classmethod
+    def over(
+        cls,
+        df: DataFrame,
+        keys: str | Sequence[str],
+        t: str,
+        value: str,
+        windows: Sequence[int],
+        reach: tuple[int, int] = (1, 0),
+        x_unit: str = "s",
+        index: str | None = None,
+        block_rows: int | None = None,
+    ) -> Fit:
+        """``reach`` is how far the rows need fits before and after themselves."""
+        x, scale = axis_grain(df, t, x_unit)
+        before, after = max(windows) + reach[0], reach[1]
+        running = max(windows) > FRAME_ROWS
+        if running:
+            rows = max(RUNNING_BLOCK_ROWS, 8 * (before + after))
+            block_rows = min(rows, block_rows or rows)
+        layout = lay_out(
+            df.withColumn("_x", x), keys, t, before, after, index, block_rows or BLOCK_ROWS, restart=running
+        )
+        if running:
+            run = layout.running()
+            layout = layout.add({"_x0": F.first("_x").over(run), "_y0": F.first(value, ignorenulls=True).over(run)})
+            dy = F.col(value) - F.col("_y0")
+            dx = F.when(dy.isNotNull(), F.col("_x") - F.col("_x0"))
+            sums = {"_sx": dx, "_sy": dy, "_sxx": dx * dx, "_sxy": dx * dy, "_syy": dy * dy}
+            layout = layout.add(
+                {n: F.sum(c).over(run) for n, c in sums.items()} | {"_sn": F.count(value).over(run)}
+            )
+        return cls(layout, value, scale, running)
+
+    def _frames(self, w: int, means: bool) -> dict[str, Column]:
+        """What each row's frame holds: count, sums about the mean, and the means if wanted."""
+        if not self.running:
+            frame = self.layout.trailing(w)
+            both = {"xx": F.regr_sxx, "xy": F.regr_sxy, "yy": F.regr_syy}
+            out = {"n": F.count(self.value).over(frame)}
+            out |= {n: f(self.value, "_x").over(frame) for n, f in both.items()}
+            if means:
+                out |= {"mx": F.avg("_x").over(frame), "my": F.avg(self.value).over(frame)}
+            return out
+        return {
+            n: F.col(f"_s{n}") - F.coalesce(F.lag(f"_s{n}", w).over(self.layout.window), F.lit(0))
+            for n in ("n", "x", "y", "xx", "xy", "yy")
+        }
 
-def _dense_fit(layout: Layout, w: int, fit: Sequence[str]) -> dict[str, Column]:
-    def over_frame(name: str) -> Column:
-        return F.col(name) - F.coalesce(F.lag(name, w).over(layout.window), F.lit(0))
-
-    full = over_frame("_sn") == w
-    centre = F.col("_x") - F.col("_x0") - F.lit((w - 1) / 2.0)
-    sxx = w * (w * w - 1) / 12.0
-    sy = over_frame("_sy")
-    sxy = over_frame("_sxy") - centre * sy
-    slope = sxy / F.lit(sxx)
-    syy = F.greatest(over_frame("_syy") - sy * sy / F.lit(float(w)), F.lit(0.0))
-    mean_x = F.col("_x") - F.lit((w - 1) / 2.0)
-    rest = F.greatest(syy - slope * slope * F.lit(sxx), F.lit(0.0))
-    parts = {
-        "slope": slope,
-        "intercept": F.col("_y0") + sy / F.lit(float(w)) - slope * mean_x,
-        "r2": F.try_divide(sxy * sxy, F.lit(sxx) * syy),
-        "sigma": F.sqrt(rest / F.lit(float(w - 2))),
-    }
-    return {f"{name}_{w}": F.when(full, parts[name]) for name in ("slope", *fit)}
+    def columns(self, windows: Sequence[int], parts: Sequence[str] = ("slope",)) -> Layout:
+        """The layout with ``<part>_<w>`` for each width: slope, intercept, r2, sigma; NULL until full."""
+        held = {w: self._frames(w, "intercept" in parts) for w in windows}
+        frames = {f"_{n}_{w}": c for w, cols in held.items() for n, c in cols.items()}
+        # Window functions become columns first; the formulas then use them several times.
+        layout = self.layout.add(frames)
+        out: dict[str, Column] = {}
+        for w in windows:
+            at = {n: F.col(f"_{n}_{w}") for n in held[w]}
+            size = F.lit(float(w))
+            xx, xy, yy = at["xx"], at["xy"], at["yy"]
+            if self.running:
+                xx, xy = xx - at["x"] * at["x"] / size, xy - at["x"] * at["y"] / size
+                yy = F.greatest(yy - at["y"] * at["y"] / size, F.lit(0.0))
+                at |= {"mx": F.col("_x0") + at["x"] / size, "my": F.col("_y0") + at["y"] / size}
+            slope = F.try_divide(xy, xx)
+            formula = {"slope": slope / F.lit(self.scale)}
+            if "r2" in parts:
+                formula["r2"] = F.try_divide(xy * xy, xx * yy)
+            if "sigma" in parts:
+                rest = F.greatest(yy - F.try_divide(xy * xy, xx), F.lit(0.0))
+                formula["sigma"] = F.sqrt(F.try_divide(rest, F.lit(float(w - 2))))
+            if "intercept" in parts:
+                formula["intercept"] = at["my"] - slope * at["mx"]
+            out |= {f"{part}_{w}": F.when(at["n"] == w, formula[part]) for part in parts}
+        sums = ["_x", "_x0", "_y0", "_sn", "_sx", "_sy", "_sxx", "_sxy", "_syy"]
+        return layout.with_rows(layout.df.withColumns(out).drop(*sums, *frames))
 
 
 def rolling_ols(
@@ -164,22 +187,19 @@ def rolling_ols(
     w: int,
     x_unit: str = "s",
     index: str | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Rolling fit of ``c`` on the axis: slope, intercept, r2, sigma and the one-step forecast.
 
     The forecast at a row comes from the fit that ends one row earlier.  On an axis in seconds
     slopes are per second, so thresholds on them are of the order 1e-9.
     """
-    dense = index is not None and index == t
-    if dense and w > FRAME_ROWS:
-        block_rows = min(block_rows, max(RUNNING_BLOCK_ROWS, 8 * w))
-    x = axis_value(df, t, x_unit)
-    layout = lay_out(df, keys, t, before=w, index=index, block_rows=block_rows)
-    layout = ols_columns(layout, x, c, [w], dense, ("intercept", "r2", "sigma"))
-    forecast = F.lag(f"intercept_{w}").over(layout.window) + F.lag(f"slope_{w}").over(layout.window) * x
+    parts = ("slope", "intercept", "r2", "sigma")
+    layout = Fit.over(df, keys, t, c, [w], (1, 0), x_unit, index, block_rows).columns([w], parts)
+    before = {p: F.lag(f"{p}_{w}").over(layout.window) for p in ("intercept", "slope")}
+    forecast = before["intercept"] + before["slope"] * axis_value(df, t, x_unit)
     out = layout.add({"forecast": forecast}).finish()
-    return out.withColumnsRenamed({f"{n}_{w}": n for n in ("slope", "intercept", "r2", "sigma")})
+    return out.withColumnsRenamed({f"{p}_{w}": p for p in parts})
 
 
 def gradient_column(c: str, layout: Layout) -> Column:
@@ -245,6 +265,19 @@ def series_bounds(df: DataFrame, keys: str | Sequence[str], cols: Sequence[str])
     return df.join(df.groupBy(*keys).agg(*bounds), keys)
 
 
+def _smooth_dense(
+    df: DataFrame, keys: list[str], t: str, c: str, sd: float, reach: int, name: str, block_rows: int
+) -> DataFrame:
+    layout = lay_out(df, keys, t, before=reach, after=reach, index=t, block_rows=block_rows)
+    top, bottom = [], []
+    for step in range(-reach, reach + 1):
+        weight = F.lit(math.exp(-0.5 * (step / sd) ** 2))
+        value = F.lag(c, step).over(layout.window) if step else F.col(c)
+        top.append(F.coalesce(value * weight, F.lit(0.0)))
+        bottom.append(F.when(value.isNotNull(), weight).otherwise(F.lit(0.0)))
+    return layout.add({name: F.try_divide(reduce(add, top), reduce(add, bottom))}).finish()
+
+
 def kernel_smooth(
     df: DataFrame,
     keys: str | Sequence[str],
@@ -253,16 +286,21 @@ def kernel_smooth(
     bandwidth: float,
     name: str = "smooth",
     x_unit: str = "day",
+    index: str | None = None,
+    block_rows: int = BLOCK_ROWS,
     bin_reaches: int = 256,
 ) -> DataFrame:
     """Normal-kernel (Nadaraya-Watson) mean of ``c`` around each row, within 4 kernel sd.
 
-    Rows are grouped by bins of the axis, many reaches wide, with the rows near a bin's edge copied
-    to its neighbour; the frame is a range of the axis, so no row count per bin is assumed.
+    On a dense index (``index=t``) the kernel has the same few weights at every row, so the mean is
+    a sum of shifted columns.  On any other axis rows are grouped by bins of the axis, many reaches
+    wide, with the rows near a bin's edge copied to its neighbour; the frame is a range of the axis.
     """
     keys = keys_of(keys)
     sd = KERNEL_SD * bandwidth
     reach = KERNEL_REACH * sd
+    if index is not None and index == t and reach <= MAX_SHIFTS:
+        return _smooth_dense(df, keys, t, c, sd, int(reach), name, block_rows)
     width = reach * bin_reaches
     out = df.withColumn("_x", axis_value(df, t, x_unit))
     home = F.floor(F.col("_x") / width)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +16,12 @@ from pyspark.sql import types as T
 from ..session import ensure_checkpoint_dir
 from .layout import BLOCK, BLOCK_ROWS, ROW, add_index, keys_of, lay_out
 
+# Ship the solver with the tasks: executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MIN_VARIANCE = 1e-10
-FIRST_PENALTIES = 12
+FIRST_PENALTIES = 128  # penalties of the first round
+LANES = 16  # penalties that share a pass over a series
 
 
 def running_totals(
@@ -68,12 +74,14 @@ def meanvar_split(
     """
     keys = keys_of(keys)
     rows = df.filter(F.col(value).isNotNull())
-    means = rows.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count(F.lit(1)).alias("_n"))
-    centred = rows.join(means, keys).withColumn("_v", F.col(value) - F.col("_mean"))
-    whole = centred.groupBy(*keys).agg(F.sum("_v").alias("_t1"), F.sum(F.col("_v") * F.col("_v")).alias("_t2"))
+    # Centred values keep the digits of the running sums; their own total is 0.
+    whole = rows.groupBy(*keys).agg(
+        F.avg(value).alias("_mean"), F.count(F.lit(1)).alias("_n"), F.var_pop(value).alias("_var")
+    )
+    centred = rows.join(whole, keys).withColumn("_v", F.col(value) - F.col("_mean"))
     sums = running_totals(
         centred, keys, t, {"_s1": F.col("_v"), "_s2": F.col("_v") * F.col("_v")}, index, block_rows
-    ).join(whole, keys)
+    )
 
     def log_variance(s1: Column, s2: Column, m: Column) -> Column:
         return F.log(F.greatest(s2 / m - F.pow(s1 / m, F.lit(2.0)), F.lit(MIN_VARIANCE)))
@@ -82,14 +90,14 @@ def meanvar_split(
     rest = F.when(n > tau, n - tau)
     cost = (
         tau * log_variance(F.col("_s1"), F.col("_s2"), tau)
-        + rest * log_variance(F.col("_t1") - F.col("_s1"), F.col("_t2") - F.col("_s2"), rest)
+        + rest * log_variance(-F.col("_s1"), n * F.col("_var") - F.col("_s2"), rest)
         + F.log(tau)
         + F.log(rest)
     )
     allowed = (F.col("index") >= min_seg) & (F.col("_n") - F.col("index") >= min_seg)
     best = sums.groupBy(*keys).agg(
         F.first("_n").alias("n"),
-        F.first(n * log_variance(F.col("_t1"), F.col("_t2"), n)).alias("null_cost"),
+        F.first(n * F.log(F.greatest("_var", F.lit(MIN_VARIANCE)))).alias("null_cost"),
         F.min(F.when(allowed, F.struct(cost.alias("cost"), F.col("index"), F.col(t).alias("at")))).alias("_best"),
     )
     return best.select(
@@ -103,118 +111,136 @@ def meanvar_split(
     )
 
 
-class _Path:
-    """Optimal segmentation of one series at one penalty, fed row by row.
+class _Paths:
+    """Optimal segmentations of one series at several penalties, fed row by row.
 
-    Holds only the last changes that can still be part of the optimum, each with the sums up to it
-    and a link to its own last change, so memory follows the number of changes, not of rows.
+    Holds only the last changes that can still be part of an optimum, each with the sums up to it
+    and, per penalty, the cost up to it and a link to its own last change.  Memory follows the
+    number of changes, not of rows.
     """
 
-    def __init__(self, penalty: float, min_seg: int):
-        self.penalty, self.min_seg = penalty, min_seg
+    def __init__(self, penalties: np.ndarray, min_seg: int):
+        self.penalties, self.min_seg = penalties, min_seg
         self.n, self.s1, self.s2 = 0, 0.0, 0.0
-        self.best, self.link = math.inf, None
-        # Possible last changes: columns row, cost up to it, the two sums up to it, drop-after row.
-        self.starts = np.empty((0, 5))
+        lanes = len(penalties)
+        self.best = np.full(lanes, math.inf)
+        self.chains: list = [None] * lanes
+        # Possible last changes: row and the two sums up to it; cost and drop-after row per penalty.
+        self.starts = np.empty((3, 0))
+        self.costs = np.empty((lanes, 0))
+        self.last_use = np.empty((lanes, 0))
         self.links: list = []
         # Rows that become possible last changes once min_seg rows can follow them.
-        self.waiting: list = [((0.0, -penalty, 0.0, 0.0, math.inf), None)]
+        self.waiting: list = [((0.0, 0.0, 0.0), -penalties, [None] * lanes)]
 
     def add(self, v: float) -> None:
         self.n += 1
         self.s1 += v
         self.s2 += v * v
-        if len(self.links):
+        if self.links:
             self._extend()
-        if math.isfinite(self.best):
-            self.waiting.append(((self.n, self.best, self.s1, self.s2, math.inf), self.link))
+            self.waiting.append(((self.n, self.s1, self.s2), self.best, self.chains))
         else:
-            self.waiting.append((None, None))
+            self.waiting.append(None)
         if len(self.waiting) >= self.min_seg:
-            start, link = self.waiting.pop(0)
-            if start is not None:
-                self.starts = np.vstack([self.starts, start])
-                self.links.append(link)
+            entry = self.waiting.pop(0)
+            if entry is not None:
+                start, cost, links = entry
+                self.starts = np.column_stack([self.starts, start])
+                self.costs = np.column_stack([self.costs, cost])
+                self.last_use = np.column_stack([self.last_use, np.full(len(cost), math.inf)])
+                self.links.append(links)
 
     def _extend(self) -> None:
-        at, cost, sum1, sum2, drop_after = self.starts.T
+        at, sum1, sum2 = self.starts
         m = self.n - at
         variance = (self.s2 - sum2) / m - ((self.s1 - sum1) / m) ** 2
-        total = cost + m * (math.log(2 * math.pi) + np.log(np.maximum(variance, MIN_VARIANCE)) + 1.0)
-        j = int(np.argmin(total))
-        self.best = float(total[j]) + self.penalty
-        self.link = (int(at[j]), self.links[j])
+        segment = m * (math.log(2 * math.pi) + 1.0 + np.log(np.maximum(variance, MIN_VARIANCE)))
+        total = self.costs + segment
+        chosen = total.argmin(axis=1)
+        self.best = total[np.arange(len(chosen)), chosen] + self.penalties
+        self.chains = [(int(at[j]), self.links[j][lane]) for lane, j in enumerate(chosen)]
         # A start that already costs more than stopping here cannot win once a segment that begins
         # after this row is long enough to be allowed.
-        last_use = self.n + self.min_seg - 1
-        drop_after[total > self.best] = np.minimum(drop_after[total > self.best], last_use)
-        keep = drop_after > self.n
+        losing = total > self.best[:, None]
+        np.minimum(self.last_use, np.where(losing, self.n + self.min_seg - 1, math.inf), out=self.last_use)
+        self.costs[self.last_use <= self.n] = math.inf
+        keep = (self.last_use > self.n).any(axis=0)
         if not keep.all():
-            self.starts = self.starts[keep]
+            self.starts, self.costs, self.last_use = self.starts[:, keep], self.costs[:, keep], self.last_use[:, keep]
             self.links = [x for x, k in zip(self.links, keep) if k]
 
-    def changes(self) -> list[int]:
-        """Rows after which the series changes, first to last."""
-        taus, link = [], self.link
-        while link is not None:
-            if link[0] > 0:
-                taus.append(link[0])
-            link = link[1]
-        return taus[::-1]
+    def solutions(self) -> Iterator[tuple[float, float | None, list[int]]]:
+        """Per penalty its unpenalised cost and the rows after which the series changes."""
+        for penalty, best, chain in zip(self.penalties, self.best, self.chains):
+            taus = []
+            while chain is not None:
+                if chain[0] > 0:
+                    taus.append(chain[0])
+                chain = chain[1]
+            cost = float(best - len(taus) * penalty) if math.isfinite(best) else None
+            yield float(penalty), cost, taus[::-1]
 
 
 def _solve(pending: DataFrame, rows: DataFrame, keys: list[str], min_seg: int) -> DataFrame:
     """Optimal segmentation for each pending (series, penalty): one output row per change.
 
     ``k`` is the change's place, ``m`` the number of changes, ``cost`` the unpenalised cost; a
-    segmentation without changes has one row with a NULL tau.
+    segmentation without changes has one row with a NULL tau.  A series' penalties are solved in
+    groups that share one pass over its rows, which stream through in order.
     """
-    group = [*keys, "penalty"]
+    place = Window.partitionBy(*keys).orderBy("penalty")
+    lanes = (
+        pending.withColumn("_lane", F.floor((F.row_number().over(place) - 1) / LANES))
+        .groupBy(*keys, "_lane")
+        .agg(F.sort_array(F.collect_list("penalty")).alias("_penalties"))
+    )
+    group = [*keys, "_lane"]
     # A fixed number of tasks: the rows are few for the work they cause, so none should be merged.
-    tasks_wanted = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = (
-        rows.join(pending.select(*group), keys)
-        .repartition(tasks_wanted, *group)
+        rows.join(lanes, keys)
+        .select(*group, "index", "_v", F.when(F.col("index") == 1, F.col("_penalties")).alias("_penalties"))
+        .repartition(wanted, *group)
         .sortWithinPartitions(*group, "index")
     )
-    schema = T.StructType(
-        [f for f in tasks.schema.fields if f.name in group]
+    out = T.StructType(
+        [tasks.schema[k] for k in keys]
         + [
+            T.StructField("penalty", T.DoubleType()),
             T.StructField("m", T.LongType()),
             T.StructField("cost", T.DoubleType()),
             T.StructField("k", T.LongType()),
             T.StructField("tau", T.LongType()),
         ]
     )
-    names = [f.name for f in schema.fields]
-
-    def finish(key: tuple, path: _Path) -> pd.DataFrame:
-        taus = path.changes()
-        m = len(taus)
-        cost = path.best - m * path.penalty if path.n >= min_seg else None
-        out = pd.DataFrame({"k": pd.array(range(1, m + 1) if m else [None], dtype="Int64")})
-        out["tau"] = pd.array(taus if m else [None], dtype="Int64")
-        out["m"], out["cost"] = m, cost
-        for name, part in zip([f.name for f in schema.fields if f.name in group], key):
-            out[name] = part
-        return out[names]
 
-    ordered = [f.name for f in schema.fields if f.name in group]
+    def finish(key: tuple, paths: _Paths) -> pd.DataFrame:
+        parts = []
+        for penalty, cost, taus in paths.solutions():
+            part = pd.DataFrame({"tau": pd.array(taus or [None], dtype="Int64")})
+            part["k"] = pd.array(range(1, len(taus) + 1) if taus else [None], dtype="Int64")
+            part["penalty"], part["m"], part["cost"] = penalty, len(taus), cost
+            parts.append(part)
+        table = pd.concat(parts, ignore_index=True)
+        for name, value in zip(keys, key):
+            table[name] = value
+        return table[out.fieldNames()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, path = None, None
+        key, paths = None, None
         for batch in batches:
-            marks = list(batch[ordered].itertuples(index=False, name=None))
-            for mark, v in zip(marks, batch["_v"].to_numpy()):
+            marks = zip(*[batch[c] for c in group])
+            for mark, v, penalties in zip(marks, batch["_v"].to_numpy(), batch["_penalties"]):
                 if mark != key:
-                    if path is not None:
-                        yield finish(key, path)
-                    key, path = mark, _Path(mark[ordered.index("penalty")], min_seg)
-                path.add(v)
-        if path is not None:
-            yield finish(key, path)
-
-    return tasks.select(*ordered, "_v").mapInPandas(run, schema)
+                    if paths is not None:
+                        yield finish(key[:-1], paths)
+                    key, paths = mark, _Paths(np.asarray(penalties, dtype=float), min_seg)
+                paths.add(v)
+        if paths is not None:
+            yield finish(key[:-1], paths)
+
+    return tasks.select(*group, "_v", "_penalties").mapInPandas(run, out)
 
 
 def meanvar_segments(

@@ -240,7 +240,8 @@ def run_bau(
     rows = between_dates(df, t, begin)
     if threshold is not None:
         rows = gate(rows, coverage(df, site, t, begin, train_end, hours=hours), site, threshold)
-    span = _landed(features(between_dates(rows, t, None, predict_end), site, t, seed=forest.seed), site, t)
+    rows = _landed(between_dates(rows, t, None, predict_end), site, t)
+    span = _landed(features(rows, site, t, seed=forest.seed), site, t)
     train = _landed(features(between_dates(rows, t, None, train_end), site, t, seed=forest.seed), site, t)
     parts = []
     for has_pressure, sites in _by_pressure(span, site).items():
@@ -277,7 +278,8 @@ def run_normalised(
     rows = between_dates(df, t, begin)
     if threshold is not None:
         rows = gate(rows, coverage(df, site, t, begin, end, hours=hours), site, threshold)
-    span = _landed(features(between_dates(rows, t, None, end), site, t, seed=forest.seed), site, t)
+    rows = _landed(between_dates(rows, t, None, end), site, t)
+    span = _landed(features(rows, site, t, seed=forest.seed), site, t)
     parts = []
     for has_pressure, sites in _by_pressure(span, site).items():
         if not sites:

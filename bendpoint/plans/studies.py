@@ -48,8 +48,9 @@ def window_study(
     keys: str | Sequence[str],
     windows: Sequence[int] = (7, 14, 21, 28, 35, 42),
     rule: PeakRule = PeakRule(k=7, lead=4, slope_digits=7),
+    x_unit: str = "s",
 ) -> tuple[DataFrame, DataFrame]:
     """Reconstruct each daily series through the points found at each window length, and score it."""
     by = [*keys_of(keys), "window_length_level"]
-    lines = reconstruct(sweep_windows(rows, keys, "day", "value", windows, rule), by, "day")
+    lines = reconstruct(sweep_windows(rows, keys, "day", "value", windows, rule, x_unit), by, "day")
     return lines, score_reconstruction(lines, by)

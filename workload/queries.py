@@ -28,6 +28,7 @@ from .roles import (
     LINEITEM_DAILY,
     MODEL_INPUT,
     ORDERS_DAILY,
+    ORDERS_DAILY_LOG,
     READINGS,
     SIGNAL,
     SITE_MAP,
@@ -36,6 +37,7 @@ from .roles import (
     lineitem_daily,
     model_input,
     orders_daily,
+    orders_daily_log,
     r,
     readings,
     signal,
@@ -278,7 +280,7 @@ def smooth_sql(source: str, bandwidth: float) -> str:
 
 @query(f"SELECT series, index, round(smooth, 6) AS smooth FROM ({smooth_sql(SIGNAL, 10)})")
 def kernel_smooth(spark, sf):
-    out = W.kernel_smooth(signal(spark, sf), "series", "index", "value", 10)
+    out = W.kernel_smooth(signal(spark, sf), "series", "index", "value", 10, index="index")
     return rounded(out.select("series", "index", "smooth"))
 
 
@@ -324,14 +326,15 @@ SIGNALS_LONG = """
   SELECT series, {t}, {w} AS window_length_level, cp, unnest([{names}]) AS variables,
          unnest([{ord}]) AS variables_ord, round(unnest([{cols}]), {digits}) + 0.0 AS value
   FROM d WHERE slope IS NOT NULL AND d2 IS NOT NULL AND r_squared IS NOT NULL AND cp IS NOT NULL{more}"""
+DAY_NUMBER = "date_diff('day', DATE '1970-01-01', day)"
 NAMES = "'Test dataset', 'Rolling gradient', '2nd derivative', 'Rollmax', 'r.squareds'"
 
 
-@query(f"""WITH {detect_sql(ORDERS_DAILY, 21, EQUAL_RULE % 4, 7, x="date_diff('day', DATE '1970-01-01', day)", slope="round(slope, 4)")}
-  {SIGNALS_LONG.format(t="day", w=21, names=NAMES, ord="1, 2, 3, 4, 5", cols="value, slope, d2, rollmax, r_squared", digits=5, more=" AND rollmax IS NOT NULL")}""")
+@query(f"""WITH {detect_sql(ORDERS_DAILY_LOG, 21, EQUAL_RULE % 4, 7, x=DAY_NUMBER, slope="round(slope, 7)")}
+  {SIGNALS_LONG.format(t="day", w=21, names=NAMES, ord="1, 2, 3, 4, 5", cols="value, slope, d2, rollmax, r_squared", digits=8, more=" AND rollmax IS NOT NULL")}""")
 def gradient_peaks_long(spark, sf):
-    daily = orders_daily(spark, sf)
-    return rounded(D.gradient_peaks_long(daily, "series", "day", "value", 21, digits=4, k=7, x_unit="day"), 5)
+    daily = orders_daily_log(spark, sf)
+    return rounded(D.gradient_peaks_long(daily, "series", "day", "value", 21, digits=7, k=7, x_unit="day"), 8)
 
 
 @query(f"""WITH s AS ({smooth_sql(SIGNAL, 20)}),
@@ -349,9 +352,9 @@ def abs_slope_peaks(spark, sf):
   SELECT series, index, round(smooth, 6) AS smooth FROM f WHERE flag""")
 def sign_change_points(spark, sf):
     steps = W.sign_change(signal(spark, sf), "series", "index", "value", index="index")
-    steps = P.to_series(steps, "index", "d", "series")
-    out = D.sign_change_points(steps.withColumn("i", F.col("index") - 1), "series", "index", "value", index="i")
-    return rounded(out.select("series", "index", "smooth"))
+    steps = P.to_series(steps, "index", "d", "series").withColumn("index", F.col("index") - 1)
+    out = D.sign_change_points(steps, "series", "index", "value", index="index")
+    return rounded(out.select("series", (F.col("index") + 1).alias("index"), "smooth"))
 
 
 @query(f"""WITH {detect_sql(ORDERS_DAILY, 7, RATIO_RULE % 2.5)}
@@ -423,14 +426,14 @@ def sweep_sql(source: str, windows: list[int], rule: str, k: int, signal: str =
 
 
 WINDOWS = [7, 14, 21, 28, 35, 42]
-SWEEP = sweep_sql(ORDERS_DAILY, WINDOWS, EQUAL_RULE % 4, 7, slope="round(slope, 7)")
+SWEEP = sweep_sql(ORDERS_DAILY_LOG, WINDOWS, EQUAL_RULE % 4, 7, x=DAY_NUMBER, slope="round(slope, 7)")
 
 
 @query(f"""WITH {SWEEP}
   SELECT series, day, window_length_level, round(slope, 8) AS slope, round(d2, 8) AS second_derivative,
          round(rollmax, 8) AS rollmax, round(r_squared, 6) AS r_squared, cp FROM swept""")
 def sweep_windows(spark, sf):
-    out = D.sweep_windows(orders_daily(spark, sf), "series", "day", "value", WINDOWS)
+    out = D.sweep_windows(orders_daily_log(spark, sf), "series", "day", "value", WINDOWS, x_unit="day")
     out = out.drop("value")
     return rounded(out, {"slope": 8, "second_derivative": 8, "rollmax": 8})
 
@@ -582,21 +585,20 @@ LINES = f"""lines AS (SELECT s.series, s.window_length_level, s.day, s.cp, s.val
 
 
 @query(f"""WITH {SWEEP}, {LINES}
-  SELECT series, window_length_level, round(sqrt(avg(pow(value - approx_value, 2))), 3) AS rmse,
+  SELECT series, window_length_level, round(sqrt(avg(pow(value - approx_value, 2))), 8) AS rmse,
          round(corr(value, approx_value), 8) AS rsquared
   FROM lines WHERE approx_value IS NOT NULL GROUP BY ALL""")
 def score_reconstruction(spark, sf):
-    return rounded(studies.window_study(orders_daily(spark, sf), "series", WINDOWS)[1], {"rmse": 3, "rsquared": 8})
+    return rounded(studies.window_study(orders_daily_log(spark, sf), "series", WINDOWS, x_unit="day")[1], 8)
 
 
 @query(f"""WITH {SWEEP}, {LINES}
   SELECT series, window_length_level, day, cp, unnest(['f(x)', 'Approxed f(x)']) AS variables,
-         round(unnest([value, approx_value]) * {RATE}::DOUBLE, 5) AS value
+         round(unnest([value, approx_value]), 8) AS value
   FROM lines WHERE approx_value IS NOT NULL""")
 def reconstruction_long(spark, sf):
-    lines = studies.window_study(orders_daily(spark, sf), "series", WINDOWS)[0]
-    out = E.reconstruction_long(lines, ["series", "window_length_level", "day", "cp"])
-    return rounded(out.withColumn("value", F.col("value") * RATE), 5)
+    lines = studies.window_study(orders_daily_log(spark, sf), "series", WINDOWS, x_unit="day")[0]
+    return rounded(E.reconstruction_long(lines, ["series", "window_length_level", "day", "cp"]), 8)
 
 
 # --------------------------------------------------------------------------- joins

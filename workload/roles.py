@@ -34,6 +34,19 @@ ORDERS_DAILY = """
   FROM orders GROUP BY ALL"""
 
 
+def orders_daily_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the mean log price: unlike means of cents, its slopes have no rounding ties."""
+    orders = table(spark, sf, "orders").select(
+        F.col("o_orderstatus").alias("series"), "o_orderdate", F.log("o_totalprice").alias("x")
+    )
+    return calendar_agg(orders, "series", "o_orderdate", {"value": ("x", "mean")})
+
+
+ORDERS_DAILY_LOG = """
+  SELECT o_orderstatus AS series, CAST(o_orderdate AS DATE) AS day, avg(ln(o_totalprice)) AS value
+  FROM orders GROUP BY ALL"""
+
+
 def lineitem_daily(spark: SparkSession, sf: str) -> DataFrame:
     """Daily means per flag and status: six daily series of four variables."""
     items = table(spark, sf, "lineitem").withColumn("series", F.concat("l_returnflag", "l_linestatus"))
