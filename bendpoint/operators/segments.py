@@ -114,61 +114,50 @@ def meanvar_split(
 class _Paths:
     """Optimal segmentations of one series at several penalties, fed row by row.
 
-    Holds only the last changes that can still be part of an optimum, each with the sums up to it
-    and, per penalty, the cost up to it and a link to its own last change.  Memory follows the
-    number of changes, not of rows.
+    Holds only the last changes that can still be part of an optimum, each with the mean and the
+    squared deviations of the rows since and, per penalty, the cost up to it and a link to its own
+    last change.  Memory follows the number of changes, not of rows.
     """
 
     def __init__(self, penalties: np.ndarray, min_seg: int):
-        self.penalties, self.min_seg = penalties, min_seg
-        self.n, self.s1, self.s2 = 0, 0.0, 0.0
+        self.penalties, self.min_seg, self.n = penalties, min_seg, 0
         lanes = len(penalties)
         self.best = np.full(lanes, math.inf)
         self.chains: list = [None] * lanes
-        # Possible last changes: row and the two sums up to it; cost and drop-after row per penalty.
-        self.starts = np.empty((3, 0))
-        self.costs = np.empty((lanes, 0))
-        self.last_use = np.empty((lanes, 0))
-        self.links: list = []
-        # Rows that become possible last changes once min_seg rows can follow them.
-        self.waiting: list = [((0.0, 0.0, 0.0), -penalties, [None] * lanes)]
+        # Possible last changes: row, rows since, their mean and sum of squared deviations.
+        self.starts = np.zeros((4, 1))
+        self.costs = -penalties[:, None]
+        self.last_use = np.full((lanes, 1), math.inf)
+        self.links: list = [[None] * lanes]
 
     def add(self, v: float) -> None:
         self.n += 1
-        self.s1 += v
-        self.s2 += v * v
-        if self.links:
-            self._extend()
-            self.waiting.append(((self.n, self.s1, self.s2), self.best, self.chains))
-        else:
-            self.waiting.append(None)
-        if len(self.waiting) >= self.min_seg:
-            entry = self.waiting.pop(0)
-            if entry is not None:
-                start, cost, links = entry
-                self.starts = np.column_stack([self.starts, start])
-                self.costs = np.column_stack([self.costs, cost])
-                self.last_use = np.column_stack([self.last_use, np.full(len(cost), math.inf)])
-                self.links.append(links)
-
-    def _extend(self) -> None:
-        at, sum1, sum2 = self.starts
-        m = self.n - at
-        variance = (self.s2 - sum2) / m - ((self.s1 - sum1) / m) ** 2
-        segment = m * (math.log(2 * math.pi) + 1.0 + np.log(np.maximum(variance, MIN_VARIANCE)))
+        at, m, mean, squares = self.starts
+        m += 1
+        step = v - mean
+        mean += step / m
+        squares += step * (v - mean)
+        usable = m >= self.min_seg
+        if not usable.any():
+            return
+        variance = np.maximum(squares / m, MIN_VARIANCE)
+        segment = np.where(usable, m * (math.log(2 * math.pi) + 1.0 + np.log(variance)), math.inf)
         total = self.costs + segment
         chosen = total.argmin(axis=1)
-        self.best = total[np.arange(len(chosen)), chosen] + self.penalties
+        best = total[np.arange(len(chosen)), chosen]
+        self.best = best + self.penalties
         self.chains = [(int(at[j]), self.links[j][lane]) for lane, j in enumerate(chosen)]
         # A start that already costs more than stopping here cannot win once a segment that begins
         # after this row is long enough to be allowed.
-        losing = total > self.best[:, None]
+        losing = usable & (total > self.best[:, None])
         np.minimum(self.last_use, np.where(losing, self.n + self.min_seg - 1, math.inf), out=self.last_use)
         self.costs[self.last_use <= self.n] = math.inf
         keep = (self.last_use > self.n).any(axis=0)
-        if not keep.all():
-            self.starts, self.costs, self.last_use = self.starts[:, keep], self.costs[:, keep], self.last_use[:, keep]
-            self.links = [x for x, k in zip(self.links, keep) if k]
+        self.starts = np.column_stack([self.starts[:, keep], (self.n, 0, 0, 0)])
+        self.costs = np.column_stack([self.costs[:, keep], self.best])
+        self.last_use = np.column_stack([self.last_use[:, keep], np.full(len(chosen), math.inf)])
+        self.links = [x for x, k in zip(self.links, keep) if k]
+        self.links.append(self.chains)
 
     def solutions(self) -> Iterator[tuple[float, float | None, list[int]]]:
         """Per penalty its unpenalised cost and the rows after which the series changes."""

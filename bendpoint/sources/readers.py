@@ -31,9 +31,9 @@ def read_weather(
 ) -> DataFrame:
     """Hourly weather of all stations from one glob of CSV files; ``code`` becomes ``met_code``.
 
-    Columns are matched by header, so files may hold them in any order and hold others too.
+    Columns are found by header; all files share one order, and a file that does not is refused.
     """
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     fields = [f.strip().split(" ") for f in WEATHER_SCHEMA.split(",")]
     typed = raw.select(
         *[

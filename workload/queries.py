@@ -374,13 +374,13 @@ def gradient_ratio_index(spark, sf):
 
 
 def labelled(spark, sf) -> dict[str, DataFrame]:
-    """Three labelled daily series: log order price, log line price and discount share, 7-row means."""
+    """Three labelled daily series: log order price, log line price and log quantity, 7-row means."""
     orders = table(spark, sf, "orders")
     items = table(spark, sf, "lineitem")
     series = {
         "Order price": C.calendar_agg(orders.withColumn("x", F.log("o_totalprice")), (), "o_orderdate", {"v": ("x", "mean")}),
         "Line price": C.calendar_agg(items.withColumn("x", F.log("l_extendedprice")), (), "l_shipdate", {"v": ("x", "mean")}),
-        "Discount": C.calendar_agg(items.withColumn("x", 100 * F.col("l_discount")), (), "l_shipdate", {"v": ("x", "mean")}),
+        "Line quantity": C.calendar_agg(items.withColumn("x", F.log("l_quantity")), (), "l_shipdate", {"v": ("x", "mean")}),
     }
     return {
         text: P.to_series(W.rolling_mean(df, (), "day", {"v": "roll"}, 7), "day", "roll") for text, df in series.items()
@@ -394,7 +394,7 @@ LABELLED = " UNION ALL ".join(
     for text, t, c, source in (
         ("Order price", "o_orderdate", "ln(o_totalprice)", "orders"),
         ("Line price", "l_shipdate", "ln(l_extendedprice)", "lineitem"),
-        ("Discount", "l_shipdate", "100 * l_discount", "lineitem"),
+        ("Line quantity", "l_shipdate", "ln(l_quantity)", "lineitem"),
     )
 )
 MULTI = detect_sql(LABELLED, 7, RATIO_RULE % 2, part="df_header")
@@ -1071,13 +1071,13 @@ TRIAL_FOREST = M.Forest(n_trees=20, max_depth=8, seed=7)
 
 @query()
 def bau_forest(spark, sf):
-    return M.run_bau(model_input(spark, sf), "2024-01-01", "2024-01-20", "2024-01-30", TRIAL_FOREST, threshold=0.5)
+    return M.run_bau(model_input(spark, sf), "2024-01-01", "2024-01-20", "2024-01-30", TRIAL_FOREST, threshold=0.15)
 
 
 @query()
 def normalised_forest(spark, sf):
     return M.run_normalised(
-        model_input(spark, sf), "2024-01-01", "2024-01-30", TRIAL_FOREST, threshold=0.5, n_samples=10
+        model_input(spark, sf), "2024-01-01", "2024-01-30", TRIAL_FOREST, threshold=0.15, n_samples=10
     )
 
 
