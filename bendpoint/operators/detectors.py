@@ -110,11 +110,13 @@ def detect(
     """Run one rule at several window lengths: one output row per input row and window.
 
     Columns: the keys, ``t``, ``value``, window_length_level, slope, second_derivative, rollmax
-    (peak rules), r_squared (with ``fit``), cp.  Pass ``index=t`` when ``t`` is a dense row index.
-    Rows with a NULL value are left out first, as a fit cannot use them.
+    (peak rules), r_squared (with ``fit``), cp.  Rows with a NULL value are left out first.
+
+    Pass ``index=t`` when ``t`` is a dense row index 1..n; its rows all stay, and a frame that holds
+    a NULL has no fit.
     """
     keys = keys_of(keys)
-    rows = df.filter(F.col(value).isNotNull())
+    rows = df if index is not None else df.filter(F.col(value).isNotNull())
     fits = Fit.over(rows, keys, t, value, windows, rule.reach, x_unit, index, block_rows)
     layout = _signals(fits, windows, rule, fit)
     fields = {"slope": "slope", "second_derivative": "signal", "cp": "cp"}

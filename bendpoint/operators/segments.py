@@ -70,10 +70,11 @@ def meanvar_split(
     Normal likelihood with the modified BIC: a split after row tau costs
     tau ln s1 + (n - tau) ln s2 + ln tau + ln(n - tau); it is accepted when it beats n ln s by more
     than 4 ln n.  Output per series: n, tau, at (the last row's axis value before the change),
-    null_cost, cost, accepted.
+    null_cost, cost, accepted.  ``index`` names a dense row index of a series without NULLs; without
+    it NULLs are left out and the rest is numbered.
     """
     keys = keys_of(keys)
-    rows = df.filter(F.col(value).isNotNull())
+    rows = df if index is not None else df.filter(F.col(value).isNotNull())
     # Centred values keep the digits of the running sums; their own total is 0.
     whole = rows.groupBy(*keys).agg(
         F.avg(value).alias("_mean"), F.count(F.lit(1)).alias("_n"), F.var_pop(value).alias("_var")
@@ -250,13 +251,16 @@ def meanvar_segments(
     Segments cost m (ln 2 pi + ln s + 1).  The first round solves a few penalties over the range;
     each further round solves, in one job, the penalty at which neighbouring solutions that differ
     by more than one change cost the same, until no new count turns up.  Rounds are cut by
-    ``checkpoint``.
+    ``checkpoint``.  ``index`` is as for ``meanvar_split``.
+
+    The recursion over a series' rows is sequential: rows stream through the task in order and are
+    not held.  Work spreads over series and groups of penalties.
     """
     keys = keys_of(keys)
     ensure_checkpoint_dir(df.sparkSession)
-    rows = df.filter(F.col(value).isNotNull())
+    rows = df
     if index is None:
-        rows, index = add_index(rows, keys, t), "index"
+        rows, index = add_index(df.filter(F.col(value).isNotNull()), keys, t), "index"
     means = rows.groupBy(*keys).agg(F.avg(value).alias("_mean"))
     rows = rows.join(means, keys).select(
         *keys, F.col(index).alias("index"), F.col(t).alias("_t"), (F.col(value) - F.col("_mean")).alias("_v")

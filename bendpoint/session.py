@@ -33,13 +33,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; only an unset one (tests) gets a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    folder = tempfile.mkdtemp(prefix="bendpoint-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
+    """The shared folder for checkpoints and landed tables, as the cluster names it.
+
+    A local session without one (tests) gets a temporary folder; a cluster must name its own.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="bendpoint-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder

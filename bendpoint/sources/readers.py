@@ -50,8 +50,13 @@ def read_weather(
 def read_readings(
     spark: SparkSession, path: str, sites: Sequence[str] | None, begin: str, end: str
 ) -> DataFrame:
-    """Readings landed as parquet by year and site; whole years from begin's to end's are read."""
+    """Readings landed as parquet by year and site; whole years from begin's to end's are read.
+
+    NaN, which some writers use for a missing reading, becomes NULL.
+    """
     df = spark.read.parquet(path).filter(F.col("year").between(int(begin[:4]), int(end[:4])))
+    doubles = [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
+    df = df.withColumns({c: null_if_nan(c) for c in doubles})
     return df if sites is None else df.filter(F.col("code").isin(list(sites)))
 
 

@@ -306,6 +306,15 @@ def gradient_peaks_time(spark, sf):
     return rounded(out.select("series", "day", "change_point", "rollmax", "flag"), 8)
 
 
+@query(f"""WITH {detect_sql(f"SELECT code AS series, date, no2 AS value FROM ({READINGS})", 24, SIGN_RULE % 5, 6, order="date", x="epoch(date)")}
+  SELECT series, date, round(3600 * d2, 8) AS change_point, cp AS flag FROM d""")
+def gradient_peaks_hourly(spark, sf):
+    hours = readings(spark, sf).select(F.col("code").alias("series"), "date", F.col("no2").alias("value"))
+    out = D.gradient_peaks(hours, "series", "date", "value", 24, 6)
+    out = out.withColumn("change_point", 3600 * F.col("change_point"))
+    return rounded(out.select("series", "date", "change_point", "flag"), 8)
+
+
 @query(f"""WITH {detect_sql(SIGNAL, 40, EQUAL_RULE % 4 + " AND rollmax > 0", 5, order="index", x="index", signal="round(abs(grad), 7)")}
   SELECT series, index, round(d2, 7) AS change_point, round(rollmax, 7) AS rollmax, cp AS flag FROM d""")
 def gradient_peaks_index(spark, sf):
@@ -533,6 +542,12 @@ def meanvar_segments(spark, sf):
     return rounded(S.meanvar_segments(P.to_series(rows, "day", "roll", "series"), "series", "day", "value"))
 
 
+@query()
+def segment_points(spark, sf):
+    days = C.calendar_agg(table(spark, sf, "events"), "event_type", "ts", {"mean": ("value", "mean")})
+    return rounded(studies.segment_study(days, "mean", 1, "2024-01-02", "2024-01-29", "event_type"))
+
+
 # --------------------------------------------------------------------------- reconstruction
 
 # Lines between means of cents often end in a 5; prices in another currency have no rounding ties.
@@ -911,13 +926,13 @@ def validation_slice(spark, sf):
     return rounded(R.validation_slice(R.daily_summary(bau(spark, sf)), "1998-02-01", "1998-02-28"))
 
 
-@query(f"""SELECT day, unnest(['BAU - observed (delta)', 'rmweather']) AS delta, unnest([d, m]) AS value
+@query(f"""SELECT day, unnest(['BAU - observed (delta)', 'weather normalised']) AS delta, unnest([d, m]) AS value
   FROM (SELECT day, "d7_rollavg_delta_BAU_predict_mean" AS d, d7_rollavg_rm_normal_mean AS m FROM ({DAILY_SQL}))
   WHERE d IS NOT NULL AND m IS NOT NULL""")
 def comparison_long(spark, sf):
     series = {
         "BAU - observed (delta)": "d7_rollavg_delta_BAU_predict_mean",
-        "rmweather": "d7_rollavg_rm_normal_mean",
+        "weather normalised": "d7_rollavg_rm_normal_mean",
     }
     return rounded(R.comparison_long(R.daily_summary(bau(spark, sf)), series))
 
