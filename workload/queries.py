@@ -174,10 +174,10 @@ def fill_calendar(spark, sf):
 # --------------------------------------------------------------------------- rolling operators
 
 
-@query(f"SELECT series, day, round({roll_sql('value', 7)}, 4) AS roll FROM ({ORDERS_DAILY})")
+@query(f"SELECT series, day, round({roll_sql('value', 7)}, 8) AS roll FROM ({ORDERS_DAILY_LOG})")
 def rolling_mean_7(spark, sf):
-    out = W.rolling_mean(orders_daily(spark, sf), "series", "day", {"value": "roll"}, 7)
-    return rounded(out.select("series", "day", "roll"), 4)
+    out = W.rolling_mean(orders_daily_log(spark, sf), "series", "day", {"value": "roll"}, 7)
+    return rounded(out.select("series", "day", "roll"), 8)
 
 
 OLS_FRAME = "(PARTITION BY series ORDER BY {o} ROWS BETWEEN {p} PRECEDING AND CURRENT ROW)"
@@ -550,13 +550,11 @@ def segment_points(spark, sf):
 
 # --------------------------------------------------------------------------- reconstruction
 
-# Lines between means of cents often end in a 5; prices in another currency have no rounding ties.
-RATE = 0.91370731
-MONTHLY = f"SELECT * FROM ({ORDERS_DAILY}) WHERE day = date_trunc('month', day) OR (value > 200000 AND value < 210000)"
+MONTHLY = f"SELECT * FROM ({ORDERS_DAILY_LOG}) WHERE day = date_trunc('month', day) OR (value > 12.1 AND value < 12.2)"
 
 
 def month_knots(daily: DataFrame) -> DataFrame:
-    return daily.filter((F.col("day") == F.trunc("day", "month")) | ((F.col("value") > 200000) & (F.col("value") < 210000)))
+    return daily.filter((F.col("day") == F.trunc("day", "month")) | ((F.col("value") > 12.1) & (F.col("value") < 12.2)))
 
 
 def line_sql(grid: str, knots: str, part: str) -> str:
@@ -576,22 +574,21 @@ GRID = f"""SELECT series, unnest(generate_series(min(day), max(day), INTERVAL 1
   FROM ({ORDERS_DAILY}) GROUP BY series"""
 
 
-@query(f"SELECT series, day, round(approx_value * {RATE}::DOUBLE, 5) AS approx_value FROM ({line_sql(GRID, MONTHLY, 'series')})")
+@query(f"SELECT series, day, round(approx_value, 8) AS approx_value FROM ({line_sql(GRID, MONTHLY, 'series')})")
 def interpolate_linear(spark, sf):
-    daily = orders_daily(spark, sf)
+    daily = orders_daily_log(spark, sf)
     grid = C.day_grid(daily, "series", "day")
-    out = E.interpolate_linear(month_knots(daily), grid, "series", "day")
-    return rounded(out.withColumn("approx_value", F.col("approx_value") * RATE), 5)
+    return rounded(E.interpolate_linear(month_knots(daily), grid, "series", "day"), 8)
 
 
-@query(f"""SELECT series, day, prev_t::VARCHAR AS prev_t, round(prev_value, 5) AS prev_value,
-    next_t::VARCHAR AS next_t, round(next_value, 5) AS next_value
+@query(f"""SELECT series, day, prev_t::VARCHAR AS prev_t, round(prev_value, 8) AS prev_value,
+    next_t::VARCHAR AS next_t, round(next_value, 8) AS next_value
   FROM ({line_sql(GRID, MONTHLY, 'series')})""")
 def knots_around(spark, sf):
-    daily = orders_daily(spark, sf)
+    daily = orders_daily_log(spark, sf)
     grid = C.day_grid(daily, "series", "day")
     out = E.knots_around(grid, month_knots(daily), "series", "day")
-    return rounded(out.withColumns({c: F.col(c).cast("string") for c in ("prev_t", "next_t")}), 5)
+    return rounded(out.withColumns({c: F.col(c).cast("string") for c in ("prev_t", "next_t")}), 8)
 
 
 LINES = f"""lines AS (SELECT s.series, s.window_length_level, s.day, s.cp, s.value, l.approx_value FROM swept s LEFT JOIN (
@@ -637,12 +634,12 @@ def readings_join_left(spark, sf):
     return rounded(out.select(*JOINED_COLS), {"wd": 4})
 
 
-@query(f"""SELECT a.day, a.series AS status, b.series AS line, round(a.value, 5) AS value, round(b.price, 5) AS price
-  FROM ({ORDERS_DAILY}) a JOIN ({LINEITEM_DAILY}) b ON a.day = b.day AND a.series = right(b.series, 1)""")
+@query(f"""SELECT a.day, a.series AS status, b.series AS line, round(a.value, 8) AS value, round(b.price, 8) AS price
+  FROM ({ORDERS_DAILY_LOG}) a JOIN ({LINEITEM_DAILY}) b ON a.day = b.day AND a.series = right(b.series, 1)""")
 def inner_merge(spark, sf):
     lines = lineitem_daily(spark, sf).select("day", F.col("series").alias("line"), F.right("series", F.lit(1)).alias("status"), "price")
-    orders = orders_daily(spark, sf).withColumnRenamed("series", "status")
-    return rounded(J.inner_on(orders, lines, ["day", "status"]), 5)
+    orders = orders_daily_log(spark, sf).withColumnRenamed("series", "status")
+    return rounded(J.inner_on(orders, lines, ["day", "status"]), 8)
 
 
 @query("""SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders
@@ -668,21 +665,23 @@ def align_positions(spark, sf):
     return J.align(signal(spark, sf), other, "series", "index").select("series", "index", "value", "largest")
 
 
-@query(f"""SELECT a.series, a.day, round(a.value, 5) AS value, round(b.quantity, 6) AS quantity FROM ({ORDERS_DAILY}) a
-  LEFT JOIN (SELECT l_linestatus AS series, CAST(l_shipdate AS DATE) AS day, avg(l_quantity) AS quantity
+@query(f"""SELECT a.series, a.day, round(a.value, 8) AS value, round(b.quantity, 6) AS quantity FROM ({ORDERS_DAILY_LOG}) a
+  LEFT JOIN (SELECT l_linestatus AS series, CAST(l_shipdate AS DATE) AS day, avg(sqrt(l_quantity)) AS quantity
              FROM lineitem GROUP BY ALL) b USING (series, day)""")
 def attach_columns(spark, sf):
-    items = table(spark, sf, "lineitem").withColumnRenamed("l_linestatus", "series")
-    other = C.calendar_agg(items, "series", "l_shipdate", {"quantity": ("l_quantity", "mean")})
-    return rounded(J.attach(orders_daily(spark, sf), other, ["series", "day"]), {"value": 5})
+    items = table(spark, sf, "lineitem").select(
+        F.col("l_linestatus").alias("series"), "l_shipdate", F.sqrt("l_quantity").alias("x")
+    )
+    other = C.calendar_agg(items, "series", "l_shipdate", {"quantity": ("x", "mean")})
+    return rounded(J.attach(orders_daily_log(spark, sf), other, ["series", "day"]), {"value": 8})
 
 
 # --------------------------------------------------------------------------- shape and scalars
 
 
-@query(f"SELECT series, day, unnest(['price', 'quantity', 'discount', 'tax']) AS variables, round(unnest([price, quantity, discount, tax]), 5) AS value FROM ({LINEITEM_DAILY})")
+@query(f"SELECT series, day, unnest(['price', 'quantity', 'discount', 'tax']) AS variables, round(unnest([price, quantity, discount, tax]), 7) AS value FROM ({LINEITEM_DAILY})")
 def unpivot_long(spark, sf):
-    return rounded(P.to_long(lineitem_daily(spark, sf), ["series", "day"]), 5)
+    return rounded(P.to_long(lineitem_daily(spark, sf), ["series", "day"]), 7)
 
 
 @query("""SELECT 'orders' AS df_header, CAST(o_orderdate AS DATE) AS day, o_totalprice AS value FROM orders
@@ -721,9 +720,9 @@ def slice_index(spark, sf):
     return P.slice_index(signal(spark, sf), "index", 100, 1500).select("series", "index", "value")
 
 
-@query(f"SELECT series, day, round(price, 5) AS value FROM ({LINEITEM_DAILY}) WHERE price IS NOT NULL")
+@query(f"SELECT series, day, round(price, 8) AS value FROM ({LINEITEM_DAILY}) WHERE price IS NOT NULL")
 def to_series(spark, sf):
-    return rounded(P.to_series(lineitem_daily(spark, sf), "day", "price", "series"), 5)
+    return rounded(P.to_series(lineitem_daily(spark, sf), "day", "price", "series"), 8)
 
 
 @query("""SELECT o_orderkey, o_orderstatus, o_totalprice, 'study' AS time_frame,
@@ -1063,8 +1062,8 @@ def site_statistics(spark, sf):
     return rounded(M.site_statistics(M.model_stats(predicted(spark, sf), "site"), "site"))
 
 
-@query(f"""SELECT stat, "Data", round(a, 6) AS avg, round(s, 6) AS sd, round(a - s, 6) AS lower_sd,
-    round(a + s, 6) AS upper_sd, round(a - 2 * s, 6) AS lower_2_sd, round(a + 2 * s, 6) AS upper_2_sd
+@query(f"""SELECT stat, "Data", round(a, 6) AS avg, round(s, 6) AS sd, round(a - s, 6) + 0.0 AS lower_sd,
+    round(a + s, 6) AS upper_sd, round(a - 2 * s, 6) + 0.0 AS lower_2_sd, round(a + 2 * s, 6) AS upper_2_sd
   FROM (SELECT stat, "Data", avg(value) AS a, stddev_samp(value) AS s
         FROM ({SITE_STATISTICS}) GROUP BY ALL)""")
 def site_stats_bands(spark, sf):

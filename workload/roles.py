@@ -48,15 +48,17 @@ ORDERS_DAILY_LOG = """
 
 
 def lineitem_daily(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily means per flag and status: six daily series of four variables."""
-    items = table(spark, sf, "lineitem").withColumn("series", F.concat("l_returnflag", "l_linestatus"))
-    variables = {"price": "l_extendedprice", "quantity": "l_quantity", "discount": "l_discount", "tax": "l_tax"}
+    """Daily means per flag and status: six daily series of four variables (log price)."""
+    items = table(spark, sf, "lineitem").withColumns(
+        {"series": F.concat("l_returnflag", "l_linestatus"), "x": F.log("l_extendedprice")}
+    )
+    variables = {"price": "x", "quantity": "l_quantity", "discount": "l_discount", "tax": "l_tax"}
     return calendar_agg(items, "series", "l_shipdate", {n: (c, "mean") for n, c in variables.items()})
 
 
 LINEITEM_DAILY = """
   SELECT l_returnflag || l_linestatus AS series, CAST(l_shipdate AS DATE) AS day,
-         avg(l_extendedprice) AS price, avg(l_quantity) AS quantity, avg(l_discount) AS discount,
+         avg(ln(l_extendedprice)) AS price, avg(l_quantity) AS quantity, avg(l_discount) AS discount,
          avg(l_tax) AS tax
   FROM lineitem GROUP BY ALL"""
 
@@ -96,9 +98,9 @@ BAU = """
 def readings(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly readings per event type, with two pollutants; ``ws`` is one the station's value replaces."""
     events = table(spark, sf, "events").select(
-        F.col("event_type").alias("code"), "ts", "value", (F.col("user_id") % 7).alias("u")
+        F.col("event_type").alias("code"), "ts", "value", F.sqrt("value").alias("x"), (F.col("user_id") % 7).alias("u")
     )
-    stats = {"no2": ("value", "mean"), "o3": ("value", "max"), "ws": ("u", "mean")}
+    stats = {"no2": ("x", "mean"), "o3": ("value", "max"), "ws": ("u", "mean")}
     return calendar_agg(events, "code", "ts", stats, unit="hour").select(
         "code",
         F.concat(F.lit("site "), "code").alias("station"),
@@ -113,7 +115,7 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
 READINGS = """
   SELECT event_type AS code, 'site ' || event_type AS station,
          CASE WHEN length(event_type) > 5 THEN 'Roadside' ELSE 'Urban Background' END AS site_type,
-         date_trunc('hour', ts) AS date, avg(value) AS no2,
+         date_trunc('hour', ts) AS date, avg(sqrt(value)) AS no2,
          CASE WHEN max(value) < 300 THEN max(value) END AS o3
   FROM events GROUP BY ALL"""
 
