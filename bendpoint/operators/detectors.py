@@ -124,18 +124,14 @@ def detect(
         fields["rollmax"] = "rollmax"
     if fit:
         fields["r_squared"] = "r2"
-    levels = F.array(
-        *[
-            F.struct(
-                F.lit(int(w)).alias("window_length_level"),
-                *[F.col(f"{c}_{w}").alias(name) for name, c in fields.items()],
-            )
-            for w in windows
-        ]
-    )
-    rows = layout.with_rows(layout.df.withColumn("_level", levels)).finish()
-    wide = [f"{c}_{w}" for w in windows for c in ("slope", "signal", "rollmax", "cp", "r2")]
-    return rows.drop(*wide).select("*", F.inline("_level")).drop("_level")
+
+    def level(w: int) -> list[Column]:
+        return [F.lit(int(w)).alias("window_length_level"), *[F.col(f"{c}_{w}").alias(n) for n, c in fields.items()]]
+
+    out = layout.finish()
+    if len(windows) == 1:
+        return out.select(*df.columns, *level(windows[0]))
+    return out.select(*df.columns, F.inline(F.array(*[F.struct(*level(w)) for w in windows])))
 
 
 def gradient_peaks(

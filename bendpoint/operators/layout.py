@@ -188,8 +188,8 @@ def lay_out(
         df = df.withColumn(ROW, F.col(index).cast("long"))
     added = (ROW, BLOCK, HOME)
     rows = max(block_rows, before + 1, after + 1)
-    block = F.floor((F.col(ROW) - 1) / F.lit(rows)).cast("long")
     place = F.pmod(F.col(ROW) - 1, F.lit(rows))
+    block = F.floor((F.col(ROW) - 1 - place) / F.lit(rows)).cast("long")
     blocks = F.array(
         block,
         F.when(place >= rows - before, block + 1),

@@ -204,13 +204,10 @@ def rolling_ols(
 
 def gradient_column(c: str, layout: Layout) -> Column:
     """Central difference with unit step, one-sided at the two ends of the series."""
-    w = layout.window
+    w, here = layout.window, F.col(c)
     ahead, behind = F.lead(c).over(w), F.lag(c).over(w)
-    return (
-        F.when(F.col(ROW) == 1, ahead - F.col(c))
-        .when(F.lead(ROW).over(w).isNull(), F.col(c) - behind)
-        .otherwise((ahead - behind) / 2.0)
-    )
+    middle = (ahead - behind) / 2.0
+    return F.when(F.col(ROW) == 1, ahead - here).when(F.lead(ROW).over(w).isNull(), here - behind).otherwise(middle)
 
 
 def gradient(

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call sites are recorded for every column expression otherwise, which slows building plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -1088,6 +1088,15 @@ def bau_forest(spark, sf):
     return M.run_bau(model_input(spark, sf), "2024-01-01", "2024-01-20", "2024-01-30", TRIAL_FOREST, threshold=0.15)
 
 
+@query()
+def counterfactual_peaks(spark, sf):
+    """One study end to end without the gate: forecast, daily difference, 7-row mean, peaks."""
+    model = M.run_bau(model_input(spark, sf), "2024-01-01", "2024-01-20", "2024-01-30", TRIAL_FOREST, threshold=None)
+    days = R.daily_summary_subset(model.withColumnRenamed("code", "site"), "bau", keys="site")
+    rows = P.to_series(days, "day", "d7_rollavg_delta_BAU_predict_mean", "site")
+    return D.gradient_peaks(rows, "site", "day", "value", 6, 2)
+
+
 @query()
 def normalised_forest(spark, sf):
     return M.run_normalised(
