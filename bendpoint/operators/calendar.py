@@ -65,16 +65,13 @@ def group_median(
         F.count("_v").alias("_n"),
         F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], accuracy).alias("_b"),
     )
-    counted = (
-        present.groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .join(bracket, keys)
-        .withColumn("_inside", F.col("_v") >= F.col("_b")[0])
-        .filter(F.col("_v") <= F.col("_b")[1])
-    )
     # One row per group for everything below the bracket, one per distinct value inside it.
-    steps = counted.groupBy(*keys, "_n", F.when(F.col("_inside"), F.col("_v")).alias("_v")).agg(
-        F.sum("_c").alias("_c")
+    inside = F.when(F.col("_v") >= F.col("_b")[0], F.col("_v"))
+    steps = (
+        present.join(bracket, keys)
+        .filter(F.col("_v") <= F.col("_b")[1])
+        .groupBy(*keys, "_n", inside.alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
     upto = F.sum("_c").over(
         Window.partitionBy(*keys)
