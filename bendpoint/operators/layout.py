@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
-SERIES_ROWS = 1 << 18  # longest series that is numbered by one window
-BLOCK_ROWS = 1 << 14  # rows of a series that are framed together
+SERIES_ROWS = 1 << 18  # longest stretch of a series that is numbered or summed up by one window
+# Rows of a series that are framed together.  With its copies a block stays below the 4,096 rows up
+# to which Spark keeps a window's rows in a plain in-memory buffer.
+WINDOW_ROWS = 1 << 12
+BLOCK_ROWS = WINDOW_ROWS - 256
 
 ROW = "_row"
 BLOCK = "_block"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import pearson, rmse
-from .layout import BLOCK_ROWS, is_daily, keys_of, position
+from .layout import SERIES_ROWS, add_index, is_daily, keys_of, position
 
 
 def _around(
@@ -17,14 +17,18 @@ def _around(
     """Add the knots (t, v) at or before and at or after each row as ``_prev`` and ``_next``.
 
     ``knot`` is NULL on rows that are none; ``first`` orders rows at the same place.  Rows look for
-    knots within their bin of the axis; where there is none, the bin's carried knot is used, found
-    on a table of one row per bin.  A daily axis needs no bins.
+    knots within their bin; where there is none, the bin's carried knot is used, found on a table
+    of one row per bin.  Bins are stretches of an index axis, or of the numbered rows of a time
+    axis.  A daily axis needs no bins.
     """
     place = list(keys)
     df = df.withColumn("_knot", knot)
     binned = not is_daily(df, t)
     if binned:
-        df = df.withColumn("_bin", F.floor(position(df, t) / bin_width))
+        at = position(df, t)
+        if df.schema[t].dataType.typeName().startswith("timestamp"):
+            df, at = add_index(df, keys, t, tie=first, name="_place", series_rows=bin_width), F.col("_place")
+        df = df.withColumn("_bin", F.floor(at / bin_width)).drop("_place")
         place.append("_bin")
 
     def last_seen(window, c: str, to: int = 0) -> Column:
@@ -72,7 +76,7 @@ def knots_around(
     t: str,
     value: str = "value",
     name: str | None = None,
-    bin_width: int = BLOCK_ROWS,
+    bin_width: int = SERIES_ROWS,
 ) -> DataFrame:
     """For each grid row the knot at or before it and the knot at or after it.
 
@@ -102,7 +106,7 @@ def interpolate_linear(
     t: str,
     value: str = "value",
     name: str = "approx_value",
-    bin_width: int = BLOCK_ROWS,
+    bin_width: int = SERIES_ROWS,
 ) -> DataFrame:
     """Straight lines between neighbouring knots on the grid; NULL outside the outer knots."""
     return knots_around(grid, knots, keys, t, value, name, bin_width).select(*keys_of(keys), t, name)
@@ -115,7 +119,7 @@ def reconstruct(
     value: str = "value",
     cp: str = "cp",
     name: str = "approx_value",
-    bin_width: int = BLOCK_ROWS,
+    bin_width: int = SERIES_ROWS,
 ) -> DataFrame:
     """The series with the line through its own flagged points beside it; keys may hold a level."""
     knot = F.when(F.col(cp), F.struct(F.col(t).alias("t"), F.col(value).cast("double").alias("v")))

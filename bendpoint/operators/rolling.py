@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import as_column
-from .layout import BLOCK_ROWS, ROW, Layout, keys_of, lay_out
+from .layout import BLOCK_ROWS, ROW, WINDOW_ROWS, Layout, keys_of, lay_out
 
 # Frames up to this width are summed row by row, wider ones by running sums over short blocks.
 FRAME_ROWS = 16
@@ -119,7 +119,8 @@ class Fit:
         before, after = max(windows) + reach[0], reach[1]
         running = max(windows) > FRAME_ROWS
         if running:
-            rows = max(RUNNING_BLOCK_ROWS, 8 * (before + after))
+            halo = before + after
+            rows = max(RUNNING_BLOCK_ROWS, min(8 * halo, max(4 * halo, WINDOW_ROWS - halo)))
             block_rows = min(rows, block_rows or rows)
         layout = lay_out(
             df.withColumn("_x", x), keys, t, before, after, index, block_rows or BLOCK_ROWS, restart=running

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
-from .layout import BLOCK, BLOCK_ROWS, ROW, add_index, keys_of, lay_out
+from .layout import BLOCK, ROW, SERIES_ROWS, add_index, keys_of, lay_out
 
 # Ship the solver with the tasks: executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -30,7 +30,7 @@ def running_totals(
     t: str,
     cols: dict[str, Column],
     index: str | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = SERIES_ROWS,
 ) -> DataFrame:
     """Running sums along each series, plus the row index ``index``.
 
@@ -63,7 +63,7 @@ def meanvar_split(
     value: str,
     min_seg: int = 2,
     index: str | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = SERIES_ROWS,
 ) -> DataFrame:
     """The best single change in mean and variance of each series, and whether it counts as one.
 

@@ -119,6 +119,17 @@ def test_knots_carried_over_bins(wave):
     same(wide, lines.select("series", "index", "approx_value"))
 
 
+def test_knots_on_a_time_axis(wave):
+    stamped = wave.withColumn("t", F.timestamp_seconds(F.col("index") * 60)).select("series", "t", "index", "value")
+    knots = stamped.filter(F.col("index") % 300 == 7)
+    narrow = E.interpolate_linear(knots, stamped, "series", "t", bin_width=100)
+    by_index = E.interpolate_linear(knots, stamped, "series", "index")
+    same(
+        stamped.join(narrow, ["series", "t"]).select("series", "index", "approx_value"),
+        by_index.select("series", "index", "approx_value"),
+    )
+
+
 def test_results_do_not_depend_on_the_number_of_tasks(spark, wave):
     def run():
         noisy = N.add_noise(wave, "series", "index", "value", 3, seed=4)
