@@ -12,22 +12,23 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Call sites are recorded for every column expression otherwise, which slows building plans.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
+# Static settings can only be given before a session exists: `get_session` alone uses them.
+# Call sites are recorded for every column expression otherwise, which slows building plans.
+STATIC = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def get_session(app: str = "bendpoint", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for name, value in {**SETTINGS, **conf}.items():
+    for name, value in {**SETTINGS, **STATIC, **conf}.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings to a session somebody else built."""
+    """Apply the run-time settings to a session somebody else built."""
     for name, value in SETTINGS.items():
         if spark.conf.get(name, None) != value:
             spark.conf.set(name, value)

@@ -5,16 +5,22 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from bendpoint.session import get_session  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
+
+from bendpoint.session import configure  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    session = get_session(
-        "tests",
-        "local[4]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g"},
-    )
+    """A plainly built session, configured afterwards: what a caller with a session of their own has."""
+    builder = SparkSession.builder.master("local[4]").appName("tests")
+    for name, value in {
+        "spark.sql.shuffle.partitions": "4",
+        "spark.ui.enabled": "false",
+        "spark.driver.memory": "6g",
+    }.items():
+        builder = builder.config(name, value)
+    session = configure(builder.getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
 
