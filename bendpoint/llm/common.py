@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bendpoint.session import ensure_checkpoint_dir
@@ -71,3 +72,8 @@ def arrow_map(df: DataFrame, func: Callable, schema: str) -> DataFrame:
     if root not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
     return df.mapInArrow(func, schema)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name where the cluster keeps checkpoints."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

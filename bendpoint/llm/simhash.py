@@ -7,10 +7,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ascii_lower, fresh_names, landed, whole_text
+from .common import LOWEST, arrow_map, ascii_lower, fresh_names, landed, whole_text
 from .components import components
 
 BITS = 64
@@ -21,7 +21,7 @@ SHINGLES_AT_ONCE = 1 << 17
 
 
 def shingle_hashes(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, hashes): XXH64 (seed 42) of every run of `size` words, repeats included.
+    """(doc_id, mark, hashes): XXH64 (seed 42) of every run of `size` words, repeats included.
 
     Fewer words make one run, none an empty list. Words get a projection of their own: inlined in the
     lambda below they would be split again for every shingle.
@@ -29,6 +29,7 @@ def shingle_hashes(docs: DataFrame, size: int) -> DataFrame:
     w = F.col("w")
     split = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(whole_text()).alias("mark"),
         F.array_remove(F.split(ascii_lower(whole_text()), SPACE, -1), "").alias("w"),
     )
     runs = F.transform(
@@ -36,7 +37,7 @@ def shingle_hashes(docs: DataFrame, size: int) -> DataFrame:
         lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " ")),
     )
     return split.select(
-        "doc_id", F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(runs).alias("hashes")
+        "doc_id", "mark", F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(runs).alias("hashes")
     )
 
 
@@ -63,12 +64,14 @@ def _majorities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = hashes.offsets.to_numpy()
         flat = hashes.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
         prints = majority(flat.astype(np.int64, copy=False), np.diff(offsets))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("mark"), pa.array(prints)], ["doc_id", "mark", "fp"]
+        )
 
 
 def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
-    """(doc_id, fp bigint): one row per row of docs. Texts without words have fingerprint zero."""
-    return arrow_map(shingle_hashes(docs, size), _majorities, "doc_id bigint, fp bigint")
+    """(doc_id, mark, fp bigint): one row per row of docs. Texts without words have fingerprint zero."""
+    return arrow_map(shingle_hashes(docs, size), _majorities, "doc_id bigint, mark bigint, fp bigint")
 
 
 def choose_blocks(n: int, radius: int) -> int:
@@ -234,6 +237,19 @@ def links(prints: DataFrame, radius: int = 4, unit_rows: int = UNIT_ROWS) -> Dat
     return arrow_map(dealt, _compare(radius), "a bigint, b bigint").distinct()
 
 
+def _groups(docs: DataFrame, radius: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """All rows' prints; and for each distinct print the first row of its component, nulls last."""
+    if not 0 <= radius <= 6:
+        raise ValueError("radius must be 0..6: counters have three bits and spill at eight")
+    prints = landed(fingerprints(docs, size))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    classes = landed(prints.groupBy("fp").agg(F.min(row).alias("first")))
+    roots = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    return prints, rooted.join(least, "root").select("fp", "least")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs; extra columns are not carried.
 
@@ -241,28 +257,23 @@ def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFram
     Null and empty texts have fingerprint zero and link like any other. A null doc_id links but is
     never the smallest unless all of its component are null. Repeated rows repeat. Empty table: empty.
     """
-    if not 0 <= radius <= 6:
-        raise ValueError("radius must be 0..6: counters have three bits and spill at eight")
-    prints = landed(fingerprints(docs, size))
-    classes = landed(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    prints, groups = _groups(docs, radius, size)
+    return prints.join(groups, "fp").select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFrame:
     """The rows of docs that stay when each group of near duplicates keeps its smallest doc_id.
 
-    Rows that repeat the kept doc_id with another text of the group stay as one: the one whose text
-    hashes lowest, and of identical rows one. Rows with a null doc_id go unless their whole group has
-    none, of which one stays. All columns are kept.
+    Where a group holds that doc_id with several texts the one whose hash is lowest stays, and of rows
+    that repeat both, one. Rows with a null doc_id go unless their whole group has none, of which one
+    stays. All columns are kept.
     """
-    doc, first, nth = fresh_names(docs, "doc", "first", "nth")
-    members = near_duplicates(docs, radius, size)
-    kept = members.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias(doc)
+    doc, mark = fresh_names(docs, "doc", "mark")
+    _, groups = _groups(docs, radius, size)
+    chosen = groups.select(
+        F.coalesce("least.doc_id", F.lit(LOWEST)).alias(doc), F.col("least.mark").alias(mark)
     ).distinct()
-    chosen = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept[doc]), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(whole_text()))
-    return chosen.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1).drop(nth)
+    keyed = docs.withColumns(
+        {doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), mark: F.xxhash64(whole_text())}
+    )
+    return keyed.dropDuplicates([doc, mark]).join(chosen, [doc, mark], "left_semi").drop(doc, mark)

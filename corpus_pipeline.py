@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bendpoint.llm import decontam, linededup, simhash
+from public_tokenizers import path as tokenizer_path
+
+from bendpoint.llm import decontam, langid, linededup, packing, simhash
+from bendpoint.llm.common import scratch_folder
+
+
+LEAST_SCORE = 0.5
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learned, with a posterior of LEAST_SCORE or more."""
+    model = langid.train(docs.filter(langid.remainder("doc_id", 4) != 2))
+    out = langid.identify(docs, model)
+    return out.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,16 +38,26 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontam.decontaminate(docs, benchmark).filter(~F.col("contaminated")).select(*docs.columns)
 
 
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the training sequences, with their ids."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
 STAGES = [
+    ("language_id", drop_unknown_language),
     ("line_dedup", drop_repeated_lines),
     ("simhash_near_dedup", drop_near_duplicates),
     ("decontamination", drop_contaminated),
+    ("packing", packed_sequences),
 ]
 ORACLE_SQL = None  # language ID and the fingerprints' majority bits are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`. Each but the last is written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        folder = scratch_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)
