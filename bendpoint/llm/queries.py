@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, packing, simhash, tokenids
+from . import decontam, embed_dedup, langid, linededup, packing, simhash, tokenids
 from .common import scratch_folder
 
 
@@ -45,6 +45,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark, "token-ids")
     tokenids.write_ids(_table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"))
@@ -62,6 +66,7 @@ QUERIES = {
     "op2_langid": op2_langid,
     "op3_decontaminate": op3_decontaminate,
     "op5_line_dedup": op5_line_dedup,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op9_token_ids": op9_token_ids,
     "op10_simhash": op10_simhash,
 }
