@@ -16,7 +16,8 @@ from .components import components
 BITS = 64
 SPACE = r"[\x20\x09-\x0D]+"
 UNIT_ROWS = 4096
-ENTRIES = 1 << 18
+ENTRIES = 1 << 16
+ENTRIES_OUT = 1 << 12
 SHINGLES_AT_ONCE = 1 << 17
 
 
@@ -158,8 +159,8 @@ def sliced_links(fps: np.ndarray, starts: np.ndarray, radius: int) -> Iterator[t
                 if not keep.all():
                     row, at, alive = row[keep], at[keep], alive[keep]
                     ones, twos, fours = ones[keep], twos[keep], fours[keep]
-        for cut in range(0, len(row), 1 << 15):
-            part = slice(cut, cut + (1 << 15))
+        for cut in range(0, len(row), ENTRIES_OUT):
+            part = slice(cut, cut + ENTRIES_OUT)
             lanes = np.unpackbits(np.ascontiguousarray(alive[part]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             entry, found = np.nonzero(lanes)
             if len(entry):
