@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, langid, linededup, packing, simhash, tokenids
+from . import decontam, embed_dedup, langid, linededup, packing, simhash, tokenids, toxicity
 from .common import scratch_folder
 
 
@@ -40,6 +40,15 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.filter(langid.remainder("doc_id", 5) != 0))
+    return toxicity.judge(docs, model).select(
+        "doc_id", (langid.remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted"
+    )
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -65,6 +74,7 @@ QUERIES = {
     "op1_pack": op1_pack,
     "op2_langid": op2_langid,
     "op3_decontaminate": op3_decontaminate,
+    "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op9_token_ids": op9_token_ids,
