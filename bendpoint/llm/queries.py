@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from public_tokenizers import path as tokenizer_path
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, langid, linededup, packing, simhash, tokenids, toxicity
+from . import decontam, embed_dedup, html_main, langid, linededup, packing, pii, simhash, tokenids, toxicity
 from .common import scratch_folder
 
 
@@ -58,6 +58,25 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_* and base_sha256 are of the base spans; spans are all, with those that the chain adds."""
+    out = pii.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select(
+        "doc_id", *map(number, pii.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans")
+    )
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark, "token-ids")
     tokenids.write_ids(_table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"))
@@ -77,6 +96,8 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_personal_data": op7_personal_data,
+    "op8_main_text": op8_main_text,
     "op9_token_ids": op9_token_ids,
     "op10_simhash": op10_simhash,
 }
