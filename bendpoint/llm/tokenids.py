@@ -32,8 +32,8 @@ from .common import arrow_map, fresh_names, whole_text
 from .tokens import pieces
 
 BLOCK_IDS = 1 << 19
-ROUNDS = 8
-PAIRS_A_ROUND = 1024
+ROUNDS = 4
+PAIRS_A_ROUND = 2048
 LEAST_COUNT = 8
 TABLE_BITS = 18
 SCHEMA = (

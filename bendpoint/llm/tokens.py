@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 
 AT_ONCE_CHARS = 1 << 20
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_200_000
 CACHE_CHARS = 1 << 24
 
 # A text is cut where its ids are those of the parts, one after the other. Parts are looked up by keys
@@ -61,16 +62,43 @@ class Pieces:
         self.first, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)
         self.chars = 0
 
-    def _learn(self, new: list[str]) -> None:
-        parts = [self.part(key) for key in new]
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        lengths = np.array([len(e) for e in encoded], np.int64)
-        flat = np.fromiter((i for e in encoded for i in e), np.uint32, int(lengths.sum()))
-        self.where.update(zip(new, range(len(self.length), len(self.length) + len(new)), strict=True))
+    def _add(self, keys: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.where.update(zip(keys, range(len(self.length), len(self.length) + len(keys)), strict=True))
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(lengths) - lengths])
         self.length = np.concatenate([self.length, lengths])
         self.ids = np.concatenate([self.ids, flat])
-        self.chars += sum(map(len, new))
+        self.chars += sum(map(len, keys))
+
+    def _ask(self, keys: list[str]) -> None:
+        parts = [self.part(key) for key in keys]
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        lengths = np.array([len(e) for e in encoded], np.int64)
+        self._add(keys, np.fromiter((i for e in encoded for i in e), np.uint32, int(lengths.sum())), lengths)
+
+    def _learn(self, new: list[str]) -> None:
+        """Letters with ASCII marks behind them are two parts to any of these tokenizers: the ids of a
+        word with its comma are those of the word, often known, and those of the comma."""
+        asked: dict[str, None] = {}
+        marked = []
+        for key in new:
+            core = key.rstrip(string.punctuation)
+            if core != key and core.lstrip("\0").isalpha():
+                tail = self.whole + key[len(core) :]
+                marked.append((key, core, tail))
+                asked.update((x, None) for x in (core, tail) if x not in self.where)
+            else:
+                asked[key] = None
+        if asked:
+            self._ask(list(asked))
+        if marked:
+            at = np.array([[self.where[core], self.where[tail]] for _, core, tail in marked])
+            flat = self._gather(at.ravel())
+            self._add([key for key, _, _ in marked], flat, self.length[at].sum(axis=1))
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        lengths = self.length[at]
+        done = np.cumsum(lengths)
+        return self.ids[np.repeat(self.first[at] - (done - lengths), lengths) + np.arange(done[-1])]
 
     def _find(self, keys: list[str | None]) -> np.ndarray:
         if len(self.where) > CACHE_PIECES or self.chars > CACHE_CHARS:
@@ -101,9 +129,8 @@ class Pieces:
                 chars += len(texts[high])
                 high += 1
             at = self._find(keys)
-            lengths = self.length[at]
-            done = np.cumsum(lengths)
-            flats.append(self.ids[np.repeat(self.first[at] - (done - lengths), lengths) + np.arange(done[-1])])
+            done = np.cumsum(self.length[at])
+            flats.append(self._gather(at))
             counts.append(np.diff(done[np.array(ends) - 1], prepend=0))
             low = high
         return np.concatenate(flats), np.concatenate(counts)
