@@ -175,7 +175,7 @@ class Reader:
     def _describe(self, texts: list[list[str]]) -> np.ndarray:
         ends = np.cumsum([len(t) for t in texts])
         rows = self._find([w for t in texts for w in t])
-        out = np.zeros((len(texts), self.kernel.m))
+        best, total = np.zeros((2, len(texts), self.kernel.m))
         hot = np.flatnonzero(rows)
         of = np.searchsorted(ends, hot, "right")
         for i in np.unique(of).tolist():
@@ -184,13 +184,17 @@ class Reader:
             mine = hot[of == i]
             at = sentence[mine - (ends[i] - len(words))]
             first = np.flatnonzero(np.diff(at, prepend=-1))
-            out[i] = (np.maximum.reduceat(self.rows[rows[mine]], first, axis=0).astype(np.float64) ** 2).sum(axis=0)
-        return np.log1p(out)
+            like = np.maximum.reduceat(self.rows[rows[mine]], first, axis=0).astype(np.float64)
+            best[i], total[i] = like.max(axis=0), (like**2).sum(axis=0)
+        return np.hstack([best, np.log1p(total)])
 
     def documents(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each text and landmark, the logarithm of 1 + the sum over the sentences of the square of
-        the greatest likeness of a word; and the words of each text."""
-        pooled, counts = [np.empty((0, self.kernel.m))], np.zeros(len(texts), np.int64)
+        """For each text its sentences' likeness to each landmark, and the words of each text.
+
+        A sentence is as like a landmark as its likest word. Of the sentences come the greatest likeness
+        (m columns) and the logarithm of 1 + the sum of its squares (m more).
+        """
+        pooled, counts = [np.empty((0, 2 * self.kernel.m))], np.zeros(len(texts), np.int64)
         part: list[list[str]] = []
         size = 0
         for i, text in enumerate(texts):
@@ -312,7 +316,7 @@ def train(
     pooled = np.array(table["pooled"].to_pylist())
     near = _vectors(names)
     values, axes = np.linalg.eigh(near @ near.T)
-    whiten = axes / np.sqrt(np.maximum(values, 1e-3)) @ axes.T
+    whiten = np.kron(np.eye(2), axes / np.sqrt(np.maximum(values, 1e-3)) @ axes.T)
     weights, bias = _svm(pooled @ whiten, np.where(toxic == 1, 1.0, -1.0), np.where(toxic == 1, 3.0, 1.0))
     decisions = pooled @ (whiten @ weights) + bias
     # The sample holds more toxic documents than the corpus: rows count for what they stand for.
