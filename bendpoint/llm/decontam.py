@@ -18,6 +18,10 @@ def _spans(i: Column, hashes: str, n: int) -> list[Column]:
     return [F.get(F.col(hashes), i + j) for j in range(n)]
 
 
+def _slices(starts: Column, n: int) -> Column:
+    return F.transform(starts, lambda i: F.slice(F.col("h"), i, n))
+
+
 def _fingerprints(hashed: DataFrame, window: int, gram: int) -> DataFrame:
     """Add `mins` to rows with word hashes `h`: for each window of words, the least hash of its grams.
 
@@ -105,21 +109,13 @@ def _hits(docs: DataFrame, spans: DataFrame, window: int, gram: int) -> DataFram
             "doc",
             "print",
             "at",
-            F.posexplode(
-                F.transform(
-                    F.sequence(F.lit(1), F.size("h") - (window - 1)), lambda i: F.slice(F.col("h"), i, window)
-                )
-            ).alias("off", "span"),
+            F.posexplode(_slices(F.sequence(F.lit(1), F.size("h") - (window - 1)), window)).alias("off", "span"),
         )
         found.append(hits.select("doc", "print", (F.col("at") + F.col("off")).alias("at"), "span"))
     for n in sorted(set(sizes) - {window}):
         short = small(landed(spans.filter(F.size("span") == n).select(F.xxhash64("span").alias("fp")).distinct()))
-        places = F.when(F.size("h") >= n, F.sequence(F.lit(1), F.size("h") - (n - 1)))
-        grams = hashed.select(
-            "doc",
-            "print",
-            F.posexplode(F.transform(places, lambda i, n=n: F.slice(F.col("h"), i, n))).alias("at", "span"),
-        )
+        starts = F.when(F.size("h") >= n, F.sequence(F.lit(1), F.size("h") - (n - 1)))
+        grams = hashed.select("doc", "print", F.posexplode(_slices(starts, n)).alias("at", "span"))
         found.append(grams.join(short, F.xxhash64("span") == F.col("fp"), "left_semi"))
     if not found:
         return hashed.limit(0).select("doc", "print", F.lit(0).alias("at"), F.col("h").alias("span"))

@@ -141,7 +141,7 @@ def _compare(shared, threshold: float):
             order = np.argsort(tile, kind="stable")
             node, copies, tile, vectors = node[order], copies[order], tile[order], vectors[order]
             cut = int(np.searchsorted(tile, tile[0], "right"))
-            own = cut == len(tile)
+            own = unit.column("own")[0].as_py()  # else one of the two may have no such vectors
             links, forest = np.zeros(len(node), np.int64), Forest(len(node))
             turn = axes.get(vectors.shape[1])
             first, second = (0, len(node)), ((0, len(node)) if own else (cut, len(node)))
@@ -233,7 +233,8 @@ def near_duplicates(
         .join(plan.drop("parts"), ["tile", "part"])
         .select("node", "copies", "vector", "k", other)
         .withColumn("unit", F.least("k", "other") * F.lit(len(parts)) + F.greatest("k", "other"))
-        .select("unit", F.size("vector").alias("dims"), F.col("k").alias("tile"), "node", "copies", "vector")
+        .withColumn("own", F.col("k") == F.col("other"))
+        .select("unit", F.size("vector").alias("dims"), F.col("k").alias("tile"), "own", "node", "copies", "vector")
         .repartition(max(1, min(4 * len(parts), 20_000)), "unit")
         .sortWithinPartitions("unit", "dims")
     )

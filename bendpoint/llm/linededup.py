@@ -96,8 +96,9 @@ def dedup_lines(
     repeat a doc_id are parts of one document: all keep or lose a line together. An empty table gives
     an empty one. Columns named n_lines or n_dropped are replaced; others stay as they are.
     """
-    edges = docs.select(_doc().alias("doc")).approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01)
-    bounds = sorted({int(x) for x in edges or []}, reverse=True)
+    shares = [i / batches for i in range(1, batches)]
+    edges = docs.select(_doc().alias("doc")).approxQuantile("doc", shares, 0.01) if shares else []
+    bounds = sorted({int(x) for x in edges}, reverse=True)
     runs = Runs(min_docs, fanout)
     above = None
     for bound in [*bounds, None]:
