@@ -170,22 +170,18 @@ def lay_out(
     after: int = 0,
     index: str | None = None,
     block_rows: int = BLOCK_ROWS,
-    restart: bool = False,
 ) -> Layout:
     """Order each series by ``t`` for frames reaching ``before`` rows back and ``after`` rows ahead.
 
     ``index`` names a dense row index the table already has (see ``add_index``); without it one is
-    made.  A daily axis, whose length the calendar bounds, is not cut into blocks, unless running
-    sums want to ``restart`` at each block; its blocks then stay where the series is.
+    made.  A daily axis, whose length the calendar bounds, is not cut into blocks.
     """
     keys = keys_of(keys)
-    daily = index is None and is_daily(df, t)
-    if daily:
+    if index is None and is_daily(df, t):
         window = Window.partitionBy(*keys).orderBy(t)
         df = df.withColumn(ROW, _numbered(window, [t]))
-        if not restart:
-            return Layout(df, window, (ROW,))
-    elif index is None:
+        return Layout(df, window, (ROW,))
+    if index is None:
         df = add_index(df, keys, t, name=ROW)
     else:
         df = df.withColumn(ROW, F.col(index).cast("long"))
@@ -202,6 +198,5 @@ def lay_out(
         HOME, F.col(BLOCK) == block
     )
     # Rows may arrive partitioned by series alone, which a window by block would accept as it is.
-    if not daily:
-        spread = spread.repartition(*keys, BLOCK)
+    spread = spread.repartition(*keys, BLOCK)
     return Layout(spread, Window.partitionBy(*keys, BLOCK).orderBy(ROW), added)

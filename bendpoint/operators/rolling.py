@@ -16,11 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import as_column
-from .layout import BLOCK_ROWS, ROW, WINDOW_ROWS, Layout, keys_of, lay_out
-
-# Frames up to this width are summed row by row, wider ones by running sums over short blocks.
-FRAME_ROWS = 16
-RUNNING_BLOCK_ROWS = 256
+from .layout import BLOCK_ROWS, ROW, Layout, keys_of, lay_out
 
 KERNEL_SD = 0.3706506  # sd of the normal kernel per unit of bandwidth (quartiles at +-bandwidth/4)
 KERNEL_REACH = 4.0  # kernel is cut at this many sd
@@ -92,14 +88,13 @@ def axis_value(df: DataFrame, t: str, x_unit: str = "s") -> Column:
 class Fit:
     """A layout on which rolling fits are made, with its regressor ``_x``.
 
-    Spark sums a sliding frame anew at each row.  Wide frames therefore use differences of running
-    sums, which start over at each block of a few frame widths and so keep their digits.
+    Each width is fitted over its own frame, so a window's result depends on the rows in it alone: not
+    on the other widths of a call, nor on where blocks begin.
     """
 
     layout: Layout
     value: str
     scale: float
-    running: bool
 
     @classmethod
     def over(
@@ -117,39 +112,18 @@ class Fit:
         """``reach`` is how far the rows need fits before and after themselves."""
         x, scale = axis_grain(df, t, x_unit)
         before, after = max(windows) + reach[0], reach[1]
-        running = max(windows) > FRAME_ROWS
-        if running:
-            halo = before + after
-            rows = max(RUNNING_BLOCK_ROWS, min(8 * halo, max(4 * halo, WINDOW_ROWS - halo)))
-            block_rows = min(rows, block_rows or rows)
-        layout = lay_out(
-            df.withColumn("_x", x), keys, t, before, after, index, block_rows or BLOCK_ROWS, restart=running
-        )
-        if running:
-            run = layout.running()
-            layout = layout.add({"_x0": F.first("_x").over(run), "_y0": F.first(value, ignorenulls=True).over(run)})
-            dy = F.col(value) - F.col("_y0")
-            dx = F.when(dy.isNotNull(), F.col("_x") - F.col("_x0"))
-            sums = {"_sx": dx, "_sy": dy, "_sxx": dx * dx, "_sxy": dx * dy, "_syy": dy * dy}
-            layout = layout.add(
-                {n: F.sum(c).over(run) for n, c in sums.items()} | {"_sn": F.count(value).over(run)}
-            )
-        return cls(layout, value, scale, running)
+        layout = lay_out(df.withColumn("_x", x), keys, t, before, after, index, block_rows or BLOCK_ROWS)
+        return cls(layout, value, scale)
 
     def _frames(self, w: int, means: bool) -> dict[str, Column]:
         """What each row's frame holds: count, sums about the mean, and the means if wanted."""
-        if not self.running:
-            frame = self.layout.trailing(w)
-            both = {"xx": F.regr_sxx, "xy": F.regr_sxy, "yy": F.regr_syy}
-            out = {"n": F.count(self.value).over(frame)}
-            out |= {n: f(self.value, "_x").over(frame) for n, f in both.items()}
-            if means:
-                out |= {"mx": F.avg("_x").over(frame), "my": F.avg(self.value).over(frame)}
-            return out
-        return {
-            n: F.col(f"_s{n}") - F.coalesce(F.lag(f"_s{n}", w).over(self.layout.window), F.lit(0))
-            for n in ("n", "x", "y", "xx", "xy", "yy")
-        }
+        frame = self.layout.trailing(w)
+        both = {"xx": F.regr_sxx, "xy": F.regr_sxy, "yy": F.regr_syy}
+        out = {"n": F.count(self.value).over(frame)}
+        out |= {n: f(self.value, "_x").over(frame) for n, f in both.items()}
+        if means:
+            out |= {"mx": F.avg("_x").over(frame), "my": F.avg(self.value).over(frame)}
+        return out
 
     def columns(self, windows: Sequence[int], parts: Sequence[str] = ("slope",)) -> Layout:
         """The layout with ``<part>_<w>`` for each width: slope, intercept, r2, sigma; NULL until full."""
@@ -160,12 +134,7 @@ class Fit:
         out: dict[str, Column] = {}
         for w in windows:
             at = {n: F.col(f"_{n}_{w}") for n in held[w]}
-            size = F.lit(float(w))
             xx, xy, yy = at["xx"], at["xy"], at["yy"]
-            if self.running:
-                xx, xy = xx - at["x"] * at["x"] / size, xy - at["x"] * at["y"] / size
-                yy = F.greatest(yy - at["y"] * at["y"] / size, F.lit(0.0))
-                at |= {"mx": F.col("_x0") + at["x"] / size, "my": F.col("_y0") + at["y"] / size}
             slope = F.try_divide(xy, xx)
             formula = {"slope": slope / F.lit(self.scale)}
             if "r2" in parts:
@@ -176,8 +145,7 @@ class Fit:
             if "intercept" in parts:
                 formula["intercept"] = at["my"] - slope * at["mx"]
             out |= {f"{part}_{w}": F.when(at["n"] == w, formula[part]) for part in parts}
-        sums = ["_x", "_x0", "_y0", "_sn", "_sx", "_sy", "_sxx", "_sxy", "_syy"]
-        return layout.with_rows(layout.df.withColumns(out).drop(*sums, *frames))
+        return layout.with_rows(layout.df.withColumns(out).drop("_x", *frames))
 
 
 def rolling_ols(

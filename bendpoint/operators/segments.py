@@ -1,27 +1,15 @@
-"""Changes in mean and variance: one split, and the optimal segmentations over a penalty range."""
+"""The single change in mean and variance of each series."""
 
 from __future__ import annotations
 
-import math
-import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
-from .layout import BLOCK, ROW, SERIES_ROWS, add_index, keys_of, lay_out
-
-# Ship the solver with the tasks: executors need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from .layout import BLOCK, ROW, SERIES_ROWS, keys_of, lay_out
 
 MIN_VARIANCE = 1e-10
-FIRST_PENALTIES = 128  # penalties of the first round
-LANES = 16  # penalties that share a pass over a series
 
 
 def running_totals(
@@ -110,195 +98,3 @@ def meanvar_split(
         F.col("_best.cost").alias("cost"),
         (F.col("null_cost") - F.col("_best.cost") > 4.0 * F.log(F.col("n").cast("double"))).alias("accepted"),
     )
-
-
-class _Paths:
-    """Optimal segmentations of one series at several penalties, fed row by row.
-
-    Holds only the last changes that can still be part of an optimum, each with the mean and the
-    squared deviations of the rows since and, per penalty, the cost up to it and a link to its own
-    last change.  Memory follows the number of changes, not of rows.
-    """
-
-    def __init__(self, penalties: np.ndarray, min_seg: int):
-        self.penalties, self.min_seg, self.n = penalties, min_seg, 0
-        lanes = len(penalties)
-        self.best = np.full(lanes, math.inf)
-        self.chains: list = [None] * lanes
-        # Possible last changes: row, rows since, their mean and sum of squared deviations.
-        self.starts = np.zeros((4, 1))
-        self.costs = -penalties[:, None]
-        self.last_use = np.full((lanes, 1), math.inf)
-        self.links: list = [[None] * lanes]
-
-    def add(self, v: float) -> None:
-        self.n += 1
-        at, m, mean, squares = self.starts
-        m += 1
-        step = v - mean
-        mean += step / m
-        squares += step * (v - mean)
-        usable = m >= self.min_seg
-        if not usable.any():
-            return
-        variance = np.maximum(squares / m, MIN_VARIANCE)
-        segment = np.where(usable, m * (math.log(2 * math.pi) + 1.0 + np.log(variance)), math.inf)
-        total = self.costs + segment
-        chosen = total.argmin(axis=1)
-        best = total[np.arange(len(chosen)), chosen]
-        self.best = best + self.penalties
-        self.chains = [(int(at[j]), self.links[j][lane]) for lane, j in enumerate(chosen)]
-        # A start that already costs more than stopping here cannot win once a segment that begins
-        # after this row is long enough to be allowed.
-        losing = usable & (total > self.best[:, None])
-        np.minimum(self.last_use, np.where(losing, self.n + self.min_seg - 1, math.inf), out=self.last_use)
-        self.costs[self.last_use <= self.n] = math.inf
-        keep = (self.last_use > self.n).any(axis=0)
-        self.starts = np.column_stack([self.starts[:, keep], (self.n, 0, 0, 0)])
-        self.costs = np.column_stack([self.costs[:, keep], self.best])
-        self.last_use = np.column_stack([self.last_use[:, keep], np.full(len(chosen), math.inf)])
-        self.links = [x for x, k in zip(self.links, keep) if k]
-        self.links.append(self.chains)
-
-    def solutions(self) -> Iterator[tuple[float, float | None, list[int]]]:
-        """Per penalty its unpenalised cost and the rows after which the series changes."""
-        for penalty, best, chain in zip(self.penalties, self.best, self.chains):
-            taus = []
-            while chain is not None:
-                if chain[0] > 0:
-                    taus.append(chain[0])
-                chain = chain[1]
-            cost = float(best - len(taus) * penalty) if math.isfinite(best) else None
-            yield float(penalty), cost, taus[::-1]
-
-
-def _solve(pending: DataFrame, rows: DataFrame, keys: list[str], min_seg: int) -> DataFrame:
-    """Optimal segmentation for each pending (series, penalty): one output row per change.
-
-    ``k`` is the change's place, ``m`` the number of changes, ``cost`` the unpenalised cost; a
-    segmentation without changes has one row with a NULL tau.  A series' penalties are solved in
-    groups that share one pass over its rows, which stream through in order.
-    """
-    place = Window.partitionBy(*keys).orderBy("penalty")
-    lanes = (
-        pending.withColumn("_lane", F.floor((F.row_number().over(place) - 1) / LANES))
-        .groupBy(*keys, "_lane")
-        .agg(F.sort_array(F.collect_list("penalty")).alias("_penalties"))
-    )
-    group = [*keys, "_lane"]
-    # A fixed number of tasks: the rows are few for the work they cause, so none should be merged.
-    wanted = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = (
-        rows.join(lanes, keys)
-        .select(*group, "index", "_v", F.when(F.col("index") == 1, F.col("_penalties")).alias("_penalties"))
-        .repartition(wanted, *group)
-        .sortWithinPartitions(*group, "index")
-    )
-    out = T.StructType(
-        [tasks.schema[k] for k in keys]
-        + [
-            T.StructField("penalty", T.DoubleType()),
-            T.StructField("m", T.LongType()),
-            T.StructField("cost", T.DoubleType()),
-            T.StructField("k", T.LongType()),
-            T.StructField("tau", T.LongType()),
-        ]
-    )
-
-    def finish(key: tuple, paths: _Paths) -> pd.DataFrame:
-        parts = []
-        for penalty, cost, taus in paths.solutions():
-            part = pd.DataFrame({"tau": pd.array(taus or [None], dtype="Int64")})
-            part["k"] = pd.array(range(1, len(taus) + 1) if taus else [None], dtype="Int64")
-            part["penalty"], part["m"], part["cost"] = penalty, len(taus), cost
-            parts.append(part)
-        table = pd.concat(parts, ignore_index=True)
-        for name, value in zip(keys, key):
-            table[name] = value
-        return table[out.fieldNames()]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, paths = None, None
-        for batch in batches:
-            marks = zip(*[batch[c] for c in group])
-            for mark, v, penalties in zip(marks, batch["_v"].to_numpy(), batch["_penalties"]):
-                if mark != key:
-                    if paths is not None:
-                        yield finish(key[:-1], paths)
-                    key, paths = mark, _Paths(np.asarray(penalties, dtype=float), min_seg)
-                paths.add(v)
-        if paths is not None:
-            yield finish(key[:-1], paths)
-
-    return tasks.select(*group, "_v", "_penalties").mapInPandas(run, out)
-
-
-def meanvar_segments(
-    df: DataFrame,
-    keys: str | Sequence[str],
-    t: str,
-    value: str,
-    pen_lo: float = 5.0,
-    pen_hi: float = 500.0,
-    min_seg: int = 2,
-    index: str | None = None,
-) -> DataFrame:
-    """All optimal mean-and-variance segmentations of each series for penalties in [pen_lo, pen_hi].
-
-    Output: keys, penalty, m (number of changes), cost, k, tau, ``t`` at tau; one row per change of
-    each segmentation with its smallest solved penalty.
-
-    Segments cost m (ln 2 pi + ln s + 1).  The first round solves a few penalties over the range;
-    each further round solves, in one job, the penalty at which neighbouring solutions that differ
-    by more than one change cost the same, until no new count turns up.  Rounds are cut by
-    ``checkpoint``.  ``index`` is as for ``meanvar_split``.
-
-    The recursion over a series' rows is sequential: rows stream through the task in order and are
-    not held.  Work spreads over series and groups of penalties.
-    """
-    keys = keys_of(keys)
-    ensure_checkpoint_dir(df.sparkSession)
-    rows = df
-    if index is None:
-        rows, index = add_index(df.filter(F.col(value).isNotNull()), keys, t), "index"
-    means = rows.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    rows = rows.join(means, keys).select(
-        *keys, F.col(index).alias("index"), F.col(t).alias("_t"), (F.col(value) - F.col("_mean")).alias("_v")
-    )
-    rows = rows.checkpoint(eager=False)
-    first = np.geomspace(pen_lo, pen_hi, FIRST_PENALTIES)
-    pending = means.select(*keys, F.explode(F.array(*[F.lit(float(p)) for p in first])).alias("penalty"))
-    paths = None
-    while True:
-        solved = _solve(pending, rows, keys, min_seg).checkpoint()
-        paths = solved if paths is None else paths.unionByName(solved)
-        ladder = Window.partitionBy(*keys).orderBy("penalty")
-        counts = paths.groupBy(*keys, "penalty").agg(F.first("m").alias("m"), F.first("cost").alias("cost"))
-        ahead = {c: F.lead(c).over(ladder).alias(f"_{c}") for c in ("penalty", "m", "cost")}
-        between = counts.select(*keys, "penalty", "m", "cost", *ahead.values()).filter("m > _m + 1")
-        middle = (F.col("_cost") - F.col("cost")) / (F.col("m") - F.col("_m"))
-        pending = (
-            between.withColumn("_beta", middle)
-            .filter((F.col("_beta") > F.col("penalty") * (1 + 1e-9)) & (F.col("_beta") < F.col("_penalty") * (1 - 1e-9)))
-            .select(*keys, F.col("_beta").alias("penalty"))
-            .checkpoint()
-        )
-        if pending.isEmpty():
-            break
-    smallest = paths.groupBy(*keys, "m").agg(F.min("penalty").alias("penalty"))
-    distinct = paths.join(smallest, [*keys, "m", "penalty"])
-    axis = rows.select(*keys, F.col("index").alias("tau"), F.col("_t").alias(t))
-    return distinct.join(axis, [*keys, "tau"], "left").select(*keys, "penalty", "m", "cost", "k", "tau", t)
-
-
-def pick_change_points(
-    paths: DataFrame, keys: str | Sequence[str], ncpts: int, mode: str = "nth"
-) -> DataFrame:
-    """Change points of a penalty path.
-
-    ``mode="nth"`` gives the ncpts-th change of every segmentation (the study's column index),
-    ``mode="count"`` the changes of the segmentation that has exactly ncpts of them.
-    """
-    chosen = F.col("k") == ncpts if mode == "nth" else F.col("m") == ncpts
-    rest = [c for c in paths.columns if c not in ("penalty", "m", "cost", "k")]
-    return paths.filter(chosen & F.col("tau").isNotNull()).select(*rest).distinct()

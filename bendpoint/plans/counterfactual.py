@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import mse, pearson
 from ..functions.scalars import axis_key, calendar_features, uniform
-from ..operators.calendar import coverage, gate, group_median, has_signal
+from ..operators.calendar import coverage, gate, group_median
+from ..operators.joins import small
 from ..operators.layout import add_index
 from ..operators.shape import between_dates, to_long
-from ..session import ensure_checkpoint_dir
 
 # Explanatory variables of the model (fixed values).
 WEATHER = ("ws", "wd", "air_temp", "RH", "atmospheric_pressure")
@@ -47,13 +46,25 @@ def prepare(
 
 
 def fill_medians(df: DataFrame, site: str, cols: Sequence[str]) -> DataFrame:
-    """Replace NULLs by the site's median of the column (exact, all columns in one pass)."""
+    """Replace NULLs by the site's median of the column (exact, all columns in one pass).
+
+    A column that a site never measured takes the mean of the other sites' medians, and 0 where none
+    measured it: no row is lost to a model for want of a column.
+    """
     long = to_long(df.select(site, *[F.col(c).cast("double").alias(c) for c in cols]), [site])
     medians = group_median(long, [site, "variables"], "value").groupBy(site).agg(
         *[F.max(F.when(F.col("variables") == c, F.col("median"))).alias(f"_{c}") for c in cols]
     )
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_{c}")) for c in cols}
-    return df.join(medians, site, "left").withColumns(filled).drop(*[f"_{c}" for c in cols])
+    overall = medians.agg(*[F.avg(f"_{c}").alias(f"_all_{c}") for c in cols])  # one row
+    known = df.select(site).distinct().join(medians, site, "left").join(F.broadcast(overall), how="cross")
+    filled = {
+        c: F.coalesce(F.col(c).cast("double"), F.col(f"_{c}"), F.col(f"_all_{c}"), F.lit(0.0)) for c in cols
+    }
+    return (
+        df.join(small(known, df.select(site).distinct()), site, "left")
+        .withColumns(filled)
+        .drop(*[f"_{c}" for c in cols], *[f"_all_{c}" for c in cols])
+    )
 
 
 def split_sets(df: DataFrame, site: str, t: str, share: float = 0.8, seed: int = 0) -> DataFrame:
@@ -84,73 +95,92 @@ class Forest:
     min_node: int = 5
     seed: int = 0
 
-    def fit(self, df: DataFrame, variables: Sequence[str], site: str | None = None) -> PipelineModel:
-        """One model of the training rows; with ``site`` the site is one more categorical variable."""
-        train = df.filter(F.col("set") == "training")
-        stages: list = []
-        inputs = list(variables)
-        bins = 32
-        if site is not None:
-            indexer = StringIndexer(inputCol=site, outputCol="_site", handleInvalid="keep")
-            indexed = indexer.fit(train)
-            bins = max(bins, len(indexed.labels) + 1)
-            stages.append(indexed)
-            inputs.append("_site")
-        stages.append(VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="skip"))
-        stages.append(
-            RandomForestRegressor(
-                featuresCol="_features",
-                labelCol="value",
-                predictionCol="value_predict",
-                numTrees=self.n_trees,
-                maxDepth=self.max_depth,
-                minInstancesPerNode=self.min_node,
-                featureSubsetStrategy="sqrt",
-                maxBins=bins,
-                seed=self.seed,
-            )
+    def fit(self, df: DataFrame, variables: Sequence[str]) -> PipelineModel:
+        """One model of the training rows."""
+        forest = RandomForestRegressor(
+            featuresCol="_features",
+            labelCol="value",
+            predictionCol="value_predict",
+            numTrees=self.n_trees,
+            maxDepth=self.max_depth,
+            minInstancesPerNode=self.min_node,
+            featureSubsetStrategy="sqrt",
+            seed=self.seed,
         )
-        return Pipeline(stages=stages).fit(train)
+        assemble = VectorAssembler(inputCols=list(variables), outputCol="_features", handleInvalid="error")
+        return Pipeline(stages=[assemble, forest]).fit(df.filter(F.col("set") == "training"))
+
+
+SITE_LEVEL = ("_site_mean", "_site_sd")
 
 
 @dataclass(frozen=True)
 class SiteModels:
-    """Models by site; the site None stands for one model of all sites pooled."""
+    """Models by site; the site None stands for one model of all sites, told apart by their level."""
 
     models: dict[str | None, PipelineModel]
     site: str
+    levels: DataFrame | None = None
 
     def predict(self, df: DataFrame) -> DataFrame:
+        """Rows with ``value_predict``.  Rows of sites without a model of their own are absent."""
         if None in self.models:
-            return self.models[None].transform(df).drop("_features", "_site")
+            rows = with_levels(df, self.levels, self.site)
+            return self.models[None].transform(rows).drop("_features", *SITE_LEVEL)
         parts = [
             m.transform(df.filter(F.col(self.site) == s)).drop("_features") for s, m in self.models.items()
         ]
         return reduce(DataFrame.unionByName, parts)
 
 
+def site_levels(df: DataFrame, site: str) -> DataFrame:
+    """Mean and sd of each site's training values: what a pooled model knows of a site."""
+    value = F.when(F.col("set") == "training", F.col("value"))
+    return df.groupBy(site).agg(
+        F.avg(value).alias("_site_mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("_site_sd")
+    )
+
+
+def with_levels(df: DataFrame, levels: DataFrame, site: str) -> DataFrame:
+    """Add the site's level; a site without training rows takes the mean of the others."""
+    overall = levels.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"_all{c}") for c in SITE_LEVEL])
+    joined = df.join(small(levels, df.select(site).distinct()), site, "left").join(F.broadcast(overall), how="cross")
+    filled = {c: F.coalesce(c, f"_all{c}") for c in SITE_LEVEL}
+    return joined.withColumns(filled).drop(*[f"_all{c}" for c in SITE_LEVEL])
+
+
 def fit_bau(
     df: DataFrame,
     variables: Sequence[str],
     forest: Forest,
     site: str = "code",
     sites: Sequence[str] | None = None,
-    pooled: bool = False,
     at_once: int = 4,
 ) -> SiteModels:
-    """Fit one forest per site, or one pooled forest when there are too many sites for that.
+    """One pooled forest of all sites, or one forest for each of a given list of ``sites``.
 
-    Each fit is itself a distributed job over the site's rows; a few run at the same time.
+    Each fit is itself a distributed job.  A listed site without training rows gets no model; its rows
+    are then absent from predictions (``untrained`` lists such sites).
     """
-    if pooled:
-        return SiteModels({None: forest.fit(df, variables, site)}, site)
     if sites is None:
-        sites = [r[0] for r in df.select(site).distinct().orderBy(site).toLocalIterator()]
+        levels = site_levels(df, site)
+        return SiteModels({None: forest.fit(with_levels(df, levels, site), [*variables, *SITE_LEVEL])}, site, levels)
+    wanted = df.filter(F.col(site).isin(list(sites)) & (F.col("set") == "training"))
+    trained = {r[0] for r in wanted.select(site).distinct().collect()}  # no more than the list holds
+    sites = [s for s in sites if s in trained]
+    if not sites:
+        raise ValueError("none of the sites has training rows")
     with ThreadPoolExecutor(at_once) as pool:
         fitted = pool.map(lambda s: forest.fit(df.filter(F.col(site) == s), variables), sites)
         return SiteModels(dict(zip(sites, fitted)), site)
 
 
+def untrained(df: DataFrame, site: str = "code") -> DataFrame:
+    """Sites without a training row, with the reason: what a per-site run leaves out."""
+    rows = F.count(F.when(F.col("set") == "training", 1))
+    return df.groupBy(site).agg(rows.alias("n")).filter("n = 0").select(site, F.lit("no training rows").alias("reason"))
+
+
 def resample(
     df: DataFrame, site: str, t: str, cols: Sequence[str], n_samples: int, seed: int = 0
 ) -> DataFrame:
@@ -160,7 +190,7 @@ def resample(
     """
     pool = add_index(df.select(site, t, *cols), site, t, name="_draw").drop(t)
     sizes = df.groupBy(site).agg(F.count(F.lit(1)).alias("_n"))
-    kept = df.drop(*cols).join(sizes, site).withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
+    kept = df.drop(*cols).join(small(sizes), site).withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
     draw = uniform(site, axis_key(df, t), F.lit("resample"), "sample", F.lit(seed))
     place = (F.floor(draw * F.col("_n")) + 1).cast("long")
     return kept.withColumn("_draw", place).join(pool, [site, "_draw"]).drop("_draw", "_n")
@@ -200,23 +230,21 @@ def site_statistics(pred: DataFrame, site: str = "code") -> DataFrame:
     )
 
 
-def _landed(df: DataFrame, site: str, t: str) -> DataFrame:
-    """Write a table by site to the shared folder, so that a fit reads only its own site's files.
+def _measured(df: DataFrame) -> list[str]:
+    """The model's variables that any row holds: one small row."""
+    held = df.agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in WEATHER]).first()
+    return [*[c for c in WEATHER if held[c]], *CALENDAR]
 
-    Rows are ranged by site and time first: a site with many rows is written by many tasks.
-    """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/bendpoint-{uuid.uuid4().hex}"
-    df.repartitionByRange(site, t).write.partitionBy(site).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def _one_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Several keys (site and pollutant, say) as one text column ``_key``."""
+    return df.withColumn("_key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
 
 
-def _by_pressure(df: DataFrame, site: str) -> dict[bool, list[str]]:
-    """Site names with and without pressure readings: one small row per site."""
-    groups: dict[bool, list[str]] = {True: [], False: []}
-    rows = has_signal(df, site, "atmospheric_pressure").orderBy(site)
-    for name, has in rows.toLocalIterator():
-        groups[has].append(name)
-    return groups
+def _keys_again(out: DataFrame, keys: Sequence[str], like: DataFrame) -> DataFrame:
+    kinds = ", ".join(f"`{k}` {like.schema[k].dataType.simpleString()}" for k in keys)
+    parts = F.from_json("_key", kinds)
+    return out.select(*[parts[k].alias(k) for k in keys], *[c for c in out.columns if c != "_key"])
 
 
 def run_bau(
@@ -227,39 +255,41 @@ def run_bau(
     forest: Forest = Forest(),
     threshold: float | None = 0.85,
     n_samples: int | None = None,
-    site: str = "code",
+    site: str | Sequence[str] = "code",
     t: str = "date",
     hours: float = 1.0,
-    pooled: bool = False,
+    sites: Sequence[str] | None = None,
 ) -> DataFrame:
     """Coverage gate, training up to ``train_end``, prediction up to ``predict_end``, statistics.
 
+    ``site`` may be several keys, as (site, pollutant): each combination is then a site of its own.
+    One pooled forest serves all sites unless ``sites`` lists those (of one key) that get their own.
     With ``n_samples`` a second forest, of the prediction span, also gives ``rm_normal_value``.
     Sites below the coverage threshold are absent; ``operators.calendar.skipped`` lists them.
     """
+    if not isinstance(site, str):
+        out = run_bau(
+            _one_key(df, site), begin, train_end, predict_end, forest, threshold, n_samples, "_key", t, hours
+        )
+        return _keys_again(out, site, df)
     rows = between_dates(df, t, begin)
     if threshold is not None:
         rows = gate(rows, coverage(df, site, t, begin, train_end, hours=hours), site, threshold)
-    rows = _landed(between_dates(rows, t, None, predict_end), site, t)
-    span = _landed(features(rows, site, t, seed=forest.seed), site, t)
-    train = _landed(features(between_dates(rows, t, None, train_end), site, t, seed=forest.seed), site, t)
-    parts = []
-    for has_pressure, sites in _by_pressure(span, site).items():
-        if not sites:
-            continue
-        variables = [c for c in (*WEATHER, *CALENDAR) if has_pressure or c != "atmospheric_pressure"]
-        own, early = (x.filter(F.col(site).isin(sites)) for x in (span, train))
-        models = fit_bau(early, variables, forest, site, sites, pooled)
-        fitted = model_stats(models.predict(early), site)
-        stats = fitted.select(site, *STATS).distinct()
-        out = models.predict(own).select(site, t, "value", "value_predict").join(stats, site)
-        if n_samples is not None:
-            again = fit_bau(own, variables, forest, site, sites, pooled)
-            out = out.join(normalise(again, own, variables, n_samples, t, forest.seed), [site, t])
-        parts.append(out)
-    if not parts:
+    rows = between_dates(rows, t, None, predict_end)
+    if sites is not None:
+        rows = rows.filter(F.col(site).isin(list(sites)))
+    if rows.isEmpty():
         raise ValueError("no site reaches the coverage threshold")
-    return reduce(DataFrame.unionByName, parts)
+    variables = _measured(rows)
+    span = features(rows, site, t, seed=forest.seed)
+    train = features(between_dates(rows, t, None, train_end), site, t, seed=forest.seed)
+    models = fit_bau(train, variables, forest, site, sites)
+    stats = model_stats(models.predict(train), site).select(site, *STATS).distinct()
+    out = models.predict(span).select(site, t, "value", "value_predict").join(stats, site)
+    if n_samples is not None:
+        again = fit_bau(span, variables, forest, site, sites)
+        out = out.join(normalise(again, span, variables, n_samples, t, forest.seed), [site, t])
+    return out
 
 
 def run_normalised(
@@ -269,30 +299,29 @@ def run_normalised(
     forest: Forest = Forest(),
     threshold: float | None = 0.85,
     n_samples: int = 300,
-    site: str = "code",
+    site: str | Sequence[str] = "code",
     t: str = "date",
     hours: float = 1.0,
-    pooled: bool = False,
+    sites: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Weather-normalised series of each site that passes the gate: site, t, raw_value, value_predict."""
+    """Weather-normalised series of each site that passes the gate: site, t, raw_value, value_predict.
+
+    Keys and ``sites`` as in ``run_bau``.
+    """
+    if not isinstance(site, str):
+        out = run_normalised(_one_key(df, site), begin, end, forest, threshold, n_samples, "_key", t, hours)
+        return _keys_again(out, site, df)
     rows = between_dates(df, t, begin)
     if threshold is not None:
         rows = gate(rows, coverage(df, site, t, begin, end, hours=hours), site, threshold)
-    rows = _landed(between_dates(rows, t, None, end), site, t)
-    span = _landed(features(rows, site, t, seed=forest.seed), site, t)
-    parts = []
-    for has_pressure, sites in _by_pressure(span, site).items():
-        if not sites:
-            continue
-        variables = [c for c in (*WEATHER, *CALENDAR) if has_pressure or c != "atmospheric_pressure"]
-        own = span.filter(F.col(site).isin(sites))
-        models = fit_bau(own, variables, forest, site, sites, pooled)
-        normal = normalise(models, own, variables, n_samples, t, forest.seed)
-        parts.append(
-            own.select(site, t, F.col("value").alias("raw_value")).join(
-                normal.withColumnRenamed("rm_normal_value", "value_predict"), [site, t]
-            )
-        )
-    if not parts:
+    rows = between_dates(rows, t, None, end)
+    if sites is not None:
+        rows = rows.filter(F.col(site).isin(list(sites)))
+    if rows.isEmpty():
         raise ValueError("no site reaches the coverage threshold")
-    return reduce(DataFrame.unionByName, parts)
+    variables = _measured(rows)
+    span = features(rows, site, t, seed=forest.seed)
+    normal = normalise(fit_bau(span, variables, forest, site, sites), span, variables, n_samples, t, forest.seed)
+    return span.select(site, t, F.col("value").alias("raw_value")).join(
+        normal.withColumnRenamed("rm_normal_value", "value_predict"), [site, t]
+    )

@@ -1,4 +1,4 @@
-"""The three studies end to end, each as one distributed job over all its series."""
+"""The studies end to end, each as one distributed job over all its series."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from ..operators.detectors import PeakRule, coinciding, gradient_peaks, multi_se
 from ..operators.joins import expand_horizons
 from ..operators.layout import keys_of
 from ..operators.reconstruct import reconstruct, score_reconstruction
-from ..operators.segments import meanvar_segments, pick_change_points
 from ..operators.shape import between_dates, to_series, union_labelled
 
 
@@ -44,20 +43,6 @@ def horizon_study(
     return gradient_peaks(rows, [*keys, "time_frame", "time_frame_ord"], "day", "value", w, k)
 
 
-def segment_study(
-    daily: DataFrame,
-    variable: str,
-    ncpts: int,
-    a: str | None = None,
-    b: str | None = None,
-    keys: str | Sequence[str] = (),
-    mode: str = "nth",
-) -> DataFrame:
-    """Changes in mean and variance of one variable between two days, from its penalty path."""
-    rows = to_series(between_dates(daily, "day", a, b), "day", variable, keys)
-    return pick_change_points(meanvar_segments(rows, keys, "day", "value"), keys, ncpts, mode)
-
-
 def window_study(
     rows: DataFrame,
     keys: str | Sequence[str],

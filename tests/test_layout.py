@@ -82,13 +82,19 @@ def test_blocks_change_nothing(wave, run):
     same(run(wave), run(wave, block_rows=64))
 
 
-def test_running_sums_equal_frames(wave, monkeypatch):
-    running = D.detect(wave, "series", "index", "value", [20, 50], D.PeakRule(k=7, lead=4, digits=4), index="index", fit=True)
-    running = running.persist()
-    running.count()
-    monkeypatch.setattr(W, "FRAME_ROWS", 1000)
-    frames = D.detect(wave, "series", "index", "value", [20, 50], D.PeakRule(k=7, lead=4, digits=4), index="index", fit=True)
-    same(frames, running, 1e-6)
+def test_a_width_does_not_depend_on_the_others(wave, spark):
+    """Flags and fits of a width are the same alone and in a sweep, on a signal and on a broken line."""
+    line = spark.range(1, 1501).select(
+        F.lit("line").alias("series"),
+        F.col("id").alias("index"),
+        (F.least(F.col("id") / 30.0, 20 - F.col("id") / 40.0) + F.greatest(F.lit(0.0), (F.col("id") - 900) / 70.0)).alias("value"),
+    )
+    rule = D.PeakRule(k=7, lead=4, floor=0.0)
+    for rows in (wave.select("series", "index", "value"), line):
+        alone = D.sweep_windows(rows, "series", "index", "value", [7], rule)
+        swept = D.sweep_windows(rows, "series", "index", "value", [7, 42], rule)
+        swept = swept.filter(F.col("window_length_level") == alone.first()["window_length_level"])
+        assert sorted(map(str, swept.collect())) == sorted(map(str, alone.collect()))
 
 
 def test_kernel_on_any_axis_equals_kernel_on_dense_index(wave):
@@ -97,18 +103,6 @@ def test_kernel_on_any_axis_equals_kernel_on_dense_index(wave):
     same(dense, ranged)
 
 
-def test_daily_axis_running_sums_equal_frames(spark, monkeypatch):
-    days = spark.range(900).select(
-        F.lit("s").alias("series"),
-        F.date_add(F.lit("2019-01-01").cast("date"), (F.col("id") + F.floor(F.col("id") / 13)).cast("int")).alias("day"),
-        (F.sin(F.col("id") / 9.0) + F.pmod(F.col("id") * 31, F.lit(17)) / 10.0).alias("value"),
-    )
-    running = D.sweep_windows(days, "series", "day", "value", [7, 42]).persist()
-    assert running.count() > 0
-    monkeypatch.setattr(W, "FRAME_ROWS", 1000)
-    same(D.sweep_windows(days, "series", "day", "value", [7, 42]), running, 1e-6)
-
-
 def test_knots_carried_over_bins(wave):
     knots = wave.filter(F.col("index") % 700 == 10)
     narrow = E.interpolate_linear(knots, wave, "series", "index", bin_width=32)

@@ -12,7 +12,6 @@ import __spark_entry__ as registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "nation region customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-SLOW = {"meanvar_segments"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
 
@@ -52,7 +51,7 @@ def test_query_equals_sql(spark, duck, name):
     assert lines(ours) == lines(theirs)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_without_sql_has_rows(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 

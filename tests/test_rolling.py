@@ -17,9 +17,7 @@ def test_mean_is_null_until_full_and_where_a_member_is(series):
     assert column(out, "m") == [None] * 6 + [4.0, None]
 
 
-@pytest.mark.parametrize("frame_rows", [1, 100])
-def test_slope_and_r2(series, monkeypatch, frame_rows):
-    monkeypatch.setattr(W, "FRAME_ROWS", frame_rows)
+def test_slope_and_r2(series):
     out = W.rolling_ols(series([2, 2, 2, 2, 7, 9, 1, 4]), "series", "index", "value", 4, index="index")
     slopes = column(out, "slope")
     assert slopes[:3] == [None] * 3

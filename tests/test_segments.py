@@ -1,94 +1,13 @@
-"""Mean-and-variance segmentation against brute force."""
+"""The single mean-and-variance split against brute force."""
 
 import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from bendpoint.operators import segments as S
 
 
-def segment_cost(v, a, b):
-    part = v[a:b]
-    m = b - a
-    var = max(float(np.var(part)), S.MIN_VARIANCE)
-    return m * (math.log(2 * math.pi) + math.log(var) + 1)
-
-
-def optimum(v, penalty, min_seg=2):
-    """Best penalised cost and change points by trying every last change."""
-    n = len(v)
-    best = [math.inf] * (n + 1)
-    best[0], back = -penalty, [0] * (n + 1)
-    for t in range(min_seg, n + 1):
-        options = [(best[s] + segment_cost(v, s, t) + penalty, s) for s in range(0, t - min_seg + 1)]
-        best[t], back[t] = min(options)
-    taus, t = [], n
-    while back[t] > 0:
-        t = back[t]
-        taus.append(t)
-    return best[n], taus[::-1]
-
-
-@pytest.fixture(scope="module")
-def values():
-    rng = np.random.default_rng(3)
-    return {
-        "steps": np.r_[rng.normal(0, 1, 30), rng.normal(6, 1, 25), rng.normal(6, 4, 30), rng.normal(-2, 0.5, 15)],
-        "plain": rng.normal(0, 1, 60),
-    }
-
-
-@pytest.fixture(scope="module")
-def paths(spark, values):
-    rows = [(k, i, float(x)) for k, v in values.items() for i, x in enumerate(v, start=1)]
-    df = spark.createDataFrame(rows, "series string, index long, value double")
-    return S.meanvar_segments(df, "series", "index", "value", index="index").toPandas()
-
-
-def test_solver_equals_brute_force(values):
-    for v in values.values():
-        v = v - v.mean()
-        for penalties in ([5.0, 7.0, 12.0, 40.0], [200.0]):
-            for min_seg in (2, 4):
-                solver = S._Paths(np.array(penalties), min_seg)
-                for x in v:
-                    solver.add(x)
-                for penalty, cost, taus in solver.solutions():
-                    expected, expected_taus = optimum(v, penalty, min_seg)
-                    assert cost + penalty * len(taus) == pytest.approx(expected, abs=1e-6)
-                    assert taus == expected_taus
-
-
-def test_path_is_ordered_and_complete(paths, values):
-    for name, group in paths.groupby("series"):
-        table = group[["m", "cost", "penalty"]].drop_duplicates().sort_values("m")
-        assert table["m"].is_unique
-        assert (np.diff(table["cost"]) < 0).all()
-        assert (np.diff(table["penalty"]) < 0).all()
-        v = values[name] - values[name].mean()
-        counts = {len(optimum(v, p)[1]) for p in np.geomspace(5, 500, 60)}
-        assert counts <= set(table["m"])
-
-
-def test_change_points_lie_at_the_steps(paths):
-    steps = paths[(paths["series"] == "steps") & (paths["m"] == 3)]
-    assert [abs(a - b) <= 2 for a, b in zip(sorted(steps["tau"]), (30, 55, 85))] == [True] * 3
-
-
-def test_pick(spark, paths):
-    df = spark.createDataFrame(paths.astype({"tau": "float", "k": "float", "index": "float"}))
-    chosen = S.pick_change_points(df, "series", 2, mode="count")
-    assert set(chosen.filter("series = 'steps'").toPandas()["tau"]) == set(
-        paths[(paths["series"] == "steps") & (paths["m"] == 2)]["tau"]
-    )
-    first = S.pick_change_points(df, "series", 1)
-    assert set(first.filter("series = 'steps'").toPandas()["tau"]) == set(
-        paths[(paths["series"] == "steps") & (paths["k"] == 1)]["tau"]
-    )
-
-
 def test_single_split(spark):
     rng = np.random.default_rng(0)
     step = np.r_[rng.normal(0, 1, 200), rng.normal(5, 1, 200)]
@@ -113,5 +32,3 @@ def test_short_series_have_no_split(spark):
     df = spark.createDataFrame([("s", 1, 1.0), ("s", 2, 2.0)], "series string, index long, value double")
     row = S.meanvar_split(df, "series", "index", "value", index="index").first()
     assert row["tau"] is None
-    paths = S.meanvar_segments(df.filter(F.col("index") < 9), "series", "index", "value", index="index")
-    assert paths.select("m").distinct().collect()[0]["m"] == 0

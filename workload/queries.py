@@ -536,18 +536,6 @@ def meanvar_split(spark, sf):
     return rounded(out.drop("at"), 4)
 
 
-@query()
-def meanvar_segments(spark, sf):
-    rows = W.rolling_mean(orders_daily(spark, sf), "series", "day", {"value": "roll"}, 7)
-    return rounded(S.meanvar_segments(P.to_series(rows, "day", "roll", "series"), "series", "day", "value"))
-
-
-@query()
-def segment_points(spark, sf):
-    days = C.calendar_agg(table(spark, sf, "events"), "event_type", "ts", {"mean": ("value", "mean")})
-    return rounded(studies.segment_study(days, "mean", 1, "2024-01-02", "2024-01-29", "event_type"))
-
-
 # --------------------------------------------------------------------------- reconstruction
 
 MONTHLY = f"SELECT * FROM ({ORDERS_DAILY_LOG}) WHERE day = date_trunc('month', day) OR (value > 12.1 AND value < 12.2)"
@@ -1080,18 +1068,18 @@ def fit_errors(spark, sf):
     return rounded(out, {"rmse": 4, "rsquared": 8})
 
 
-TRIAL_FOREST = M.Forest(n_trees=20, max_depth=8, seed=7)
+STUDY_FOREST = M.Forest(n_trees=300, max_depth=12, seed=7)
 
 
 @query()
 def bau_forest(spark, sf):
-    return M.run_bau(model_input(spark, sf), "2024-01-01", "2024-01-20", "2024-01-30", TRIAL_FOREST, threshold=0.15)
+    return M.run_bau(model_input(spark, sf), "2024-01-01", "2024-01-20", "2024-01-30", STUDY_FOREST, threshold=0.15)
 
 
 @query()
 def counterfactual_peaks(spark, sf):
     """One study end to end without the gate: forecast, daily difference, 7-row mean, peaks."""
-    model = M.run_bau(model_input(spark, sf), "2024-01-01", "2024-01-20", "2024-01-30", TRIAL_FOREST, threshold=None)
+    model = M.run_bau(model_input(spark, sf), "2024-01-01", "2024-01-20", "2024-01-30", STUDY_FOREST, threshold=None)
     days = R.daily_summary_subset(model.withColumnRenamed("code", "site"), "bau", keys="site")
     rows = P.to_series(days, "day", "d7_rollavg_delta_BAU_predict_mean", "site")
     return D.gradient_peaks(rows, "site", "day", "value", 6, 2)
@@ -1100,7 +1088,7 @@ def counterfactual_peaks(spark, sf):
 @query()
 def normalised_forest(spark, sf):
     return M.run_normalised(
-        model_input(spark, sf), "2024-01-01", "2024-01-30", TRIAL_FOREST, threshold=0.15, n_samples=10
+        model_input(spark, sf), "2024-01-01", "2024-01-30", STUDY_FOREST, threshold=0.15, n_samples=10
     )
 
 
