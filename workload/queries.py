@@ -1073,7 +1073,7 @@ STUDY_FOREST = M.Forest(n_trees=300, max_depth=12, seed=7)
 
 @query()
 def bau_forest(spark, sf):
-    return M.run_bau(model_input(spark, sf), "2024-01-01", "2024-01-20", "2024-01-30", STUDY_FOREST, threshold=0.15)
+    return M.run_bau(model_input(spark, sf), "2024-01-01", "2024-01-20", "2024-01-30", STUDY_FOREST, threshold=0.85)
 
 
 @query()
@@ -1088,7 +1088,7 @@ def counterfactual_peaks(spark, sf):
 @query()
 def normalised_forest(spark, sf):
     return M.run_normalised(
-        model_input(spark, sf), "2024-01-01", "2024-01-30", STUDY_FOREST, threshold=0.15, n_samples=10
+        model_input(spark, sf), "2024-01-01", "2024-01-30", STUDY_FOREST, n_samples=300
     )
 
 
