@@ -80,19 +80,22 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int) -> tuple[np.ndarray
         chosen = _frequent(keys[inside], slots[inside], room - len(rules))
         if not len(chosen):
             break
-        order = np.sort(chosen)
-        hot = np.zeros(1 << TABLE_BITS, bool)
-        hot[_slot(order)] = True
-        at = np.flatnonzero(hot[slots] & inside)
-        rank = np.minimum(np.searchsorted(order, keys[at]), len(order) - 1)
-        right = order[rank] == keys[at]
+        # One pair for each slot of the table: another of the same slot waits for the next round.
+        own = _slot(chosen)
+        chosen = chosen[np.sort(np.unique(own, return_index=True)[1])]
+        rank_of = np.full(1 << TABLE_BITS, -1, np.int32)
+        rank_of[_slot(chosen)] = np.arange(len(chosen))
+        rank = rank_of[slots]
+        at = np.flatnonzero((rank >= 0) & inside)
+        rank = rank[at]
+        right = chosen[rank] == keys[at]
         at, rank = at[right], rank[right]
         # Of places that touch, every other one counts, from the left.
         begins = np.diff(at, prepend=-2) != 1
         run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
         free = (np.arange(len(at)) - run) % 2 == 0
         at, rank = at[free], rank[free]
-        pair = np.stack([order >> np.uint64(32), order & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        pair = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
         known = np.concatenate([[1], lengths])  # a token is one id long
         parts = known[np.maximum(pair.astype(np.int64) - base + 1, 0)]
         lengths = np.concatenate([lengths, parts.sum(axis=1).astype(np.uint32)])

@@ -22,7 +22,8 @@ CACHE_CHARS = 1 << 24
 # space and around a single line feed; the key of " word" is "word", that of "word" is "\0word".
 _NOT_UNICODE_SPACE = re.compile(r"[\x1c-\x1f]")  # white space to str.split, not to tokenizers
 _PLAIN_WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-_NOT_SINGLE = re.compile(r"\s\s|[^\S \n]|\x00")
+_OTHER_SPACE = "\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _SINGLE = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
 
 
@@ -31,9 +32,12 @@ def _drop_keys(text: str) -> list[str]:
 
 
 def _lead_keys(text: str) -> list[str]:
-    if _NOT_SINGLE.search(text):
+    odd = any(c in text for c in (_OTHER_SPACE if text.isascii() else _OTHER_SPACE + _WIDE_SPACE))
+    keys = [] if odd else f"\0{text}".replace("\n", " \n \0").split(" ")
+    # White space next to white space shows as empty keys.
+    if odd or "" in keys or "\0" in keys:
         return [f"\0{part}" for part in _SINGLE.split(text)]
-    return f"\0{text}".replace("\n", " \n \0").split(" ")
+    return keys
 
 
 def _lead_part(key: str) -> str:
