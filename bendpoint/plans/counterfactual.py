@@ -218,6 +218,7 @@ def model_stats(pred: DataFrame, site: str = "code", observed: str = "value", pr
     return pred.join(stats, site)
 
 
+# Names of the statistics (fixed values).
 STATS = ("training_rsquared", "training_mse", "testing_rsquared", "testing_mse")
 
 

@@ -3,7 +3,8 @@
 Input tables have one row per site and hour: site, ``t``, ``value`` (observed), ``value_predict``
 and, where the weather was averaged out, ``rm_normal_value``.  All sites are pooled, each row with
 the same weight, unless ``keys`` names columns to keep apart.  7-row means count rows, not days;
-``operators.calendar.fill_calendar`` pads missing days where that matters.
+``operators.calendar.fill_calendar`` pads missing days where that matters.  The names of the products'
+columns are fixed values.
 """
 
 from __future__ import annotations

@@ -31,15 +31,19 @@ def read_weather(
 ) -> DataFrame:
     """Hourly weather of all stations from one glob of CSV files; ``code`` becomes ``met_code``.
 
-    Columns are found by header; all files share one order, and a file that does not is refused.
+    Columns are found by header; all files share one order, and a file that does not is refused, as are
+    files without one of the columns.  Rows whose date cannot be read are kept with a NULL date unless
+    a range is asked for; ``unread_dates`` counts them.
     """
     raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     fields = [f.strip().split(" ") for f in WEATHER_SCHEMA.split(",")]
+    missing = [name for name, _ in fields if name not in raw.columns]
+    if missing:
+        raise ValueError(f"weather files lack the columns {missing}")
     typed = raw.select(
         *[
             F.col(name) if kind == "string" else null_if_nan(F.col(name).try_cast(kind)).alias(name)
             for name, kind in fields
-            if name in raw.columns
         ]
     )
     return between_dates(
@@ -47,6 +51,11 @@ def read_weather(
     )
 
 
+def unread_dates(df: DataFrame, t: str = "date") -> DataFrame:
+    """Rows by station whose date could not be read: what a range leaves out."""
+    return df.filter(F.col(t).isNull()).groupBy("met_code").agg(F.count(F.lit(1)).alias("n_unread"))
+
+
 def read_readings(
     spark: SparkSession, path: str, sites: Sequence[str] | None, begin: str, end: str
 ) -> DataFrame:

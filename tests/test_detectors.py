@@ -11,6 +11,7 @@ from bendpoint.operators import calendar as C
 from bendpoint.plans import studies
 from workload import roles
 
+# Knots of the broken lines whose change points are known (fixed values).
 F_KNOTS = [(0, -5), (300, 8), (600, 1), (900, 2), (1200, 3), (1500, 6)]
 G_KNOTS = [(0, -5), (300, 8), (600, 1), (900, 2), (1200, 3), (1500, 4.5)]
 CHECK_DIR = "/root/testdata/sf0.01"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from bendpoint.plans.daily import compliance_series
 from bendpoint.sources import readers as S
 
+# The header line of the compliance format (fixed value).
 HEADER = (
     "Date of Travel,Unique VRMs Captured in Charging Hours,Unique VRMs Compliant with ULEZ,"
     "Unique VRMs Non-Compliant with ULEZ,Total Valid ULEZ Charges,Total ULEZ PCs Raised,Total Exempt/100% Discount"

@@ -21,7 +21,7 @@ from bendpoint.operators import shape as P
 from bendpoint.plans import counterfactual as M
 from bendpoint.plans import daily as R
 from bendpoint.plans import studies
-from bendpoint.sources.readers import COMPLIANCE_COLUMNS, NOT_COUNTED, parse_compliance
+from bendpoint.sources.readers import COMPLIANCE_COLUMNS, NOT_COUNTED, parse_compliance, read_site_map
 
 from .roles import (
     BAU,
@@ -269,8 +269,8 @@ def series_bounds(spark, sf):
 
 
 def smooth_sql(source: str, bandwidth: float) -> str:
-    sd = W.KERNEL_SD * bandwidth
-    reach = int(W.KERNEL_REACH * sd)
+    sd = 0.3706506 * bandwidth  # quartiles of the kernel at a quarter of the bandwidth
+    reach = int(4 * sd)
     weight = f"exp(-0.5 * pow((a.index - b.index) / {sd!r}::DOUBLE, 2))"
     return f"""
   SELECT a.series, a.index, any_value(a.value) AS value, sum({weight} * b.value) / sum({weight}) AS smooth
@@ -502,6 +502,12 @@ def cp_counts(spark, sf):
     return rounded(C.count_change_points(out, ["window_length_level"], "index", "noise", within=within), 4)
 
 
+@query("""SELECT n_nationkey, n_name, n_regionkey FROM nation
+  WHERE n_nationkey IS NOT NULL AND n_name IS NOT NULL AND n_regionkey IS NOT NULL""")
+def site_map_rows(spark, sf):
+    return read_site_map(spark, f"{sf}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")
+
+
 HORIZONS = [("One year", "1996-01-01"), ("Three years", "1998-01-01"), ("All", "2001-12-31")]
 REPLAY = " UNION ALL ".join(
     f"SELECT *, '{text}' AS time_frame, {n} AS time_frame_ord FROM ({ORDERS_DAILY}) WHERE day <= DATE '{cutoff}'"
@@ -767,6 +773,7 @@ def compliance_parse(spark, sf):
     return rounded(parse_compliance(compliance_text(spark, sf)))
 
 
+# The label is a fixed value.
 @query(f"""SELECT date AS day, round(d7_rollavg_compliant_percentage, 6) AS value, 'Compliance stats ULEZ' AS df_header
   FROM ({COMPLIANCE_PARSED}) WHERE d7_rollavg_compliant_percentage IS NOT NULL""")
 def compliance_series(spark, sf):
@@ -1033,7 +1040,7 @@ def predicted(spark, sf) -> DataFrame:
   FROM ({PREDICTED}) JOIN ({MODEL_STATS}) USING (site) GROUP BY ALL""")
 def model_stats(spark, sf):
     out = M.model_stats(predicted(spark, sf), "site")
-    stats = [F.max(c).alias(c) if c.endswith("rsquared") else F.max(c).alias(c) for c in M.STATS]
+    stats = [F.max(c).alias(c) for c in M.STATS]
     per_site = out.groupBy("site").agg(F.count(F.lit(1)).alias("n"), *stats)
     return rounded(per_site, {"training_rsquared": 8, "testing_rsquared": 8})
 
