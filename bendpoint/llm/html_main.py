@@ -31,7 +31,8 @@ ENDED = {
     "td": {"p", "td", "th"}, "th": {"p", "td", "th"}, "option": {"option"},
 }
 CONTAINERS = frozenset("table ul ol dl div section article aside nav main header footer form body html td th".split())
-NEVER = frozenset("nav footer aside form menu dialog".split())
+NEVER = frozenset("nav footer form".split())
+WHOLE = frozenset("html body main article".split())  # their names tell of the page, not of a part of it
 ASIDE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "copyright footer gdpr header masthead menu modal nav navbar navigation newsletter notice pager pagination popup "
@@ -39,6 +40,7 @@ ASIDE_WORDS = frozenset(
     "toolbar widget".split()
 )
 MAIN_WORDS = frozenset("article body content entry main post story text".split())
+FADE = 0.8  # a name counts less with each element between it and the text
 HARD = 1e6
 
 _TAG = re.compile(
@@ -46,6 +48,7 @@ _TAG = re.compile(
 )
 _LOOSE_TAG = re.compile(r"</?[a-zA-Z][^>]*(?:>|\Z)")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
+_STATE = re.compile(r"\b(?:has|with|without|no)[-_]\S+")  # such names tell what an element holds or lacks
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -55,7 +58,7 @@ class Block:
     linked: int  # characters inside links
     path: tuple[int, ...]  # numbers of the open elements, outermost first
     tags: tuple[str, ...]
-    words: frozenset[str]  # of classes, ids and roles around it
+    names: tuple[frozenset[str], ...]  # words of each open element's class, id and role
 
 
 def blocks(html: str) -> list[Block]:
@@ -69,8 +72,7 @@ def blocks(html: str) -> list[Block]:
         nonlocal pieces, linked
         text = " ".join(unescape("".join(pieces)).split())
         if text:
-            words = frozenset().union(*(s[2] for s in stack)) if stack else frozenset()
-            found.append(Block(text, linked, tuple(s[1] for s in stack), tuple(s[0] for s in stack), words))
+            found.append(Block(text, linked, *(tuple(s[k] for s in stack) for k in (1, 0, 2))))
         pieces, linked = [], 0
 
     def said(text: str) -> None:
@@ -119,22 +121,32 @@ def blocks(html: str) -> list[Block]:
             stack.pop()
         if tag not in VOID and not m[3].endswith("/"):
             named = " ".join(x.strip("\"'") for x in _NAMED.findall(m[3]))
-            words = frozenset(_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower()))
+            words = frozenset(_WORD.findall(_STATE.sub("", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower())))
             number += 1
             stack.append((tag, number, words))
     flush()
     return found
 
 
-def features(b: Block) -> list[float]:
-    inside, n = set(b.tags), len(b.text)
+def _named(b: Block, words: frozenset[str], low: int, high: int) -> float:
+    """1 if the nearest of the elements low to high is named with one of the words, less the farther off it is."""
+    parts = [names for tag, names in zip(b.tags[low:high], b.names[low:high], strict=True) if tag not in WHOLE]
+    return max((FADE**k for k, names in enumerate(reversed(parts)) if names & words), default=0.0)
+
+
+def features(b: Block, article: bool) -> list[float]:
+    """What the classifier knows of a block; article tells whether the page has one."""
+    inside, n, deep = set(b.tags), len(b.text), len(b.tags)
+    holder = max((i for i, t in enumerate(b.tags) if t in ("article", "main")), default=-1)
     return [
         1.0,
-        float(bool(inside & {"article", "main"})),
-        float(bool(inside & NEVER)),
-        float("header" in inside),
-        float(bool(b.words & ASIDE_WORDS)),
-        float(bool(b.words & MAIN_WORDS)),
+        float(holder >= 0),
+        float(article and "article" not in inside),
+        float(bool(inside & {"aside", "menu", "dialog"})),
+        float("header" in inside and holder < 0),
+        _named(b, ASIDE_WORDS if holder < 0 else ASIDE_WORDS - {"header"}, holder + 1, deep),
+        _named(b, ASIDE_WORDS, 0, max(holder, 0)),
+        _named(b, MAIN_WORDS, holder + 1, deep),
         min(b.linked / n, 1.0),
         min(np.log1p(n) / 6, 1.5),
         float(b.text[-1] in ".!?\"'”»…"),
@@ -165,6 +177,15 @@ LABELLED = (
     "<p>+Text of it.</p><table><tr><td>+Cell</td><td>+Other cell</td></tr></table><p>+Fine.</p>"
     '<div class="share">-Share this</div></article><div class="related">-You may also like these stories.</div>'
     '<div class="comment-list"><p>-Great read, thank you for it.</p></div><footer>-Imprint</footer></body>',
+    '<body class="has-sidebar single-post"><div class="page with-header"><article class="post social"><div class="post-header"><h1>'
+    '+A title under a header name</h1></div><div class="widget"><p>+This part has the name of a widget, but it is a long text of '
+    "the article, with commas, and full stops, as its neighbours are.</p><p>+It goes on, and says more of the same thing, at "
+    'length.</p></div><p>+Then it ends.</p><div class="widget"><a>-More</a></div></article><aside><p>-Popular posts of the week, '
+    "chosen by us.</p></aside><p>-Text after the article, which is none of it.</p></div></body>",
+    '<body><article><h1>+The story</h1><p>+Its text, in full.</p></article><div class="related"><article><h3>-Other story</h3><p>'
+    "-What it is about.</p></article></div></body>",
+    '<body class="no-comments"><header><h1>-Site</h1><p>-A line about the site</p></header><article><p>+Short text here.</p><div '
+    'class="comments"><p>-I disagree.</p><p>-Me too!</p></div><aside>-Related</aside><p>+And its end.</p></article></body>',
     "<body><p>+Only a paragraph, nothing else, but a whole one.</p></body>",
     "<body><h1>+A title</h1><p>+One line of text follows the title here.</p></body>",
 )
@@ -172,11 +193,12 @@ LABELLED = (
 
 def fit(rounds: int = 100, ridge: float = 0.02) -> np.ndarray:
     """Weights of a logistic classifier of blocks, learned from LABELLED by Newton's method."""
-    rows = [b for page in LABELLED for b in blocks(page)]
-    y = np.array([float(b.text[0] == "+") for b in rows])
-    for b in rows:
-        b.text = b.text[1:]
-    x = np.array([features(b) for b in rows])
+    pages = [blocks(page) for page in LABELLED]
+    y = np.array([float(b.text[0] == "+") for page in pages for b in page])
+    for page in pages:
+        for b in page:
+            b.text = b.text[1:]
+    x = np.array([features(b, has_article(page)) for page in pages for b in page])
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-x @ w))
@@ -184,25 +206,20 @@ def fit(rounds: int = 100, ridge: float = 0.02) -> np.ndarray:
     return w
 
 
+def has_article(page: list[Block]) -> bool:
+    return any("article" in b.tags for b in page)
+
+
 def costs(page: list[Block], weights: np.ndarray) -> list[float]:
     """For each block, what calling it boilerplate costs over calling it content (log odds).
 
-    Text under menus, footers, asides, forms and page headers, or under names of such parts, is
-    boilerplate for certain; other text of an article, where the page has one, is content for certain.
+    Only text under nav, footer and form is boilerplate for certain. Names, asides, headers and articles
+    are features of the classifier, so the cut weighs them against the text and its neighbours.
     """
-    out = []
-    article = any("article" in b.tags for b in page)
-    for b in page:
-        holder = max((b.tags.index(t) for t in ("article", "main") if t in b.tags), default=-1)
-        after = b.tags[holder + 1 :] if holder >= 0 else b.tags
-        names = b.words & ASIDE_WORDS
-        if NEVER & set(b.tags) or ("header" in after and holder < 0) or names:
-            out.append(-HARD)
-        elif article and "article" in b.tags:
-            out.append(HARD)
-        else:
-            out.append(float(np.clip(np.dot(features(b), weights), -20, 20)))
-    return out
+    article = has_article(page)
+    return [
+        -HARD if NEVER & set(b.tags) else float(np.clip(np.dot(features(b, article), weights), -20, 20)) for b in page
+    ]
 
 
 def smoothness(page: list[Block]) -> list[tuple[int, int, float]]:

@@ -165,3 +165,24 @@ def test_main_text(spark):
     assert [by[i] for i in (2, 3, 4)] == ["", "", ""] and by[6] == "\n".join(["word."] * 3000)
     assert len(out) == 7 and all(r.n_chars == len(r.text) for r in out)
     assert html_main.extract(table.filter(F.lit(False))).count() == 0
+
+
+def test_main_text_weighs_names_against_the_text():
+    weights = html_main.fit()
+    story = "<h1>A title of the page</h1><p>The first paragraph of it, which has commas, and ends here.</p><p>Fine.</p>"
+    aside = '<div class="sidebar"><ul><li><a>Other story</a><li><a>One more</a></ul></div>'
+    text = "A title of the page\nThe first paragraph of it, which has commas, and ends here.\nFine."
+    for page in (
+        f'<body class="has-sidebar">{story}{aside}</body>',
+        f'<body class="sidebar"><article class="post social">{story}</article>{aside}</body>',
+        f'<body><div class="page with-header"><article>{story}</article></div><nav>Menu</nav></body>',
+        f'<body><article><div class="header">{story}</div><div class="related"><a>More</a></div></article></body>',
+    ):
+        assert html_main.main_text(page, weights) == text
+        found = html_main.blocks(page)
+        sure = {b.tags for b, c in zip(found, html_main.costs(found, weights), strict=True) if abs(c) > 20}
+        assert all("nav" in tags for tags in sure)
+    # an item that the classifier alone would drop is content by its neighbours, as the cut decides
+    page = html_main.blocks("<article><p>Some text, and more.</p><p><a>Read it</a></p><ul><li><a>One</a></ul><p>The end of the text.</p></article>")
+    cost = html_main.costs(page, weights)
+    assert cost[2] < 0 and html_main.min_cut(cost, html_main.smoothness(page)) == [True] * 4
