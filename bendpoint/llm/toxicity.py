@@ -8,7 +8,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +19,13 @@ from .common import arrow_map, fresh_names, landed, whole_text
 
 LETTERS = 32
 DECAY = 0.7
-SPAN = 8
-LEAST_LIKENESS = 0.4
-CACHE_WORDS = 400_000
+LEAST_LIKENESS = 0.0  # no likeness is too small to count
+LISTED = 16  # words of up to so many letters have their triples listed, longer ones go through a dense table
+CACHE_WORDS = 100_000
 AT_ONCE_WORDS = 20_000
-AT_ONCE_TOKENS = 100_000
-GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN - a)]
+AT_ONCE_TRIPLES = 1 << 20
+AT_ONCE_DENSE = 16
+AT_ONCE_TOKENS = 50_000
 
 _SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 _MAY_BE_SPELLED = re.compile(r"\s\S\s\S\s")
@@ -50,83 +51,112 @@ def _joined(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[codes > 0], owner[codes > 0]
 
 
-def _triples(codes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """Places, codes and weight of the subsequences of three letters, gap pattern by gap pattern."""
-    wide = codes.astype(np.int64)
-    for a, b in GAPS:
-        n = len(codes) - a - b
-        if n <= 0:
-            continue
-        at = np.flatnonzero(owner[:n] == owner[a + b :])
-        yield at, (wide[at] * LETTERS + wide[at + a]) * LETTERS + wide[at + a + b], DECAY ** (a + b + 1)
+@lru_cache(maxsize=LISTED + 1)
+def _places(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the subsequences of three letters of a word (3 x triples), and their weights."""
+    at = np.array(list(combinations(range(length), 3)), np.int64).reshape(-1, 3).T
+    return at, DECAY ** (at[2] - at[0] + 1.0)
+
+
+def _dense(words: list[np.ndarray]) -> np.ndarray:
+    """Feature vectors (words x triples) of letter codes of any length, letter by letter."""
+    order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+    lengths = np.array([len(words[i]) for i in order])
+    ones, twos = np.zeros((len(words), LETTERS)), np.zeros((len(words), LETTERS, LETTERS))
+    last_first = np.zeros((len(words), LETTERS, LETTERS, LETTERS))  # the third letter leads
+    for t in range(int(lengths.max(initial=0))):
+        n = int(np.searchsorted(-lengths, -t))  # words longer than t
+        row, code = np.arange(n), np.array([words[i][t] for i in order[:n]])
+        last_first[row, code] += DECAY * twos[:n]
+        twos[row, :, code] += ones[:n]
+        ones[row, code] += 1
+        ones[:n] *= DECAY
+        twos[:n] *= DECAY
+    out = np.empty((len(words), LETTERS**3))
+    out[order] = last_first.transpose(0, 2, 3, 1).reshape(len(words), -1)
+    return out
+
+
+def _norms(codes: np.ndarray) -> np.ndarray:
+    """Lengths of the feature vectors of words (words x letters) of one length: the kernel with themselves."""
+    gap = np.arange(codes.shape[1])[:, None] - np.arange(codes.shape[1])
+    reach = np.where(gap > 0, DECAY ** np.maximum(gap, 0.0), 0.0)
+    same = (codes[:, :, None] == codes[:, None, :]).astype(np.float64)
+    pairs = same * (reach @ same @ reach.T)
+    return DECAY * np.sqrt((same * (reach @ pairs @ reach.T)).sum(axis=(1, 2)))
+
+
+def _split(words: list[str]) -> list[np.ndarray]:
+    codes, owner = _joined(words)
+    return np.split(codes, np.cumsum(np.bincount(owner, minlength=len(words)))[:-1]) if words else []
 
 
 def _vectors(words: list[str]) -> np.ndarray:
     """Unit feature vectors (words x triples) of few words; no letters or under three give zeros."""
-    out = np.zeros((len(words), LETTERS**3))
-    codes, owner = _joined(words)
-    for at, triple, weight in _triples(codes, owner):
-        np.add.at(out, (owner[at], triple), weight)
+    out = _dense(_split(words))
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
 class Kernel:
     """Likeness of words to landmarks: the normalised gap-weighted subsequence kernel of order three.
 
-    Subsequences spread over more than SPAN letters, of weight DECAY ** length, count as nothing, so a
-    word costs time in proportion to its length. Likeness under LEAST_LIKENESS is taken as zero.
+    Every subsequence of three letters counts, however far it spreads, with weight DECAY ** length, and
+    every likeness is kept. Long words take time in proportion to their length. Letters put between those
+    of a landmark lower its likeness by the subsequences that they add; its share counts only what the word
+    has of the landmark's own, so such words stand out from common short ones.
     """
 
     def __init__(self, landmarks: list[str]) -> None:
-        features = _vectors(landmarks)
+        features = _dense(_split(landmarks))
+        self.sizes = np.maximum(np.linalg.norm(features, axis=1), 1e-12)
+        features /= self.sizes[:, None]
         self.used = np.flatnonzero(features.any(axis=0))
         self.slot = np.full(LETTERS**3, -1, np.int64)
         self.slot[self.used] = np.arange(len(self.used))
         self.values = np.ascontiguousarray(features[:, self.used].T, np.float32)
+        self.letters = np.isin(np.arange(LETTERS), np.stack([self.used >> 10, self.used >> 5 & 31, self.used & 31]))
         self.m = len(landmarks)
 
     def likeness(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The words that are like any landmark, by number, and their likeness to each landmark."""
-        codes, owner = _joined(words)
-        length = np.bincount(owner, minlength=len(words))
-        # The squares of the weights sum to less than the squared norm, in which triples may repeat.
-        least_norm = np.zeros(len(words))
-        place, value, weight_of = [], [], []
-        for at, triple, weight in _triples(codes, owner):
-            slot = self.slot[triple]
-            hit = slot >= 0
-            place.append(owner[at[hit]])
-            value.append(slot[hit])
-            weight_of.append(np.full(int(hit.sum()), weight, np.float32))
-        for a, b in GAPS:
-            least_norm += np.maximum(length - a - b, 0) * DECAY ** (2 * (a + b + 1))
-        if not place or not sum(map(len, place)):
-            return np.empty(0, np.int64), np.empty((0, self.m), np.float32)
-        place, value, weight_of = (np.concatenate(x) for x in (place, value, weight_of))
-        order = np.argsort(place, kind="stable")
-        place, value, weight_of = place[order], value[order], weight_of[order]
-        first = np.flatnonzero(np.diff(place, prepend=-1))
-        found = place[first]
-        sums = np.add.reduceat(self.values[value] * weight_of[:, None], first, axis=0)
-        near = sums.max(axis=1) >= LEAST_LIKENESS * np.sqrt(least_norm[found])
-        found, sums = found[near], sums[near]
-        if len(found):
-            sums = sums / self._norms([words[i] for i in found.tolist()])[:, None]
-            near = sums.max(axis=1) >= LEAST_LIKENESS
-            found, sums = found[near], sums[near]
-        return found, np.where(sums >= LEAST_LIKENESS, sums, 0).astype(np.float32)
-
-    @staticmethod
-    def _norms(words: list[str]) -> np.ndarray:
-        codes, owner = _joined(words)
-        keys, weights = [], []
-        for at, triple, weight in _triples(codes, owner):
-            keys.append(owner[at] * LETTERS**3 + triple)
-            weights.append(np.full(len(at), weight))
-        keys, weights = np.concatenate(keys), np.concatenate(weights)
-        key, inverse = np.unique(keys, return_inverse=True)
-        value = np.bincount(inverse, weights)
-        return np.sqrt(np.bincount(key // LETTERS**3, value**2, len(words)))
+        """The words that share a subsequence with any landmark, by number, and their likeness to each."""
+        found, both = self.of_codes(_split(words))
+        return found, both[:, : self.m]
+
+    def of_codes(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """As likeness, of letter codes; behind the likeness to each landmark its share (up to 1) in the word."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        found, likeness = [np.empty(0, np.int64)], [np.empty((0, 2 * self.m), np.float32)]
+        for length in np.unique(lengths[(lengths >= 3) & (lengths <= LISTED)]).tolist():
+            (i, j, k), weights = _places(length)
+            at = np.flatnonzero(lengths == length)
+            codes = np.stack([words[x] for x in at.tolist()]).astype(np.int64)
+            step = max(1, AT_ONCE_TRIPLES // (8 * len(weights)))
+            for low in range(0, len(at), step):
+                part = codes[low : low + step]
+                slot = self.slot[(part[:, i] * LETTERS + part[:, j]) * LETTERS + part[:, k]]
+                row, place = np.nonzero(slot >= 0)
+                if not len(row):
+                    continue
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                each = self.values[slot[row, place]] * weights[place, None].astype(np.float32)
+                near = row[first]
+                found.append(at[low + near])
+                likeness.append(self._both(np.add.reduceat(each, first, axis=0), _norms(part[near])))
+        long = [x for x in np.flatnonzero(lengths > LISTED).tolist() if self.letters[words[x]].sum() >= 3]
+        long.sort(key=lengths.__getitem__)
+        for low in range(0, len(long), AT_ONCE_DENSE):
+            part = np.array(long[low : low + AT_ONCE_DENSE])
+            features = _dense([words[x] for x in part.tolist()])
+            sums = features[:, self.used] @ self.values
+            near = sums.any(axis=1)
+            found.append(part[near])
+            likeness.append(self._both(sums[near], np.linalg.norm(features[near], axis=1)))
+        numbers = np.concatenate(found)
+        order = np.argsort(numbers)
+        return numbers[order], np.concatenate(likeness)[order]
+
+    def _both(self, sums: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        return np.hstack([sums / norms[:, None], np.minimum(sums / self.sizes, 1)]).astype(np.float32)
 
 
 @dataclass
@@ -151,50 +181,62 @@ class Reader:
         self._start_over()
 
     def _start_over(self) -> None:
-        self.where: dict[str, int] = {}
-        self.rows = np.zeros((1, self.kernel.m), np.float32)
+        self.where: dict[str, int] = {}  # of each word twice its row, and 1 if a sentence ends in it
+        self.row_of: dict[bytes, int] = {}  # by letters alone
+        self.rows = np.zeros((1024, 2 * self.kernel.m), np.float32)
+        self.filled = 1
 
     def _find(self, words: list[str]) -> np.ndarray:
         at = np.fromiter(map(self.where.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
-            if len(self.where) > CACHE_WORDS:
+            if self.where and len(self.where) + len(missing) > 4 * CACHE_WORDS or self.filled > CACHE_WORDS:
                 self._start_over()
                 return self._find(words)
             new = list(dict.fromkeys(words[i] for i in missing))
             for low in range(0, len(new), AT_ONCE_WORDS):
                 part = new[low : low + AT_ONCE_WORDS]
-                found, likeness = self.kernel.likeness(part)
-                self.where.update(dict.fromkeys(part, 0))
-                rows = range(len(self.rows), len(self.rows) + len(found))
-                self.where.update(zip([part[i] for i in found.tolist()], rows, strict=True))
-                self.rows = np.concatenate([self.rows, likeness])
+                keys = [c.tobytes() for c in _split(part)]
+                unknown = [k for k in dict.fromkeys(keys) if k not in self.row_of]
+                self._add(unknown)
+                self.where.update((w, 2 * self.row_of[k] + (w[-1] in ".!?")) for w, k in zip(part, keys, strict=True))
             at[missing] = [self.where[words[i]] for i in missing]
         return at
 
+    def _add(self, keys: list[bytes]) -> None:
+        found, likeness = self.kernel.of_codes([np.frombuffer(k, np.uint8) for k in keys])
+        self.row_of.update(dict.fromkeys(keys, 0))
+        end = self.filled + len(found)
+        self.row_of.update(zip([keys[i] for i in found.tolist()], range(self.filled, end), strict=True))
+        if end > len(self.rows):
+            more = np.zeros((max(end, 2 * len(self.rows)) - len(self.rows), 2 * self.kernel.m), np.float32)
+            self.rows = np.concatenate([self.rows, more])
+        self.rows[self.filled : end] = likeness
+        self.filled = end
+
     def _describe(self, texts: list[list[str]]) -> np.ndarray:
-        ends = np.cumsum([len(t) for t in texts])
-        rows = self._find([w for t in texts for w in t])
-        best, total = np.zeros((2, len(texts), self.kernel.m))
-        hot = np.flatnonzero(rows)
-        of = np.searchsorted(ends, hot, "right")
-        for i in np.unique(of).tolist():
-            words = texts[i]
-            sentence = np.cumsum(np.fromiter((w[-1] in ".!?" for w in words), np.int64, len(words)))
-            mine = hot[of == i]
-            at = sentence[mine - (ends[i] - len(words))]
-            first = np.flatnonzero(np.diff(at, prepend=-1))
-            like = np.maximum.reduceat(self.rows[rows[mine]], first, axis=0).astype(np.float64)
-            best[i], total[i] = like.max(axis=0), (like**2).sum(axis=0)
-        return np.hstack([best, np.log1p(total)])
+        known = self._find([w for t in texts for w in t])
+        m = self.kernel.m
+        best, total = np.zeros((len(texts), 2 * m)), np.zeros((len(texts), m))
+        hot = np.flatnonzero(known > 1)
+        if len(hot):
+            of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[hot]
+            sentence = np.cumsum(known & 1)[hot]
+            first = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(sentence, prepend=-1) != 0))
+            like = np.maximum.reduceat(self.rows[known[hot] >> 1], first, axis=0).astype(np.float64)
+            start = np.flatnonzero(np.diff(of[first], prepend=-1))
+            mine = of[first][start]
+            best[mine], total[mine] = np.maximum.reduceat(like, start, axis=0), np.add.reduceat(like[:, :m] ** 2, start, axis=0)
+        return np.hstack([best[:, :m], np.log1p(total), best[:, m:]])
 
     def documents(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each text its sentences' likeness to each landmark, and the words of each text.
 
         A sentence is as like a landmark as its likest word. Of the sentences come the greatest likeness
-        (m columns) and the logarithm of 1 + the sum of its squares (m more).
+        (m columns), the logarithm of 1 + the sum of its squares (m more) and each landmark's greatest share
+        in a word (m more).
         """
-        pooled, counts = [np.empty((0, 2 * self.kernel.m))], np.zeros(len(texts), np.int64)
+        pooled, counts = [np.empty((0, 3 * self.kernel.m))], np.zeros(len(texts), np.int64)
         part: list[list[str]] = []
         size = 0
         for i, text in enumerate(texts):
@@ -316,7 +358,7 @@ def train(
     pooled = np.array(table["pooled"].to_pylist())
     near = _vectors(names)
     values, axes = np.linalg.eigh(near @ near.T)
-    whiten = np.kron(np.eye(2), axes / np.sqrt(np.maximum(values, 1e-3)) @ axes.T)
+    whiten = np.kron(np.eye(3), axes / np.sqrt(np.maximum(values, 1e-3)) @ axes.T)
     weights, bias = _svm(pooled @ whiten, np.where(toxic == 1, 1.0, -1.0), np.where(toxic == 1, 3.0, 1.0))
     decisions = pooled @ (whiten @ weights) + bias
     # The sample holds more toxic documents than the corpus: rows count for what they stand for.

@@ -186,3 +186,33 @@ def test_main_text_weighs_names_against_the_text():
     page = html_main.blocks("<article><p>Some text, and more.</p><p><a>Read it</a></p><ul><li><a>One</a></ul><p>The end of the text.</p></article>")
     cost = html_main.costs(page, weights)
     assert cost[2] < 0 and html_main.min_cut(cost, html_main.smoothness(page)) == [True] * 4
+
+
+def test_toxicity_sees_a_letter_in_every_gap(spark, docs_of):
+    like = lambda a, b: float(toxicity._vectors([a])[0] @ toxicity._vectors([b])[0])
+    # subsequences of more than eight letters count, listed or through the dense table
+    assert like("abxxxxxxxxxxc", "abc") > 0 and like("a" + "x" * 30 + "bc", "abc") > 0
+    insults = ["idiot", "moron", "clown", "trash", "loser", "stupid", "worthless", "pathetic"]
+    kernel = toxicity.Kernel(insults)
+    gapped = [x.join(w) for w in insults for x in "xqz"]
+    found, likeness = kernel.likeness(gapped)
+    assert found.tolist() == list(range(len(gapped)))
+    want = toxicity._vectors(gapped) @ toxicity._vectors(insults).T
+    assert np.allclose(likeness, want, atol=1e-5) and (likeness.argmax(axis=1) == np.arange(len(gapped)) // 3).all()
+    # held-out rows, with any letter in any gap
+    draw = np.random.default_rng(12)
+
+    def put(texts, spell):
+        return [" ".join(draw.permutation([*t.split(), spell(str(draw.choice(insults)))])) for t in texts]
+
+    def spaced(w):
+        return "".join(c + str(draw.choice(list("xqkvzjwy"))) for c in w[:-1]) + w[-1]
+
+    clean = drawn(EN, 200, 13)
+    bad = put(drawn(EN, 80, 14), str) + put(drawn(EN, 160, 15), spaced)
+    labels = spark.createDataFrame([(i, int(i >= 200)) for i in range(440)], "doc_id bigint, toxic int")
+    model = toxicity.train(docs_of(list(enumerate(clean + bad))), labels)
+    held = drawn(EN, 50, 16) + put(drawn(EN, 50, 17), spaced)
+    out = toxicity.judge(docs_of(list(enumerate(held))), model).collect()
+    assert sum(r.predicted for r in out if r.doc_id < 50) <= 2
+    assert sum(r.predicted for r in out if r.doc_id >= 50) >= 45
