@@ -110,6 +110,12 @@ token = "##a#b##c###d#e##f"
 #. % ## ( ### ) %
 License, Version #.#.
 the % of %, % and %.
+write to <email|% at % dot % dot % dot %> today
+write to <email|% at mail dot % dot % dot %> today
+contact <email|% at mail dot % dot %> now
+mail <email|% at % dot % dot %>, or later
+at <email|% [at] % [dot] % [dot] %> please
+ask <email|% (at) % (dot) % (dot) % (dot) %> for it
 """
 LINES_DRAWN = 25
 _MARK = re.compile(r"<(\w+)\|([^>]*)>")
@@ -117,6 +123,7 @@ _TOKEN = re.compile(r"[^\W_]+|\S")
 _TRIGGER = re.compile(r"[0-9@]|[\[(\s]at[\])\s]", re.IGNORECASE)
 _KNOWN = frozenset("at dot com org net mail email tel phone call fax ring card number ip host server version".split())
 CONTEXT = 6
+EDGE = 3  # labels so near a window's end make it grow
 BUCKETS = 1 << 13
 TOKENS_AT_ONCE = 50_000
 
@@ -249,7 +256,8 @@ class Crf:
             longest = len(chains[part[-1]])
             score = np.zeros((len(part), longest, len(STATES)))
             for i, c in enumerate(part):
-                score[i, : len(chains[c])] = self.emit[chains[c]].sum(axis=1)
+                for f in range(9):
+                    score[i, : len(chains[c])] += self.emit[chains[c][:, f]]
             sizes = np.array([len(chains[c]) for c in part])
             back = np.zeros((len(part), longest, len(STATES)), np.int8)
             best = score[:, 0] + self.start if longest else score[:, :0]
@@ -280,43 +288,66 @@ def trained() -> Crf:
     return Crf().fit(_drawn())
 
 
-def _near_triggers(text: str) -> list[list[tuple[int, int]]]:
-    """Tokens of the lines that hold a digit, an @ or the word at, CONTEXT tokens around each of those.
+Window = tuple[int, int]  # first token and the one after the last
 
-    A span of any kind holds one of them, and a farther token would not change its features.
-    """
-    chains = []
+
+def _near_triggers(text: str) -> list[tuple[list[tuple[int, int]], list[Window]]]:
+    """Tokens of the lines that hold a digit, an @ or the word at, and windows CONTEXT tokens around those."""
+    lines = []
     for line in re.finditer(r"[^\n]+", text):
         if not _TRIGGER.search(line[0]):
             continue
         tokens = [(line.start() + m.start(), line.start() + m.end()) for m in _TOKEN.finditer(line[0])]
         hot = [i for i, (a, b) in enumerate(tokens) if any("0" <= c <= "9" for c in text[a:b]) or text[a:b].lower() in ("@", "at")]
-        chain: list[tuple[int, int]] = []
-        until = 0
-        for i in hot:
-            begin = max(i - CONTEXT, 0)
-            if begin > until and chain:
-                chains.append(chain)
-                chain = []
-            chain += tokens[max(begin, until) : i + CONTEXT + 1]
-            until = max(until, i + CONTEXT + 1)
-        if chain:
-            chains.append(chain)
-    return chains
+        if hot:
+            lines.append((tokens, _merged([(max(i - CONTEXT, 0), min(i + CONTEXT + 1, len(tokens))) for i in hot])))
+    return lines
+
+
+def _merged(windows: list[Window]) -> list[Window]:
+    out: list[Window] = []
+    for begin, end in sorted(windows):
+        if out and begin <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((begin, end))
+    return out
+
+
+def _window_features(text: str, tokens: list[tuple[int, int]], window: Window) -> np.ndarray:
+    """As _features, of the tokens of a window, whose neighbours on the line are seen too."""
+    begin, end = max(window[0] - 3, 0), window[1] + 2
+    return _features(text, tokens[begin:end])[window[0] - begin : window[1] - begin]
+
+
+def _decoded(texts: list[str], crf: Crf) -> Iterator[tuple[int, list[tuple[int, int]], np.ndarray]]:
+    """Text, tokens and path of each window; one whose outer tokens are labelled grows and is decoded again."""
+    lines = [(i, t, dict.fromkeys(w)) for i, text in enumerate(texts) if _TRIGGER.search(text) for t, w in _near_triggers(text)]
+    while lines:
+        todo = [(i, tokens, paths, w) for i, tokens, paths in lines for w, path in paths.items() if path is None]
+        new = crf.decode([_window_features(texts[i], tokens, w) for i, tokens, _, w in todo])
+        for (_, _, paths, w), path in zip(todo, new, strict=True):
+            paths[w] = path
+        again = []
+        for i, tokens, paths in lines:
+            grown = []
+            for (begin, end), path in paths.items():
+                n = end - begin
+                low = max(begin - n, 0) if path[:EDGE].any() else begin
+                grown.append((low, min(end + n, len(tokens)) if path[-EDGE:].any() else end))
+            wanted = {w: paths.get(w) for w in _merged(grown)}
+            if any(path is None for path in wanted.values()):
+                again.append((i, tokens, wanted))
+            else:
+                yield from ((i, tokens[b:e], path) for (b, e), path in wanted.items())
+        lines = again
 
 
 def find(texts: list[str], crf: Crf) -> list[tuple[list[Span], list[Span]]]:
     """For each text the base spans, and those the chain adds: none overlaps a base span."""
     base = [base_spans(t) for t in texts]
-    owner, chains = [], []
-    for i, text in enumerate(texts):
-        if _TRIGGER.search(text):
-            for chain in _near_triggers(text):
-                owner.append(i)
-                chains.append(chain)
-    paths = crf.decode([_features(texts[i], c) for i, c in zip(owner, chains, strict=True)])
     more: list[list[Span]] = [[] for _ in texts]
-    for i, chain, path in zip(owner, chains, paths, strict=True):
+    for i, chain, path in _decoded(texts, crf):
         begin = 0
         while begin < len(path):
             end = begin + 1

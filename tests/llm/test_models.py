@@ -216,3 +216,14 @@ def test_toxicity_sees_a_letter_in_every_gap(spark, docs_of):
     out = toxicity.judge(docs_of(list(enumerate(held))), model).collect()
     assert sum(r.predicted for r in out if r.doc_id < 50) <= 2
     assert sum(r.predicted for r in out if r.doc_id >= 50) >= 45
+
+
+def test_addresses_of_many_parts_are_whole():
+    for address in (
+        "name [at] mail [dot] example [dot] com",
+        "john at mail dot example dot co dot uk",
+        "jo (at) a (dot) b (dot) c (dot) d (dot) example (dot) org",
+    ):
+        text = f"please write to {address} today, or later, or on any other day of the week"
+        ((_, more),) = pii.find([text], pii.trained())
+        assert [(text[a:b], k) for a, b, k in more] == [(address, 0)]
