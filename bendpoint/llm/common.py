@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bendpoint.session import ensure_checkpoint_dir
 
@@ -60,7 +63,7 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def arrow_map(df: DataFrame, func: Callable, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, func: Callable, schema: str | T.StructType) -> DataFrame:
     """mapInArrow whose workers can import this package also where only the driver's path has it.
 
     On one machine, or with a shared file system, naming the folder is enough; elsewhere ship the
@@ -74,6 +77,61 @@ def arrow_map(df: DataFrame, func: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(func, schema)
 
 
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a column of texts without nulls, and where each text starts; then the end."""
+    column = column.cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    whole = np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
+    return whole, at - at[0]
+
+
+def bounded(batch: pa.RecordBatch, text: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch of about max_bytes of text, one row at least."""
+    at = text_bytes(batch.column(text))[1]
+    low = 0
+    while low < batch.num_rows:
+        high = max(int(np.searchsorted(at, at[low] + max_bytes, "right")) - 1, low + 1)
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def add_columns(
+    df: DataFrame, inputs: dict[str, Column], outputs: str, func: Callable, text: str, max_bytes: int
+) -> DataFrame:
+    """All columns of df, those named like an output replaced, and the outputs (DDL) of func.
+
+    func gets parts of a batch with the columns `inputs`, of which `text` has no nulls, and returns an
+    array for each output. Names of the table's own columns clash with nothing.
+    """
+    new = T.StructType.fromDDL(outputs)
+    names = {c.lower() for c in new.names}
+    own = [c for c in df.columns if c.lower() not in names]
+    given = dict(zip(inputs, fresh_names(df.select(*own), *inputs), strict=True))
+    wide = df.select(*own, *[c.alias(given[name]) for name, c in inputs.items()])
+    schema = T.StructType([f for f in wide.schema.fields if f.name in own] + new.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in bounded(batch, given[text], max_bytes):
+                asked = pa.RecordBatch.from_arrays([part.column(c) for c in given.values()], list(given))
+                yield pa.RecordBatch.from_arrays([*map(part.column, own), *func(asked)], schema.names)
+
+    return arrow_map(wide, run, schema)
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's name where the cluster keeps checkpoints."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder's name where the cluster keeps checkpoints, deleted when the driver's JVM ends."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return f"{root}/rows"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written as compressed Parquet to a scratch folder and read from there by what follows."""
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

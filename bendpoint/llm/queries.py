@@ -3,10 +3,24 @@
 from __future__ import annotations
 
 from public_tokenizers import path as tokenizer_path
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, html_main, langid, linededup, packing, pii, simhash, tokenids, toxicity
+from . import (
+    collocations,
+    decontam,
+    embed_dedup,
+    fim,
+    html_main,
+    langid,
+    licenses,
+    linededup,
+    packing,
+    pii,
+    simhash,
+    tokenids,
+    toxicity,
+)
 from .common import scratch_folder
 
 
@@ -89,6 +103,41 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.restore(fim.transform(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return out.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's first 2,000 phrases of each language."""
+    out = collocations.collocations(_table(spark, sf_dir, "documents"))
+    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    ranked = out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= 2000)
+    return ranked.select("lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_langid": op2_langid,
@@ -100,6 +149,9 @@ QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_token_ids": op9_token_ids,
     "op10_simhash": op10_simhash,
+    "op11_licenses": op11_licenses,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_collocations": op13_collocations,
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -140,5 +192,57 @@ m AS (SELECT k.*, r.last IS NOT NULL AND doc_id < r.last AS lost FROM k LEFT JOI
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(lost AS INTEGER)) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
 FROM m GROUP BY doc_id
+""",
+    "op12_fill_in_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS x FROM documents),
+h AS (
+  SELECT *, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2,
+    CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4
+  FROM d),
+f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS p, greatest(h1 % (n + 1), h2 % (n + 1)) AS q,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+o AS (SELECT *, substr(t, 1, p) AS a, substr(t, p + 1, q - p) AS m, substr(t, q + 1) AS s FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || a || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM o
+""",
+    "op13_collocations": rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_ASCII_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) AS t(k))),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT lang, phrase, a, x, unnest(range(1, len(x))) AS c
+  FROM (SELECT *, string_split(phrase, ' ') AS x FROM f WHERE k > 1)),
+scored AS (
+  SELECT lang, cuts.phrase, cuts.a, c, p.a AS l, s.a AS r, n, (1000::HUGEINT * cuts.a * n) // (p.a::HUGEINT * s.a) AS score
+  FROM cuts JOIN total USING (lang)
+  JOIN f p USING (lang) JOIN f s USING (lang)
+  WHERE p.phrase = array_to_string(x[1:c], ' ') AND s.phrase = array_to_string(x[c + 1:], ' ')),
+best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (
+  SELECT DISTINCT lang, array_to_string(x[i:j], ' ') AS phrase, a
+  FROM (SELECT *, unnest(range(i + 1, len(x) + 1)) AS j
+    FROM (SELECT lang, a, string_split(phrase, ' ') AS x, unnest(range(1, k)) AS i FROM f WHERE k > 2))
+  WHERE j - i + 1 < len(x)),
+kept AS (
+  SELECT * FROM best b
+  WHERE NOT EXISTS (FROM inside i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.a >= 100 * b.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+  phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
 """,
 }

@@ -31,7 +31,7 @@ def test_query_equals_sql(spark, name):
 
 @needs_data
 def test_all_queries_are_registered():
-    assert {f"op{i}_" for i in range(1, 11)} == {f"{q.split('_')[0]}_" for q in registry.queries() if q[:2] == "op" and q[2].isdigit()}
+    assert {f"op{i}_" for i in range(1, 14)} == {f"{q.split('_')[0]}_" for q in registry.queries() if q[:2] == "op" and q[2].isdigit()}
     assert registry.queries()["pipeline"] is corpus_pipeline.run
 
 
