@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import axis_key, uniform
 from .layout import BLOCK_ROWS, Layout, keys_of, lay_out
-from .rolling import Fit, gradient_column, kernel_smooth, max_column
+from .rolling import Fit, gradient_column, kernel_smooth, max_columns
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ class PeakRule:
         return self.k + 1, self.ahead + 1
 
     def apply(self, layout: Layout, windows: Sequence[int]) -> Layout:
-        layout = layout.add({f"rollmax_{w}": max_column(f"signal_{w}", layout, self.k) for w in windows})
+        layout = max_columns({f"rollmax_{w}": f"signal_{w}" for w in windows}, layout, self.k)
         return layout.add({f"cp_{w}": self._flag(f"rollmax_{w}", layout) for w in windows})
 
     def _flag(self, peak: str, layout: Layout) -> Column:

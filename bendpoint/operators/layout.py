@@ -142,15 +142,26 @@ class Layout:
     df: DataFrame
     window: WindowSpec
     added: tuple[str, ...]
-
-    def trailing(self, n: int) -> WindowSpec:
-        return self.window.rowsBetween(-(n - 1), 0)
+    by: tuple[str, ...]  # the window's partition columns
 
     def running(self) -> WindowSpec:
         return self.window.rowsBetween(Window.unboundedPreceding, 0)
 
     def with_rows(self, df: DataFrame) -> Layout:
-        return Layout(df, self.window, self.added)
+        return Layout(df, self.window, self.added, self.by)
+
+    def cells(self, n: int) -> Cells:
+        """The layout's rows in cells of ``n``, counted from the start of the series."""
+        cell = f"_cell_{n}"
+        layout = self if cell in self.df.columns else self.add({cell: F.floor((F.col(ROW) - 1) / F.lit(n))})
+        inside = Window.partitionBy(*self.by, cell)
+        reach = (Window.unboundedPreceding, Window.currentRow)
+        return Cells(
+            Layout(layout.df, self.window, tuple(dict.fromkeys((*self.added, cell))), self.by),
+            n,
+            inside.orderBy(ROW).rowsBetween(*reach),
+            inside.orderBy(F.desc(ROW)).rowsBetween(*reach),
+        )
 
     def add(self, columns: dict[str, Column]) -> Layout:
         return self.with_rows(self.df.withColumns(columns))
@@ -162,6 +173,29 @@ class Layout:
         return out.drop(*self.added)
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Frames of ``n`` rows in linear time, whatever ``n`` is.
+
+    A frame ends with the head of its row's cell and begins with the tail of the cell before. Heads are
+    running aggregates of a cell, tails the same from the cell's end, so a frame is two values combined
+    instead of ``n``. Cells are counted from the start of the series: no result depends on blocks.
+    """
+
+    layout: Layout
+    n: int
+    head: WindowSpec
+    tail: WindowSpec
+
+    def alone(self) -> Column:
+        """Whether the head is the whole frame: at a cell's last row."""
+        return F.pmod(F.col(ROW), F.lit(self.n)) == 0
+
+    def before(self, tail: str) -> Column:
+        """The value of a tail column where the row's frame begins; NULL if the head is the whole frame."""
+        return F.when(~self.alone(), F.lag(tail, self.n - 1).over(self.layout.window))
+
+
 def lay_out(
     df: DataFrame,
     keys: str | Sequence[str],
@@ -180,7 +214,7 @@ def lay_out(
     if index is None and is_daily(df, t):
         window = Window.partitionBy(*keys).orderBy(t)
         df = df.withColumn(ROW, _numbered(window, [t]))
-        return Layout(df, window, (ROW,))
+        return Layout(df, window, (ROW,), tuple(keys))
     if index is None:
         df = add_index(df, keys, t, name=ROW)
     else:
@@ -199,4 +233,4 @@ def lay_out(
     )
     # Rows may arrive partitioned by series alone, which a window by block would accept as it is.
     spread = spread.repartition(*keys, BLOCK)
-    return Layout(spread, Window.partitionBy(*keys, BLOCK).orderBy(ROW), added)
+    return Layout(spread, Window.partitionBy(*keys, BLOCK).orderBy(ROW), added, (*keys, BLOCK))

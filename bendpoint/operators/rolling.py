@@ -14,8 +14,8 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from ..functions.scalars import as_column
 from .layout import BLOCK_ROWS, ROW, Layout, keys_of, lay_out
 
 KERNEL_SD = 0.3706506  # sd of the normal kernel per unit of bandwidth (quartiles at +-bandwidth/4)
@@ -23,11 +23,6 @@ KERNEL_REACH = 4.0  # kernel is cut at this many sd
 MAX_SHIFTS = 128  # widest reach in rows that is written as shifted columns
 
 
-def when_full(c: Column | str, value: Column, layout: Layout, n: int) -> Column:
-    """``value`` where the trailing frame has ``n`` non-NULL members, else NULL."""
-    return F.when(F.count(as_column(c)).over(layout.trailing(n)) == n, value)
-
-
 def rolling_mean(
     df: DataFrame,
     keys: str | Sequence[str],
@@ -44,9 +39,21 @@ def rolling_mean(
     if not isinstance(cols, dict):
         cols = {c: f"roll_{c}" for c in cols}
     layout = lay_out(df, keys, t, before=w - 1, index=index, block_rows=block_rows)
-    return layout.add(
-        {out: when_full(c, F.avg(c).over(layout.trailing(w)), layout, w) for c, out in cols.items()}
-    ).finish()
+    cells = layout.cells(w)
+    layout = cells.layout
+    for side in ("head", "tail"):
+        window = getattr(cells, side)
+        layout = layout.add(
+            {f"_{side}_{n}_{c}": f(c).over(window) for c in cols for n, f in (("n", F.count), ("sum", F.sum))}
+        )
+    layout = layout.add({f"_tail_{n}_{c}": cells.before(f"_tail_{n}_{c}") for c in cols for n in ("n", "sum")})
+
+    def mean(c: str) -> Column:
+        held = {n: F.col(f"_head_{n}_{c}") + F.coalesce(f"_tail_{n}_{c}", F.lit(0)) for n in ("n", "sum")}
+        return F.when(held["n"] == w, held["sum"].cast("double") / F.lit(w))
+
+    made = [f"_{side}_{n}_{c}" for side in ("head", "tail") for n in ("n", "sum") for c in cols]
+    return layout.add({out: mean(c) for c, out in cols.items()}).finish().drop(*made)
 
 
 def rolling_max(
@@ -60,11 +67,26 @@ def rolling_max(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     layout = lay_out(df, keys, t, before=k - 1, index=index, block_rows=block_rows)
-    return layout.add({name: max_column(c, layout, k)}).finish()
+    return max_columns({name: c}, layout, k).finish()
+
 
+def max_columns(cols: dict[str, str], layout: Layout, k: int) -> Layout:
+    """The layout with the maximum over ``k`` rows of each column, under the names that are the keys."""
+    cells = layout.cells(k)
+    layout = cells.layout
+    for side in ("head", "tail"):
+        window = getattr(cells, side)
+        held = {f"_{side}_n_{out}": F.count(c).over(window) for out, c in cols.items()}
+        layout = layout.add(held | {f"_{side}_max_{out}": F.max(c).over(window) for out, c in cols.items()})
+    layout = layout.add({f"_tail_{n}_{out}": cells.before(f"_tail_{n}_{out}") for out in cols for n in ("n", "max")})
 
-def max_column(c: Column | str, layout: Layout, k: int) -> Column:
-    return when_full(c, F.max(as_column(c)).over(layout.trailing(k)), layout, k)
+    def largest(out: str) -> Column:
+        n = F.col(f"_head_n_{out}") + F.coalesce(f"_tail_n_{out}", F.lit(0))
+        return F.when(n == k, F.greatest(f"_head_max_{out}", f"_tail_max_{out}"))
+
+    made = [f"_{side}_{n}_{out}" for side in ("head", "tail") for n in ("n", "max") for out in cols]
+    layout = layout.add({out: largest(out) for out in cols})
+    return layout.with_rows(layout.df.drop(*made))
 
 
 def axis_grain(df: DataFrame, t: str, x_unit: str = "s") -> tuple[Column, float]:
@@ -88,8 +110,9 @@ def axis_value(df: DataFrame, t: str, x_unit: str = "s") -> Column:
 class Fit:
     """A layout on which rolling fits are made, with its regressor ``_x``.
 
-    Each width is fitted over its own frame, so a window's result depends on the rows in it alone: not
-    on the other widths of a call, nor on where blocks begin.
+    A frame is the tail of one cell of its width and the head of the next, so each width costs the same
+    few passes. A window's result depends on its rows and where cells begin, which is counted from the
+    start of the series: not on the other widths of a call, nor on where blocks begin.
     """
 
     layout: Layout
@@ -115,25 +138,54 @@ class Fit:
         layout = lay_out(df.withColumn("_x", x), keys, t, before, after, index, block_rows or BLOCK_ROWS)
         return cls(layout, value, scale)
 
-    def _frames(self, w: int, means: bool) -> dict[str, Column]:
-        """What each row's frame holds: count, sums about the mean, and the means if wanted."""
-        frame = self.layout.trailing(w)
-        both = {"xx": F.regr_sxx, "xy": F.regr_sxy, "yy": F.regr_syy}
-        out = {"n": F.count(self.value).over(frame)}
-        out |= {n: f(self.value, "_x").over(frame) for n, f in both.items()}
-        if means:
-            out |= {"mx": F.avg("_x").over(frame), "my": F.avg(self.value).over(frame)}
-        return out
+    def _side(self, layout: Layout, w: int, side: str, window: WindowSpec) -> Layout:
+        """Running moments of each cell from one end: count, sums about the means, and the means.
+
+        Means are taken as distances from the cell's first row, so those of equal values are exact.
+        """
+        first = {f"_{side}_{v}0_{w}": F.first(c).over(window) for v, c in (("x", "_x"), ("y", self.value))}
+        layout = layout.add(first)
+        x, y = (F.col(c) - F.col(o) for c, o in zip(("_x", self.value), first, strict=True))
+        held = {"n": F.count(self.value), "mx": F.avg(F.when(y.isNotNull(), x)), "my": F.avg(y)}
+        held |= {"xx": F.regr_sxx(self.value, "_x"), "xy": F.regr_sxy(self.value, "_x"), "yy": F.regr_syy(self.value, "_x")}
+        return layout.add({f"_{side}_{n}_{w}": c.over(window) for n, c in held.items()})
+
+    def _frames(self, windows: Sequence[int]) -> Layout:
+        """The layout with ``_<part>_<w>`` of each row's frame: n, xx, xy, yy, mx, my."""
+        parts = ("n", "mx", "my", "xx", "xy", "yy", "x0", "y0")
+        layout, cells, made = self.layout, {}, []
+        for w in windows:
+            cells[w] = layout.cells(w)
+            layout = cells[w].layout
+            for side in ("head", "tail"):
+                layout = self._side(layout, w, side, getattr(cells[w], side))
+                made += [f"_{side}_{p}_{w}" for p in parts]
+        layout = layout.add({f"_tail_{p}_{w}": cells[w].before(f"_tail_{p}_{w}") for w in windows for p in parts})
+        out: dict[str, Column] = {}
+        for w in windows:
+            h, u = ({p: F.col(f"_{side}_{p}_{w}") for p in parts} for side in ("head", "tail"))
+            n = h["n"] + F.coalesce(u["n"], F.lit(0))
+            # Of two parts: sums about the common mean are theirs and the distance of their means, weighted.
+            dx, dy = (u[f"{v}0"] - h[f"{v}0"] + (u[f"m{v}"] - h[f"m{v}"]) for v in "xy")
+            share = F.try_divide(h["n"] * u["n"], n)
+            spread = {"xx": dx * dx, "xy": dx * dy, "yy": dy * dy}
+            out[f"_n_{w}"] = n
+            out |= {f"_{p}_{w}": h[p] + F.coalesce(u[p] + d * share, F.lit(0.0)) for p, d in spread.items()}
+            out |= {
+                f"_m{v}_{w}": h[f"{v}0"] + (h[f"m{v}"] + F.coalesce(F.try_divide(d * u["n"], n), F.lit(0.0)))
+                for v, d in (("x", dx), ("y", dy))
+            }
+        layout = layout.add(out)
+        return layout.with_rows(layout.df.drop(*made))
 
     def columns(self, windows: Sequence[int], parts: Sequence[str] = ("slope",)) -> Layout:
         """The layout with ``<part>_<w>`` for each width: slope, intercept, r2, sigma; NULL until full."""
-        held = {w: self._frames(w, "intercept" in parts) for w in windows}
-        frames = {f"_{n}_{w}": c for w, cols in held.items() for n, c in cols.items()}
-        # Window functions become columns first; the formulas then use them several times.
-        layout = self.layout.add(frames)
+        layout = self._frames(windows)
+        held = ("n", "xx", "xy", "yy", "mx", "my")
+        frames = [f"_{p}_{w}" for w in windows for p in held]
         out: dict[str, Column] = {}
         for w in windows:
-            at = {n: F.col(f"_{n}_{w}") for n in held[w]}
+            at = {p: F.col(f"_{p}_{w}") for p in held}
             xx, xy, yy = at["xx"], at["xy"], at["yy"]
             slope = F.try_divide(xy, xx)
             formula = {"slope": slope / F.lit(self.scale)}

@@ -32,6 +32,49 @@ def test_slope_and_r2(series):
     assert forecast[5] == pytest.approx(13 / 4 + 1.5 * 2.5)
 
 
+@pytest.mark.parametrize("w", [1, 2, 7, 50, 64, 200])
+def test_frames_of_cells_equal_plain_frames(spark, w):
+    """Fits, means and maxima against Spark's own sliding frames, with gaps and spikes."""
+    x = F.col("index").cast("double")
+    rows = spark.range(1, 401).select(
+        F.lit("s").alias("series"),
+        F.col("id").alias("index"),
+        F.when(F.col("id") % 150 == 0, None)
+        .when((F.col("id") > 200) & (F.col("id") < 260), 2.3)
+        .otherwise(F.sin("id") * 5 + F.when(F.col("id") % 37 == 0, 1e6).otherwise(0.0))
+        .alias("value"),
+    )
+    from pyspark.sql import Window
+
+    frame = Window.partitionBy("series").orderBy("index").rowsBetween(-(w - 1), 0)
+    full = F.count("value").over(frame) == w
+    sums = {n: f("value", x).over(frame) for n, f in (("xx", F.regr_sxx), ("xy", F.regr_sxy), ("yy", F.regr_syy))}
+    plain = rows.withColumns(
+        {n: F.when(full, c) for n, c in {**sums, "mean": F.avg("value").over(frame), "top": F.max("value").over(frame)}.items()}
+    ).orderBy("index").collect()
+    fits = W.Fit.over(rows, "series", "index", "value", [w], index="index", block_rows=90)._frames([w]).finish()
+    fits = {r["index"]: r for r in fits.collect()}
+    means = column(W.rolling_mean(rows, "series", "index", {"value": "m"}, w, index="index", block_rows=90), "m")
+    tops = column(W.rolling_max(rows, "series", "index", "value", w, index="index", block_rows=90), "rollmax")
+    for i, want in enumerate(plain):
+        got = fits[want["index"]]
+        assert tops[i] == want["top"]
+        assert (means[i] is None) == (want["mean"] is None)
+        assert (got[f"_n_{w}"] == w) == (want["xx"] is not None)
+        if want["xx"] is not None:
+            assert means[i] == pytest.approx(want["mean"], rel=1e-9, abs=1e-9)
+            for n in ("xx", "xy", "yy"):
+                scale = (want["xx"] * want["yy"]) ** 0.5 if n == "xy" else want[n]
+                assert got[f"_{n}_{w}"] == pytest.approx(want[n], rel=1e-9, abs=1e-9 * scale)
+            assert (want["yy"] == 0) == (got[f"_yy_{w}"] == 0)
+
+
+def test_frames_without_any_value(series):
+    empty = series([None] * 12)
+    out = W.rolling_ols(empty, "series", "index", "value", 4, index="index")
+    assert column(out, "slope") == [None] * 12 and column(out, "sigma") == [None] * 12
+
+
 def test_gradient_is_one_sided_at_the_ends(series):
     out = W.gradient(series([1, 4, 9, 16]), "series", "index", "value", index="index")
     assert column(out, "gradient") == [3, 4, 6, 7]
