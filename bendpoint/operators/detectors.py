@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import axis_key, uniform
 from .layout import BLOCK_ROWS, Layout, keys_of, lay_out
-from .rolling import Fit, gradient_column, kernel_smooth, max_columns
+from .rolling import WIDTH, Fit, gradient_column, kernel_smooth, max_column
 
 
 @dataclass(frozen=True)
@@ -42,9 +42,9 @@ class PeakRule:
     def reach(self) -> tuple[int, int]:
         return self.k + 1, self.ahead + 1
 
-    def apply(self, layout: Layout, windows: Sequence[int]) -> Layout:
-        layout = max_columns({f"rollmax_{w}": f"signal_{w}" for w in windows}, layout, self.k)
-        return layout.add({f"cp_{w}": self._flag(f"rollmax_{w}", layout) for w in windows})
+    def apply(self, layout: Layout) -> Layout:
+        layout = max_column("_rollmax", "_signal", layout, self.k)
+        return layout.add({"_cp": self._flag("_rollmax", layout)})
 
     def _flag(self, peak: str, layout: Layout) -> Column:
         later = F.lead(peak, self.ahead).over(layout.window)
@@ -70,8 +70,8 @@ class RatioRule:
 
     reach = (1, 1)
 
-    def apply(self, layout: Layout, windows: Sequence[int]) -> Layout:
-        return layout.add({f"cp_{w}": self._flag(F.col(f"signal_{w}"), layout) for w in windows})
+    def apply(self, layout: Layout) -> Layout:
+        return layout.add({"_cp": self._flag(F.col("_signal"), layout)})
 
     def _flag(self, now: Column, layout: Layout) -> Column:
         previous = F.lag(now).over(layout.window)
@@ -82,17 +82,12 @@ class RatioRule:
 Rule = PeakRule | RatioRule
 
 
-def _signals(fits: Fit, windows: Sequence[int], rule: Rule, fit: bool) -> Layout:
-    layout = fits.columns(windows, ("slope", "r2") if fit else ("slope",))
+def _signals(fits: Fit, rule: Rule, parts: Sequence[str]) -> Layout:
+    layout = fits.columns(("slope", *parts))
     if rule.slope_digits is not None:
-        layout = layout.add({f"slope_{w}": F.round(f"slope_{w}", rule.slope_digits) for w in windows})
-    signal = {
-        f"signal_{w}": F.abs(gradient_column(f"slope_{w}", layout) if rule.on == "gradient" else F.col(f"slope_{w}"))
-        for w in windows
-    }
-    if rule.digits is not None:
-        signal = {name: F.round(c, rule.digits) for name, c in signal.items()}
-    return rule.apply(layout.add(signal), windows)
+        layout = layout.add({"_slope": F.round("_slope", rule.slope_digits)})
+    signal = F.abs(gradient_column("_slope", layout) if rule.on == "gradient" else F.col("_slope"))
+    return rule.apply(layout.add({"_signal": signal if rule.digits is None else F.round(signal, rule.digits)}))
 
 
 def detect(
@@ -118,20 +113,15 @@ def detect(
     keys = keys_of(keys)
     rows = df if index is not None else df.filter(F.col(value).isNotNull())
     fits = Fit.over(rows, keys, t, value, windows, rule.reach, x_unit, index, block_rows)
-    layout = _signals(fits, windows, rule, fit)
-    fields = {"slope": "slope", "second_derivative": "signal", "cp": "cp"}
+    held = {"slope": "_slope", "second_derivative": "_signal", "cp": "_cp"}
     if isinstance(rule, PeakRule):
-        fields["rollmax"] = "rollmax"
+        held["rollmax"] = "_rollmax"
     if fit:
-        fields["r_squared"] = "r2"
-
-    def level(w: int) -> list[Column]:
-        return [F.lit(int(w)).alias("window_length_level"), *[F.col(f"{c}_{w}").alias(n) for n, c in fields.items()]]
-
-    out = layout.finish()
-    if len(windows) == 1:
-        return out.select(*df.columns, *level(windows[0]))
-    return out.select(*df.columns, F.inline(F.array(*[F.struct(*level(w)) for w in windows])))
+        held |= {"r_squared": "_r2"}
+    layout = _signals(fits, rule, ("r2",) if fit else ())
+    levels = F.col(WIDTH).alias("window_length_level")
+    layout = layout.with_rows(layout.df.select(*layout.df.columns, levels, *[F.col(c).alias(n) for n, c in held.items()]))
+    return layout.finish().select(*df.columns, "window_length_level", *held)
 
 
 def gradient_peaks(
@@ -325,10 +315,10 @@ def rolling_fit_stats(
 ) -> DataFrame:
     """Residual sd and r2 of the rolling fit, long: keys, t, statistics, value (NULL until full)."""
     keys = keys_of(keys)
-    layout = Fit.over(df, keys, t, value, [w], (0, 0), x_unit, index, block_rows).columns([w], ("r2", "sigma"))
+    layout = Fit.over(df, keys, t, value, [w], (0, 0), x_unit, index, block_rows).columns(("r2", "sigma"))
     stats = F.array(
-        F.struct(F.lit("sigmas").alias("statistics"), F.col(f"sigma_{w}").alias("value")),
-        F.struct(F.lit("r.squareds").alias("statistics"), F.col(f"r2_{w}").alias("value")),
+        F.struct(F.lit("sigmas").alias("statistics"), F.col("_sigma").alias("value")),
+        F.struct(F.lit("r.squareds").alias("statistics"), F.col("_r2").alias("value")),
     )
     return layout.finish().select(*keys, t, F.inline(stats))
 

@@ -150,19 +150,33 @@ class Layout:
     def with_rows(self, df: DataFrame) -> Layout:
         return Layout(df, self.window, self.added, self.by)
 
-    def cells(self, n: int) -> Cells:
-        """The layout's rows in cells of ``n``, counted from the start of the series."""
-        cell = f"_cell_{n}"
-        layout = self if cell in self.df.columns else self.add({cell: F.floor((F.col(ROW) - 1) / F.lit(n))})
-        inside = Window.partitionBy(*self.by, cell)
+    def each(self, name: str, values: Sequence[int]) -> Layout:
+        """Every row once for each value, which becomes part of the series key; nothing moves."""
+        df = self.df.withColumn(name, F.explode(F.array(*[F.lit(int(v)) for v in values])))
+        by = (*self.by, name)
+        return Layout(df, Window.partitionBy(*by).orderBy(ROW), (*self.added, name), by)
+
+    def cells(self, n: int | Column, name: str = "_cell") -> tuple[Layout, WindowSpec, WindowSpec]:
+        """The layout with its rows in cells of ``n``, and running frames from a cell's two ends.
+
+        A frame of ``n`` rows is the head of its row's cell and the tail of the cell before: two values
+        combined instead of ``n``. Cells are counted from the start of the series, so no result depends
+        on blocks.
+        """
+        n = F.lit(n) if isinstance(n, int) else n
+        layout = self.add({name: F.floor((F.col(ROW) - 1) / n)})
+        inside = Window.partitionBy(*self.by, name)
         reach = (Window.unboundedPreceding, Window.currentRow)
-        return Cells(
-            Layout(layout.df, self.window, tuple(dict.fromkeys((*self.added, cell))), self.by),
-            n,
+        return (
+            layout,
             inside.orderBy(ROW).rowsBetween(*reach),
             inside.orderBy(F.desc(ROW)).rowsBetween(*reach),
         )
 
+    def begun(self, tail: Column, n: int) -> Column:
+        """A tail's value where the row's frame of ``n`` begins; NULL where the head is the whole frame."""
+        return F.when(F.pmod(F.col(ROW), F.lit(n)) != 0, F.lag(tail, n - 1).over(self.window))
+
     def add(self, columns: dict[str, Column]) -> Layout:
         return self.with_rows(self.df.withColumns(columns))
 
@@ -173,29 +187,6 @@ class Layout:
         return out.drop(*self.added)
 
 
-@dataclass(frozen=True)
-class Cells:
-    """Frames of ``n`` rows in linear time, whatever ``n`` is.
-
-    A frame ends with the head of its row's cell and begins with the tail of the cell before. Heads are
-    running aggregates of a cell, tails the same from the cell's end, so a frame is two values combined
-    instead of ``n``. Cells are counted from the start of the series: no result depends on blocks.
-    """
-
-    layout: Layout
-    n: int
-    head: WindowSpec
-    tail: WindowSpec
-
-    def alone(self) -> Column:
-        """Whether the head is the whole frame: at a cell's last row."""
-        return F.pmod(F.col(ROW), F.lit(self.n)) == 0
-
-    def before(self, tail: str) -> Column:
-        """The value of a tail column where the row's frame begins; NULL if the head is the whole frame."""
-        return F.when(~self.alone(), F.lag(tail, self.n - 1).over(self.layout.window))
-
-
 def lay_out(
     df: DataFrame,
     keys: str | Sequence[str],

@@ -39,21 +39,26 @@ def rolling_mean(
     if not isinstance(cols, dict):
         cols = {c: f"roll_{c}" for c in cols}
     layout = lay_out(df, keys, t, before=w - 1, index=index, block_rows=block_rows)
-    cells = layout.cells(w)
-    layout = cells.layout
-    for side in ("head", "tail"):
-        window = getattr(cells, side)
-        layout = layout.add(
-            {f"_{side}_{n}_{c}": f(c).over(window) for c in cols for n, f in (("n", F.count), ("sum", F.sum))}
-        )
-    layout = layout.add({f"_tail_{n}_{c}": cells.before(f"_tail_{n}_{c}") for c in cols for n in ("n", "sum")})
+    sums, out = _over_cells({(n, c): f(c) for c in cols for n, f in (("n", F.count), ("sum", F.sum))}, layout, w)
 
     def mean(c: str) -> Column:
-        held = {n: F.col(f"_head_{n}_{c}") + F.coalesce(f"_tail_{n}_{c}", F.lit(0)) for n in ("n", "sum")}
-        return F.when(held["n"] == w, held["sum"].cast("double") / F.lit(w))
+        n, total = (sums[n, c][0] + F.coalesce(sums[n, c][1], F.lit(0)) for n in ("n", "sum"))
+        return F.when(n == w, total.cast("double") / F.lit(w))
 
-    made = [f"_{side}_{n}_{c}" for side in ("head", "tail") for n in ("n", "sum") for c in cols]
-    return layout.add({out: mean(c) for c, out in cols.items()}).finish().drop(*made)
+    return out.add({name: mean(c) for c, name in cols.items()}).finish().drop("_head", "_tail")
+
+
+def _over_cells(
+    aggregates: dict[tuple[str, str], Column], layout: Layout, n: int
+) -> tuple[dict[tuple[str, str], tuple[Column, Column]], Layout]:
+    """For each aggregate its value over the head and over the tail of every row's frame of ``n`` rows."""
+    layout, head, tail = layout.cells(n)
+    fields = {key: f"f{i}" for i, key in enumerate(aggregates)}
+    for side, window in (("_head", head), ("_tail", tail)):
+        layout = layout.add({side: F.struct(*[c.over(window).alias(fields[key]) for key, c in aggregates.items()])})
+    layout = layout.add({"_tail": layout.begun(F.col("_tail"), n)})
+    layout = layout.with_rows(layout.df.drop("_cell"))
+    return {key: (F.col(f"_head.{f}"), F.col(f"_tail.{f}")) for key, f in fields.items()}, layout
 
 
 def rolling_max(
@@ -67,26 +72,15 @@ def rolling_max(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     layout = lay_out(df, keys, t, before=k - 1, index=index, block_rows=block_rows)
-    return max_columns({name: c}, layout, k).finish()
-
+    return max_column(name, c, layout, k).finish()
 
-def max_columns(cols: dict[str, str], layout: Layout, k: int) -> Layout:
-    """The layout with the maximum over ``k`` rows of each column, under the names that are the keys."""
-    cells = layout.cells(k)
-    layout = cells.layout
-    for side in ("head", "tail"):
-        window = getattr(cells, side)
-        held = {f"_{side}_n_{out}": F.count(c).over(window) for out, c in cols.items()}
-        layout = layout.add(held | {f"_{side}_max_{out}": F.max(c).over(window) for out, c in cols.items()})
-    layout = layout.add({f"_tail_{n}_{out}": cells.before(f"_tail_{n}_{out}") for out in cols for n in ("n", "max")})
 
-    def largest(out: str) -> Column:
-        n = F.col(f"_head_n_{out}") + F.coalesce(f"_tail_n_{out}", F.lit(0))
-        return F.when(n == k, F.greatest(f"_head_max_{out}", f"_tail_max_{out}"))
-
-    made = [f"_{side}_{n}_{out}" for side in ("head", "tail") for n in ("n", "max") for out in cols]
-    layout = layout.add({out: largest(out) for out in cols})
-    return layout.with_rows(layout.df.drop(*made))
+def max_column(name: str, c: str, layout: Layout, k: int) -> Layout:
+    """The layout with the maximum of a column over ``k`` rows; NULL until full."""
+    held, layout = _over_cells({("n", c): F.count(c), ("max", c): F.max(c)}, layout, k)
+    n = held["n", c][0] + F.coalesce(held["n", c][1], F.lit(0))
+    out = layout.add({name: F.when(n == k, F.greatest(*held["max", c]))})
+    return out.with_rows(out.df.drop("_head", "_tail"))
 
 
 def axis_grain(df: DataFrame, t: str, x_unit: str = "s") -> tuple[Column, float]:
@@ -106,18 +100,22 @@ def axis_value(df: DataFrame, t: str, x_unit: str = "s") -> Column:
     return x if scale == 1.0 else x * F.lit(scale)
 
 
+WIDTH = "_width"
+
+
 @dataclass(frozen=True)
 class Fit:
-    """A layout on which rolling fits are made, with its regressor ``_x``.
+    """A layout on which rolling fits are made, with its regressor ``_x``; a row for each width.
 
-    A frame is the tail of one cell of its width and the head of the next, so each width costs the same
-    few passes. A window's result depends on its rows and where cells begin, which is counted from the
-    start of the series: not on the other widths of a call, nor on where blocks begin.
+    A frame is the tail of one cell of its width and the head of the next, so rows cost the same at any
+    width. A window's result depends on its rows and where cells begin, which is counted from the start
+    of the series: not on the other widths of a call, nor on where blocks begin.
     """
 
     layout: Layout
     value: str
     scale: float
+    windows: tuple[int, ...]
 
     @classmethod
     def over(
@@ -136,68 +134,61 @@ class Fit:
         x, scale = axis_grain(df, t, x_unit)
         before, after = max(windows) + reach[0], reach[1]
         layout = lay_out(df.withColumn("_x", x), keys, t, before, after, index, block_rows or BLOCK_ROWS)
-        return cls(layout, value, scale)
+        return cls(layout.each(WIDTH, windows), value, scale, tuple(windows))
 
-    def _side(self, layout: Layout, w: int, side: str, window: WindowSpec) -> Layout:
+    def _side(self, layout: Layout, side: str, window: WindowSpec) -> Layout:
         """Running moments of each cell from one end: count, sums about the means, and the means.
 
         Means are taken as distances from the cell's first row, so those of equal values are exact.
         """
-        first = {f"_{side}_{v}0_{w}": F.first(c).over(window) for v, c in (("x", "_x"), ("y", self.value))}
-        layout = layout.add(first)
-        x, y = (F.col(c) - F.col(o) for c, o in zip(("_x", self.value), first, strict=True))
+        layout = layout.add({"_x0": F.first("_x").over(window), "_y0": F.first(self.value).over(window)})
+        x, y = F.col("_x") - F.col("_x0"), F.col(self.value) - F.col("_y0")
         held = {"n": F.count(self.value), "mx": F.avg(F.when(y.isNotNull(), x)), "my": F.avg(y)}
         held |= {"xx": F.regr_sxx(self.value, "_x"), "xy": F.regr_sxy(self.value, "_x"), "yy": F.regr_syy(self.value, "_x")}
-        return layout.add({f"_{side}_{n}_{w}": c.over(window) for n, c in held.items()})
-
-    def _frames(self, windows: Sequence[int]) -> Layout:
-        """The layout with ``_<part>_<w>`` of each row's frame: n, xx, xy, yy, mx, my."""
-        parts = ("n", "mx", "my", "xx", "xy", "yy", "x0", "y0")
-        layout, cells, made = self.layout, {}, []
-        for w in windows:
-            cells[w] = layout.cells(w)
-            layout = cells[w].layout
-            for side in ("head", "tail"):
-                layout = self._side(layout, w, side, getattr(cells[w], side))
-                made += [f"_{side}_{p}_{w}" for p in parts]
-        layout = layout.add({f"_tail_{p}_{w}": cells[w].before(f"_tail_{p}_{w}") for w in windows for p in parts})
-        out: dict[str, Column] = {}
-        for w in windows:
-            h, u = ({p: F.col(f"_{side}_{p}_{w}") for p in parts} for side in ("head", "tail"))
-            n = h["n"] + F.coalesce(u["n"], F.lit(0))
-            # Of two parts: sums about the common mean are theirs and the distance of their means, weighted.
-            dx, dy = (u[f"{v}0"] - h[f"{v}0"] + (u[f"m{v}"] - h[f"m{v}"]) for v in "xy")
-            share = F.try_divide(h["n"] * u["n"], n)
-            spread = {"xx": dx * dx, "xy": dx * dy, "yy": dy * dy}
-            out[f"_n_{w}"] = n
-            out |= {f"_{p}_{w}": h[p] + F.coalesce(u[p] + d * share, F.lit(0.0)) for p, d in spread.items()}
-            out |= {
-                f"_m{v}_{w}": h[f"{v}0"] + (h[f"m{v}"] + F.coalesce(F.try_divide(d * u["n"], n), F.lit(0.0)))
-                for v, d in (("x", dx), ("y", dy))
-            }
-        layout = layout.add(out)
-        return layout.with_rows(layout.df.drop(*made))
-
-    def columns(self, windows: Sequence[int], parts: Sequence[str] = ("slope",)) -> Layout:
-        """The layout with ``<part>_<w>`` for each width: slope, intercept, r2, sigma; NULL until full."""
-        layout = self._frames(windows)
-        held = ("n", "xx", "xy", "yy", "mx", "my")
-        frames = [f"_{p}_{w}" for w in windows for p in held]
-        out: dict[str, Column] = {}
-        for w in windows:
-            at = {p: F.col(f"_{p}_{w}") for p in held}
-            xx, xy, yy = at["xx"], at["xy"], at["yy"]
-            slope = F.try_divide(xy, xx)
-            formula = {"slope": slope / F.lit(self.scale)}
-            if "r2" in parts:
-                formula["r2"] = F.try_divide(xy * xy, xx * yy)
-            if "sigma" in parts:
-                rest = F.greatest(yy - F.try_divide(xy * xy, xx), F.lit(0.0))
-                formula["sigma"] = F.sqrt(F.try_divide(rest, F.lit(float(w - 2))))
-            if "intercept" in parts:
-                formula["intercept"] = at["my"] - slope * at["mx"]
-            out |= {f"{part}_{w}": F.when(at["n"] == w, formula[part]) for part in parts}
-        return layout.with_rows(layout.df.withColumns(out).drop("_x", *frames))
+        parts = [c.over(window).alias(n) for n, c in held.items()]
+        layout = layout.add({side: F.struct(*parts, F.col("_x0").alias("x0"), F.col("_y0").alias("y0"))})
+        return layout.with_rows(layout.df.drop("_x0", "_y0"))
+
+    def frames(self) -> Layout:
+        """The layout with ``_frame`` of each row and width: n, xx, xy, yy, mx, my."""
+        layout, head, tail = self.layout.cells(F.col(WIDTH))
+        layout = self._side(self._side(layout, "_head", head), "_tail", tail)
+        # Only constants can be offsets of a lag.
+        begun = [F.when(F.col(WIDTH) == w, layout.begun(F.col("_tail"), w)) for w in self.windows]
+        layout = layout.add({"_tail": F.coalesce(*begun)})
+        h, u = ({p: F.col(f"{side}.{p}") for p in ("n", "mx", "my", "xx", "xy", "yy", "x0", "y0")} for side in ("_head", "_tail"))
+        # Of two parts: sums about the common mean are theirs and the distance of their means, weighted.
+        apart = {f"_d{v}": u[f"{v}0"] - h[f"{v}0"] + (u[f"m{v}"] - h[f"m{v}"]) for v in "xy"}
+        layout = layout.add({"_n": h["n"] + F.coalesce(u["n"], F.lit(0)), **apart})
+        n, dx, dy = F.col("_n"), F.col("_dx"), F.col("_dy")
+        layout = layout.add({"_both": F.try_divide(h["n"] * u["n"], n), "_share": F.try_divide(u["n"], n)})
+        none = F.lit(0.0)
+        spread = {"xx": dx * dx, "xy": dx * dy, "yy": dy * dy}
+        parts = [n.alias("n")]
+        parts += [(h[p] + F.coalesce(u[p] + d * F.col("_both"), none)).alias(p) for p, d in spread.items()]
+        parts += [
+            (h[f"{v}0"] + (h[f"m{v}"] + F.coalesce(d * F.col("_share"), none))).alias(f"m{v}")
+            for v, d in (("x", dx), ("y", dy))
+        ]
+        layout = layout.add({"_frame": F.struct(*parts)})
+        return layout.with_rows(layout.df.drop("_cell", "_head", "_tail", "_n", "_dx", "_dy", "_both", "_share"))
+
+    def columns(self, parts: Sequence[str] = ("slope",)) -> Layout:
+        """The layout with ``_<part>`` of each row and width: slope, intercept, r2, sigma; NULL until full."""
+        layout = self.frames()
+        at = {p: F.col(f"_frame.{p}") for p in ("n", "xx", "xy", "yy", "mx", "my")}
+        xx, xy, yy = at["xx"], at["xy"], at["yy"]
+        width = F.col(WIDTH)
+        slope = F.try_divide(xy, xx)
+        rest = F.greatest(yy - F.try_divide(xy * xy, xx), F.lit(0.0))
+        formula = {
+            "slope": slope / F.lit(self.scale),
+            "intercept": at["my"] - slope * at["mx"],
+            "r2": F.try_divide(xy * xy, xx * yy),
+            "sigma": F.sqrt(F.try_divide(rest, (width - 2).cast("double"))),
+        }
+        layout = layout.add({f"_{p}": F.when(at["n"] == width, formula[p]) for p in parts})
+        return layout.with_rows(layout.df.drop("_x", "_frame"))
 
 
 def rolling_ols(
@@ -216,11 +207,11 @@ def rolling_ols(
     slopes are per second, so thresholds on them are of the order 1e-9.
     """
     parts = ("slope", "intercept", "r2", "sigma")
-    layout = Fit.over(df, keys, t, c, [w], (1, 0), x_unit, index, block_rows).columns([w], parts)
-    before = {p: F.lag(f"{p}_{w}").over(layout.window) for p in ("intercept", "slope")}
+    layout = Fit.over(df, keys, t, c, [w], (1, 0), x_unit, index, block_rows).columns(parts)
+    before = {p: F.lag(f"_{p}").over(layout.window) for p in ("intercept", "slope")}
     forecast = before["intercept"] + before["slope"] * axis_value(df, t, x_unit)
     out = layout.add({"forecast": forecast}).finish()
-    return out.withColumnsRenamed({f"{p}_{w}": p for p in parts})
+    return out.withColumnsRenamed({f"_{p}": p for p in parts})
 
 
 def gradient_column(c: str, layout: Layout) -> Column:

@@ -52,7 +52,7 @@ def test_frames_of_cells_equal_plain_frames(spark, w):
     plain = rows.withColumns(
         {n: F.when(full, c) for n, c in {**sums, "mean": F.avg("value").over(frame), "top": F.max("value").over(frame)}.items()}
     ).orderBy("index").collect()
-    fits = W.Fit.over(rows, "series", "index", "value", [w], index="index", block_rows=90)._frames([w]).finish()
+    fits = W.Fit.over(rows, "series", "index", "value", [w], index="index", block_rows=90).frames().finish().select("index", "_frame.*")
     fits = {r["index"]: r for r in fits.collect()}
     means = column(W.rolling_mean(rows, "series", "index", {"value": "m"}, w, index="index", block_rows=90), "m")
     tops = column(W.rolling_max(rows, "series", "index", "value", w, index="index", block_rows=90), "rollmax")
@@ -60,13 +60,13 @@ def test_frames_of_cells_equal_plain_frames(spark, w):
         got = fits[want["index"]]
         assert tops[i] == want["top"]
         assert (means[i] is None) == (want["mean"] is None)
-        assert (got[f"_n_{w}"] == w) == (want["xx"] is not None)
+        assert (got["n"] == w) == (want["xx"] is not None)
         if want["xx"] is not None:
             assert means[i] == pytest.approx(want["mean"], rel=1e-9, abs=1e-9)
             for n in ("xx", "xy", "yy"):
                 scale = (want["xx"] * want["yy"]) ** 0.5 if n == "xy" else want[n]
-                assert got[f"_{n}_{w}"] == pytest.approx(want[n], rel=1e-9, abs=1e-9 * scale)
-            assert (want["yy"] == 0) == (got[f"_yy_{w}"] == 0)
+                assert got[n] == pytest.approx(want[n], rel=1e-9, abs=1e-9 * scale)
+            assert (want["yy"] == 0) == (got["yy"] == 0)
 
 
 def test_frames_without_any_value(series):
