@@ -104,23 +104,28 @@ class Model:
     log_prior: np.ndarray
 
 
-def train(docs: DataFrame, per_lang: int = 4000, smoothing: float = 0.1) -> Model:
-    """Learn from rows of docs (text, lang), those with a null lang aside.
+def train(docs: DataFrame, per_lang: int = 4000, smoothing: float = 0.1, max_langs: int = 256) -> Model:
+    """Learn from rows of docs (text, lang, doc_id), those with a null lang aside.
 
     Of each language about `per_lang` whole texts are used: a bounded sample, drawn by a hash of the
-    row, so that a language of a third of all rows costs no more than another. The counts are summed by
-    (language, bucket), at most 65,536 rows for each language, whatever the table's size.
+    whole row, so that neither a language of a third of all rows nor a group of copies that is a third
+    of a language takes more than its share. Only the `max_langs` most frequent values of lang are
+    learned, which bounds the model where the column is dirty. The counts are summed by (language,
+    bucket), at most 65,536 rows for each language, whatever the table's size. doc_id decides the draw
+    alone. An empty table gives a model that knows no language.
     """
+    one = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None)
     known = docs.filter(F.col("lang").isNotNull()).select(
-        whole_text().alias("text"), F.col("lang").cast("string").alias("lang")
+        whole_text().alias("text"), F.col("lang").cast("string").alias("lang"), one.alias("row")
     )
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    frequent = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    sizes = {r["lang"]: r["n"] for r in frequent.collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0))
     share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_lang / sizes[k]))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.filter(draw < share).repartition(8)
+    draw = F.pmod(F.xxhash64("text", "lang", "row"), F.lit(1 << 30)) / float(1 << 30)
+    sample = known.filter(F.col("lang").isin(langs)).filter(draw < share).drop("row").repartition(8)
     counts = np.full((len(langs), 1 << BUCKET_BITS), smoothing)
     totals = arrow_map(sample, _count(langs), "lang int, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = totals.toArrow()

@@ -14,6 +14,7 @@ from .common import arrow_map, whole_text
 from .tokens import pieces
 
 CHUNK_IDS = 4 << 20
+TASK_BYTES = 16 << 20  # text that a task packs, at least
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -134,12 +135,15 @@ def pack(
 
     Each text's ids, and `end_id`, are cut into full windows of `capacity`; what remains is packed
     best-fit decreasing with the other remainders of the same chunk. A chunk is at least `chunk_ids`
-    consecutive ids of one input partition: nothing is shuffled, what a task holds is bounded by the
-    chunk and its largest text, and a task that runs again makes the same windows. At most the last
-    windows of a chunk are left with much room. sequence_id is unique, not consecutive.
+    consecutive ids of one task: nothing is shuffled, what a task holds is bounded by the chunk and its
+    largest text, and a task that runs again makes the same windows. At most the last windows of a chunk
+    are left with much room; small partitions are read together, TASK_BYTES of text by a task, so that
+    chunks are full however finely the table is dealt. sequence_id is unique, not consecutive.
 
     Null and empty texts are one piece of the end id. Repeated rows and null doc_ids are packed as
     they come. An empty table gives no rows. Other columns are not carried.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = texts.coalesce(max(1, size // TASK_BYTES))
     return arrow_map(texts, _pack(path, cut, end_id, capacity, chunk_ids), SCHEMA)

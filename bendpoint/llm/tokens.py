@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import string
+import unicodedata
 from functools import lru_cache
 from itertools import repeat
 
@@ -47,6 +48,11 @@ def _lead_part(key: str) -> str:
 CUTS = {"drop": (_drop_keys, str), "lead": (_lead_keys, _lead_part)}
 
 
+def _letters(word: str) -> bool:
+    """Whether a word is letters alone, also when a tokenizer has composed and lower-cased it."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class Pieces:
     """Encodes texts part by part. What was encoded before is looked up; a full cache starts over."""
 
@@ -81,12 +87,13 @@ class Pieces:
 
     def _learn(self, new: list[str]) -> None:
         """Letters with ASCII marks behind them are two parts to any of these tokenizers: the ids of a
-        word with its comma are those of the word, often known, and those of the comma."""
+        word with its comma are those of the word, often known, and those of the comma. Letters are
+        meant as the tokenizer sees them: composed and in lower case some end in a mark of their own."""
         asked: dict[str, None] = {}
         marked = []
         for key in new:
             core = key.rstrip(string.punctuation)
-            if core != key and core.lstrip("\0").isalpha():
+            if core != key and _letters(core.lstrip("\0")):
                 tail = self.whole + key[len(core) :]
                 marked.append((key, core, tail))
                 asked.update((x, None) for x in (core, tail) if x not in self.where)

@@ -66,6 +66,26 @@ def test_pipeline_stages_by_brute_force(spark):
             assert {d for d, _ in after} == clean
 
 
+@needs_data
+def test_stages_keep_own_columns_and_take_odd_tables(spark):
+    """Columns named like an operator's results, nulls, empty texts and empty tables."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["lang_pred", "score", "N_Lines", "n_dropped", "n_words", "n_hit", "n_items", "items", "contaminated"]
+    odd = [(-1, None, None, None, None), (-2, "", "en", None, 0), (None, "of the and is", "en", "s", 3)]
+    rich = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns(
+        {c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in names}
+    )
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for table in (rich, rich.limit(0)):
+            out = stage(spark, table, SF)
+            assert out.columns == rich.columns, name
+            got = out.collect()
+            assert bool(got) == (table is rich)
+            assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in got for c in names)
+
+
 @needs_data
 def test_held_out_language(spark):
     out = queries.op2_langid(spark, SF).filter("held_out")

@@ -31,6 +31,26 @@ def test_pieces_equal_the_tokenizer(file, cut, monkeypatch):
         assert [p.tolist() for p in parts] == [[*whole.encode(t, add_special_tokens=False).ids, 7] for t in TEXTS]
 
 
+@pytest.mark.parametrize(("file", "cut"), [(WORD, "drop"), (BYTE, "lead")])
+def test_every_letter_with_marks_behind_it(file, cut):
+    """One text for each letter, so that a wrong split of one shows."""
+    letters = [chr(c) for c in range(0x80, 0x20000) if chr(c).isalpha() and not 0xAC10 < c < 0xD7A3 and not 0x4E20 < c < 0x9FFF]
+    mine, whole = tokens.Pieces(file, cut, 7), Tokenizer.from_file(file)
+    for tail in ("-", "'s", "."):
+        texts = [f"ab{x}{tail} {x}{tail}" for x in letters]
+        flat, counts = mine.encode(texts)
+        want = [[*e.ids, 7] for e in whole.encode_batch(texts, add_special_tokens=False)]
+        parts = np.split(flat, np.cumsum(counts)[:-1])
+        assert [t for t, p, w in zip(texts, parts, want, strict=True) if p.tolist() != w] == []
+
+
+def test_little_padding_over_many_partitions(docs_of):
+    draw = np.random.default_rng(2)
+    docs = docs_of([(i, "some words of a text " * int(draw.integers(1, 300))) for i in range(1500)])
+    out = packing.pack(docs.repartition(64), WORD).toPandas()
+    assert out.length.sum() > 0.97 * 2048 * out.sequence_id.nunique()
+
+
 def test_best_fit_takes_the_tightest_window():
     draw = np.random.default_rng(0)
     lengths = draw.integers(1, 64, 500)
