@@ -2,40 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_path
 
 from bendpoint.llm import decontam, langid, linededup, packing, simhash
-from bendpoint.llm.common import scratch_folder
+from bendpoint.llm.common import fresh_names, scratch_folder
 
 
 LEAST_SCORE = 0.5
 
+# Every stage takes rows as they are: null, empty and very long texts, null languages and repeated rows
+# have the results that its operator's docstring states, an empty table gives an empty one, and a column
+# of the documents that is named like a result of the operator keeps its own values.
+
+
+def _apart(docs: DataFrame, *results: str) -> tuple[DataFrame, list[Column]]:
+    """docs with columns named like `results` under other names, and the columns that bring all back."""
+    clashing = [c for c in docs.columns if c.lower() in results]
+    held = dict(zip(clashing, fresh_names(docs, *(f"own_{c}" for c in clashing)), strict=True))
+    return docs.withColumnsRenamed(held), [F.col(held.get(c, c)).alias(c) for c in docs.columns]
+
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned, with a posterior of LEAST_SCORE or more."""
+    """Documents in a language that was learned, with a posterior of LEAST_SCORE or more.
+
+    A text that is null or has no letter has no language and goes.
+    """
     model = langid.train(docs.filter(langid.remainder("doc_id", 4) != 2))
-    out = langid.identify(docs, model)
-    return out.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    apart, own = _apart(docs, "lang_pred", "score")
+    out = langid.identify(apart, model)
+    return out.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*own)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that repeat in other documents; n_chars follows. Emptied documents stay."""
-    out = linededup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Texts without the lines that repeat in other documents; n_chars follows. Emptied documents stay, null texts as empty ones."""
+    apart, own = _apart(docs, "n_lines", "n_dropped")
+    return linededup.dedup_lines(apart).withColumn("n_chars", F.char_length("text").cast("long")).select(*own)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, the one of the smallest doc_id; texts without words are copies."""
     return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
+    """Documents without any benchmark window; texts without words have none."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.decontaminate(docs, benchmark).filter(~F.col("contaminated")).select(*docs.columns)
+    apart, own = _apart(docs, "n_words", "n_hit", "n_items", "items", "contaminated")
+    return decontam.decontaminate(apart, benchmark).filter(~F.col("contaminated")).select(*own)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
