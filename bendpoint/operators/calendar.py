@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hours_between
-from .layout import keys_of
+from .layout import keys_of, per_key
 
 STATS = {
     "mean": F.avg,
@@ -32,7 +32,7 @@ def calendar_agg(
     unit: str = "day",
     extra: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Statistics per key and calendar unit, all in one aggregation.
+    """Statistics per key and calendar unit, all in one aggregation (medians take a second pass).
 
     ``stats`` maps output columns to (column, statistic) with the statistics mean, sd, frequency,
     max, min and median; ``extra`` holds further aggregate expressions.  NULLs are skipped.  The
@@ -44,47 +44,67 @@ def calendar_agg(
     medians = {out: c for out, (c, stat) in stats.items() if stat == "median"}
     plain = [STATS[stat](c).alias(out) for out, (c, stat) in stats.items() if stat != "median"]
     plain += [c.alias(out) for out, c in (extra or {}).items()]
-    parts = [df.groupBy(*group).agg(*plain)] if plain else []
-    parts += [group_median(df, group, c, out) for out, c in medians.items()]
-    table = reduce(lambda a, b: a.join(b, group, "left"), parts)
+    table = group_stats(df, group, medians, plain) if medians else df.groupBy(*group).agg(*plain)
     return table.select(*group, *stats, *(extra or {}))
 
 
-def group_median(
-    df: DataFrame, keys: str | Sequence[str], c: str, name: str = "median", accuracy: int = 10_000
+def group_stats(
+    df: DataFrame, keys: str | Sequence[str], medians: dict[str, str], plain: Sequence[Column] = (), accuracy: int = 10_000
 ) -> DataFrame:
-    """Exact median per group without holding a group's values in one buffer.
+    """Exact medians per group (output name to column) and other aggregates, in two passes over the rows.
 
-    A quantile sketch, whose rank error is at most n / accuracy, brackets the median.  The values
-    below the bracket are only counted, and only the few distinct ones inside are put in order.
+    The first pass aggregates all else and brackets every median with a quantile sketch, whose rank
+    error is at most n / accuracy. The second counts the values below the brackets and the few distinct
+    ones inside, which alone are put in order; the first pass' results travel along, so that nothing is
+    joined back and no group's values stand in one buffer. A group without values has a NULL median.
     """
     keys = keys_of(keys)
     margin = 2.0 / accuracy
-    present = df.filter(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("_v"))
-    bracket = present.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], accuracy).alias("_b"),
+    value = [F.col(c).cast("double") for c in medians.values()]
+    bounds = [F.percentile_approx(v, [0.5 - margin, 0.5 + margin], accuracy) for v in value]
+    counts = F.array(*[F.count(v) for v in value])
+    first = df.groupBy(*keys).agg(*plain, counts.alias("_n"), F.array(*bounds).alias("_b"))
+    own = [c for c in first.columns if c not in (*keys, "_n", "_b")]
+    first = first.select(
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_b", F.struct("_n", *own).alias("_first")
     )
-    # One row per group for everything below the bracket, one per distinct value inside it.
-    inside = F.when(F.col("_v") >= F.col("_b")[0], F.col("_v"))
-    steps = (
-        present.join(bracket, keys)
-        .filter(F.col("_v") <= F.col("_b")[1])
-        .groupBy(*keys, "_n", inside.alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+    same = reduce(lambda x, y: x & y, [F.col(f"_key{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)])
+    entries = F.array(
+        *[
+            # One entry for everything below the bracket, one for each value inside it.
+            F.when(
+                F.col(f"_v{i}") <= F.col("_b")[i][1],
+                F.struct(F.lit(i).alias("m"), F.when(F.col(f"_v{i}") >= F.col("_b")[i][0], F.col(f"_v{i}")).alias("v")),
+            )
+            for i in range(len(value))
+        ]
     )
-    upto = F.sum("_c").over(
-        Window.partitionBy(*keys)
-        .orderBy(F.col("_v").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, 0)
+    steps = (
+        df.select(*keys, *[v.alias(f"_v{i}") for i, v in enumerate(value)])
+        .join(first, same)
+        .select(*keys, "_first", F.explode_outer(F.array_compact(entries)).alias("_e"))
+        .groupBy(*keys, F.col("_e.m").alias("_m"), F.col("_e.v").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.first("_first").alias("_first"))
     )
-    ranked = steps.withColumn("_upto", upto)
+    along = Window.partitionBy(*keys, "_m").orderBy(F.col("_v").asc_nulls_first())
+    upto = F.sum("_c").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = steps.withColumn("_upto", upto).withColumn("_n", F.col("_first._n")[F.col("_m")])
 
-    def at_rank(rank: Column) -> Column:
-        return F.max(F.when((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank), F.col("_v")))
+    def at_rank(i: int, rank: Column) -> Column:
+        here = (F.col("_m") == i) & (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank)
+        return F.max(F.when(here, F.col("_v")))
 
     low, high = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)
-    return ranked.groupBy(*keys).agg(((at_rank(low) + at_rank(high)) / 2.0).alias(name))
+    middle = [((at_rank(i, low) + at_rank(i, high)) / 2.0).alias(out) for i, out in enumerate(medians)]
+    done = ranked.groupBy(*keys).agg(*middle, F.first("_first").alias("_first"))
+    return done.select(*keys, *medians, *[F.col(f"_first.`{c}`").alias(c) for c in own])
+
+
+def group_median(
+    df: DataFrame, keys: str | Sequence[str], c: str, name: str = "median", accuracy: int = 10_000
+) -> DataFrame:
+    """Exact median per group; groups without values are left out."""
+    return group_stats(df, keys, {name: c}, accuracy=accuracy).filter(F.col(name).isNotNull())
 
 
 def fill_calendar(df: DataFrame, keys: str | Sequence[str], t: str) -> DataFrame:
@@ -191,7 +211,7 @@ def coverage(
 
 def gate(df: DataFrame, cov: DataFrame, site: str, threshold: float = 0.85) -> DataFrame:
     """Rows of the sites whose coverage reaches the threshold."""
-    return df.join(cov.filter(F.col("coverage") >= threshold).select(site), site, "left_semi")
+    return df.join(per_key(cov.filter(F.col("coverage") >= threshold).select(site)), site, "left_semi")
 
 
 def skipped(cov: DataFrame, threshold: float = 0.85) -> DataFrame:

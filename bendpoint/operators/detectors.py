@@ -236,13 +236,28 @@ def sweep_windows(
 NOISE_RULE = PeakRule(k=7, lead=4, digits=4, floor=1e-5)
 
 
+def with_noise_levels(
+    df: DataFrame, keys: str | Sequence[str], t: str, value: str, levels: Sequence[float], seed: int = 0
+) -> DataFrame:
+    """Every row once per level, with ``noise`` = value + level * U(0, 1); level 0 adds nothing."""
+    draw = uniform(*keys_of(keys), axis_key(df, t), "standard_deviation", F.lit(seed))
+    out = df.withColumn("standard_deviation", F.explode(F.array(*[F.lit(float(s)) for s in levels])))
+    return out.withColumn("noise", F.col(value) + F.col("standard_deviation") * draw)
+
+
+def with_percentage(df: DataFrame, percentages: dict[int, str]) -> DataFrame:
+    """Add ``percentage_level``: the label of each window length, as a share of the signal's length."""
+    labels = [F.when(F.col("window_length_level") == w, F.lit(text)) for w, text in percentages.items()]
+    return df.withColumn("percentage_level", F.coalesce(*labels, F.lit(None).cast("string")))
+
+
 def sweep_noise(
     df: DataFrame,
     keys: str | Sequence[str],
     t: str,
     value: str,
     levels: Sequence[float],
-    windows: Sequence[int],
+    windows: Sequence[int] | dict[int, str],
     seed: int = 0,
     rule: Rule = NOISE_RULE,
     fit: bool = False,
@@ -253,17 +268,51 @@ def sweep_noise(
     """Detector at every noise level and window length.
 
     Each row is repeated once per level with ``level * U(0, 1)`` added (level 0 adds nothing); the
-    level joins the series key.  With ``fit`` the rolling r_squared is kept too.
+    level joins the series key.  With ``fit`` the rolling r_squared is kept too.  ``windows`` that map
+    to labels give their ``percentage_level`` beside the length.
     """
-    keys = keys_of(keys)
-    draw = uniform(*keys, axis_key(df, t), "standard_deviation", F.lit(seed))
-    noisy = (
-        df.withColumn("standard_deviation", F.explode(F.array(*[F.lit(float(s)) for s in levels])))
-        .withColumn("noise", F.col(value) + F.col("standard_deviation") * draw)
-    )
-    out = detect(noisy, [*keys, "standard_deviation"], t, "noise", windows, rule, x_unit, index, fit, block_rows)
+    noisy = with_noise_levels(df, keys, t, value, levels, seed)
+    by = [*keys_of(keys), "standard_deviation"]
+    out = detect(noisy, by, t, "noise", list(windows), rule, x_unit, index, fit, block_rows)
     signals = [c for c in ("slope", "second_derivative", "rollmax", "r_squared", "cp") if c in out.columns]
-    return out.na.drop("any", subset=signals)
+    out = out.na.drop("any", subset=signals)
+    return with_percentage(out, windows) if isinstance(windows, dict) else out
+
+
+# Labels of the noise sweep's signals, in order (fixed values).
+NOISE_NAMES = {
+    "noise": "Test dataset",
+    "slope": "Rolling gradient",
+    "second_derivative": "2nd derivative",
+    "rollmax": "Applied rollmax",
+}
+
+
+def sweep_noise_long(
+    df: DataFrame, keys: str | Sequence[str], t: str, value: str, levels: Sequence[float], windows: dict[int, str], **kw
+) -> DataFrame:
+    """``sweep_noise`` in long form: a row for each signal, the rolling maximum among them."""
+    out = sweep_noise(df, keys, t, value, levels, windows, **kw)
+    ids = [*keys_of(keys), "standard_deviation", t, "window_length_level", "percentage_level", "cp"]
+    return signals_long(out, ids, "noise", {("value" if c == "noise" else c): n for c, n in NOISE_NAMES.items()})
+
+
+def noise_fit_stats(
+    df: DataFrame,
+    keys: str | Sequence[str],
+    t: str,
+    value: str,
+    levels: Sequence[float],
+    windows: dict[int, str],
+    seed: int = 0,
+    x_unit: str = "s",
+    index: str | None = None,
+    block_rows: int | None = None,
+) -> DataFrame:
+    """Residual sd and r2 of the fits at every noise level and window length, long; NULL until full."""
+    noisy = with_noise_levels(df, keys, t, value, levels, seed)
+    by = [*keys_of(keys), "standard_deviation"]
+    return with_percentage(rolling_fit_stats(noisy, by, t, "noise", list(windows), x_unit, index, block_rows), windows)
 
 
 def multi_series_ratio(
@@ -308,19 +357,26 @@ def rolling_fit_stats(
     keys: str | Sequence[str],
     t: str,
     value: str,
-    w: int,
+    w: int | Sequence[int],
     x_unit: str = "s",
     index: str | None = None,
     block_rows: int | None = None,
 ) -> DataFrame:
-    """Residual sd and r2 of the rolling fit, long: keys, t, statistics, value (NULL until full)."""
+    """Residual sd and r2 of the rolling fit, long: keys, t, statistics, value (NULL until full).
+
+    Several window lengths give a row for each, with ``window_length_level``.
+    """
     keys = keys_of(keys)
-    layout = Fit.over(df, keys, t, value, [w], (0, 0), x_unit, index, block_rows).columns(("r2", "sigma"))
+    windows = [w] if isinstance(w, int) else list(w)
+    layout = Fit.over(df, keys, t, value, windows, (0, 0), x_unit, index, block_rows).columns(("r2", "sigma"))
     stats = F.array(
         F.struct(F.lit("sigmas").alias("statistics"), F.col("_sigma").alias("value")),
         F.struct(F.lit("r.squareds").alias("statistics"), F.col("_r2").alias("value")),
     )
-    return layout.finish().select(*keys, t, F.inline(stats))
+    level = [] if isinstance(w, int) else [F.col(WIDTH).alias("window_length_level")]
+    rows = layout.with_rows(layout.df.withColumns({"_stats": stats, "_level": F.struct(*level, F.lit(0).alias("_none"))}))
+    out = rows.finish().select(*keys, t, "_level.*", F.inline("_stats"))
+    return out.drop("_none")
 
 
 def abs_slope_peaks(

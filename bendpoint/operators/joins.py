@@ -7,22 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .layout import keys_of
+from .layout import keys_of, small
 from .rolling import axis_value
 
 # Weather columns a reading may carry itself; the station's values replace them (fixed values).
 READING_WEATHER = ("ws", "wd", "air_temp", "latitude", "longitude")
 
-BROADCAST_ROWS = 100_000  # most rows, of a few columns each, that a table is broadcast with
-
-
-def small(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
-    """Mark a table for broadcast if a count of it, or of ``counted`` (as many rows but cheaper to make),
-    proves that it has few rows; else leave the join to shuffle.  The result is the same."""
-    counted = df if counted is None else counted
-    return F.broadcast(df) if counted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def join_weather(
     readings: DataFrame,
     weather: DataFrame,

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
+from ..session import ensure_checkpoint_dir
+
 SERIES_ROWS = 1 << 18  # longest stretch of a series that is numbered or summed up by one window
 # Rows of a series that are framed together.  With its copies a block stays below the 4,096 rows up
 # to which Spark keeps a window's rows in a plain in-memory buffer.
@@ -28,6 +30,22 @@ BLOCK = "_block"
 HOME = "_home"
 
 
+BROADCAST_ROWS = 100_000  # most rows, of a few columns each, that a table is broadcast with
+
+
+def small(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """Mark a table for broadcast if a count of it, or of ``counted`` (as many rows but cheaper to make),
+    proves that it has few rows; else leave the join to shuffle.  The result is the same."""
+    counted = df if counted is None else counted
+    return F.broadcast(df) if counted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def per_key(table: DataFrame) -> DataFrame:
+    """A table of one row a key, made once and broadcast if it is small, so that rows joined to it stay."""
+    ensure_checkpoint_dir(table.sparkSession)
+    return small(table.checkpoint())
+
+
 def keys_of(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 

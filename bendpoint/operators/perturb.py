@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import axis_key, gaussian, uniform
-from .layout import SERIES_ROWS, add_index, keys_of
+from .layout import SERIES_ROWS, add_index, keys_of, per_key
 from .reconstruct import interpolate_linear
 
 
@@ -74,7 +74,7 @@ def jitter(
         *keys, scale.alias("_z"), F.pow(F.lit(10.0), 3 - F.floor(F.log10(scale))).alias("_p")
     )
     steps = (
-        df.join(spread, keys)
+        df.join(per_key(spread), keys)
         .select(*keys, "_z", "_p", F.rint(F.col(c) * F.col("_p")).alias("_k"))
         .distinct()
         .withColumn("_gap", F.col("_k") - F.lag("_k").over(Window.partitionBy(*keys).orderBy("_k")))
@@ -85,7 +85,7 @@ def jitter(
     amount = F.lit(factor / 5.0) * F.coalesce(F.col("_gap") / F.col("_p"), alone)
     draw = uniform(*keys, axis_key(df, t), F.lit("jitter"), F.lit(seed))
     return (
-        df.join(steps.select(*keys, amount.alias("_a")), keys)
+        df.join(per_key(steps.select(*keys, amount.alias("_a"))), keys)
         .withColumn(name, F.col(c) + F.col("_a") * (2.0 * draw - 1.0))
         .drop("_a")
     )

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from .layout import BLOCK_ROWS, ROW, Layout, keys_of, lay_out
+from .layout import BLOCK_ROWS, ROW, Layout, keys_of, lay_out, per_key
 
 KERNEL_SD = 0.3706506  # sd of the normal kernel per unit of bandwidth (quartiles at +-bandwidth/4)
 KERNEL_REACH = 4.0  # kernel is cut at this many sd
@@ -271,7 +271,7 @@ def series_bounds(df: DataFrame, keys: str | Sequence[str], cols: Sequence[str])
     bounds = [
         f(c).alias(f"{n}_{c}") for c in cols for n, f in (("max", F.max), ("min", F.min))
     ]
-    return df.join(df.groupBy(*keys).agg(*bounds), keys)
+    return df.join(per_key(df.groupBy(*keys).agg(*bounds)), keys)
 
 
 def _smooth_dense(

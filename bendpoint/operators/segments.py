@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .layout import BLOCK, ROW, SERIES_ROWS, keys_of, lay_out
+from .layout import BLOCK, ROW, SERIES_ROWS, keys_of, lay_out, per_key
 
 MIN_VARIANCE = 1e-10
 
@@ -67,7 +67,7 @@ def meanvar_split(
     whole = rows.groupBy(*keys).agg(
         F.avg(value).alias("_mean"), F.count(F.lit(1)).alias("_n"), F.var_pop(value).alias("_var")
     )
-    centred = rows.join(whole, keys).withColumn("_v", F.col(value) - F.col("_mean"))
+    centred = rows.join(per_key(whole), keys).withColumn("_v", F.col(value) - F.col("_mean"))
     sums = running_totals(
         centred, keys, t, {"_s1": F.col("_v"), "_s2": F.col("_v") * F.col("_v")}, index, block_rows
     )

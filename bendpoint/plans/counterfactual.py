@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import mse, pearson
 from ..functions.scalars import axis_key, calendar_features, uniform
-from ..operators.calendar import coverage, gate, group_median
-from ..operators.joins import small
-from ..operators.layout import add_index
+from ..operators.calendar import coverage, gate, group_stats
+from ..operators.layout import add_index, per_key, small
 from ..operators.shape import between_dates, to_long
 
 # Explanatory variables of the model (fixed values).
@@ -51,20 +50,13 @@ def fill_medians(df: DataFrame, site: str, cols: Sequence[str]) -> DataFrame:
     A column that a site never measured takes the mean of the other sites' medians, and 0 where none
     measured it: no row is lost to a model for want of a column.
     """
-    long = to_long(df.select(site, *[F.col(c).cast("double").alias(c) for c in cols]), [site])
-    medians = group_median(long, [site, "variables"], "value").groupBy(site).agg(
-        *[F.max(F.when(F.col("variables") == c, F.col("median"))).alias(f"_{c}") for c in cols]
-    )
-    overall = medians.agg(*[F.avg(f"_{c}").alias(f"_all_{c}") for c in cols])  # one row
-    known = df.select(site).distinct().join(medians, site, "left").join(F.broadcast(overall), how="cross")
+    medians = per_key(group_stats(df, [site], {f"_{c}": c for c in cols}))
+    overall = medians.agg(*[F.avg(f"_{c}") for c in cols]).first()  # one number a column
     filled = {
-        c: F.coalesce(F.col(c).cast("double"), F.col(f"_{c}"), F.col(f"_all_{c}"), F.lit(0.0)) for c in cols
+        c: F.coalesce(F.col(c).cast("double"), F.col(f"_{c}"), F.lit(mean), F.lit(0.0))
+        for c, mean in zip(cols, overall, strict=True)
     }
-    return (
-        df.join(small(known, df.select(site).distinct()), site, "left")
-        .withColumns(filled)
-        .drop(*[f"_{c}" for c in cols], *[f"_all_{c}" for c in cols])
-    )
+    return df.join(medians, site, "left").withColumns(filled).drop(*[f"_{c}" for c in cols])
 
 
 def split_sets(df: DataFrame, site: str, t: str, share: float = 0.8, seed: int = 0) -> DataFrame:
@@ -143,10 +135,9 @@ def site_levels(df: DataFrame, site: str) -> DataFrame:
 
 def with_levels(df: DataFrame, levels: DataFrame, site: str) -> DataFrame:
     """Add the site's level; a site without training rows takes the mean of the others."""
-    overall = levels.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"_all{c}") for c in SITE_LEVEL])
-    joined = df.join(small(levels, df.select(site).distinct()), site, "left").join(F.broadcast(overall), how="cross")
-    filled = {c: F.coalesce(c, f"_all{c}") for c in SITE_LEVEL}
-    return joined.withColumns(filled).drop(*[f"_all{c}" for c in SITE_LEVEL])
+    overall = levels.agg(*[F.avg(c) for c in SITE_LEVEL]).first()  # one number a column
+    joined = df.join(levels, site, "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit(mean), F.lit(0.0)) for c, mean in zip(SITE_LEVEL, overall, strict=True)})
 
 
 def fit_bau(
@@ -163,7 +154,7 @@ def fit_bau(
     are then absent from predictions (``untrained`` lists such sites).
     """
     if sites is None:
-        levels = site_levels(df, site)
+        levels = per_key(site_levels(df, site))
         return SiteModels({None: forest.fit(with_levels(df, levels, site), [*variables, *SITE_LEVEL])}, site, levels)
     wanted = df.filter(F.col(site).isin(list(sites)) & (F.col("set") == "training"))
     trained = {r[0] for r in wanted.select(site).distinct().collect()}  # no more than the list holds
@@ -215,7 +206,7 @@ def model_stats(pred: DataFrame, site: str = "code", observed: str = "value", pr
         per_set[f"{name}_rsquared"] = F.pow(pearson(a, b), F.lit(2.0))
         per_set[f"{name}_mse"] = mse(a, b)
     stats = pred.groupBy(site).agg(*[c.alias(n) for n, c in per_set.items()])
-    return pred.join(stats, site)
+    return pred.join(per_key(stats), site)
 
 
 # Names of the statistics (fixed values).

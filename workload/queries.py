@@ -502,6 +502,63 @@ def cp_counts(spark, sf):
     return rounded(C.count_change_points(out, ["window_length_level"], "index", "noise", within=within), 4)
 
 
+NOISE_PERCENTAGES = {35: "1.25%", 140: "5%", 280: "10%", 700: "25%"}
+PERCENTAGE = "CASE window_length_level " + " ".join(f"WHEN {w} THEN '{p}'" for w, p in NOISE_PERCENTAGES.items()) + " END"
+
+
+@query(f"""WITH {NOISE_SWEEP}
+  SELECT series, standard_deviation, index, window_length_level, {PERCENTAGE} AS percentage_level, cp,
+         unnest(['Test dataset', 'Rolling gradient', '2nd derivative', 'Applied rollmax']) AS variables,
+         unnest([1, 2, 3, 4]) AS variables_ord,
+         round(unnest([value, slope, d2, rollmax]), 4) + 0.0 AS value FROM swept""")
+def sweep_noise_long(spark, sf):
+    out = D.sweep_noise_long(
+        signal(spark, sf), "series", "index", "value", NOISE_LEVELS, NOISE_PERCENTAGES, index="index"
+    )
+    return rounded(out, 4)
+
+
+@query(f"""WITH {NOISE_SWEEP},
+  g AS (SELECT standard_deviation, series, {PERCENTAGE} AS percentage_level, sum(cp::INT)::BIGINT AS n_cp, min(index) i0,
+               max(index) i1, min(value) v0, max(value) v1 FROM swept GROUP BY ALL)
+  SELECT standard_deviation, series, percentage_level, n_cp, 'n = ' || n_cp AS n_label,
+         round(min(i0) OVER s + (max(i1) OVER s - min(i0) OVER s) * 0.2::DOUBLE, 4) AS x,
+         round(min(v0) OVER s + (max(v1) OVER s - min(v0) OVER s) * 0.8::DOUBLE, 4) AS y
+  FROM g WINDOW s AS (PARTITION BY standard_deviation, series)""")
+def cp_counts_by_level(spark, sf):
+    out = D.sweep_noise(signal(spark, sf), "series", "index", "value", NOISE_LEVELS, NOISE_PERCENTAGES, index="index")
+    within = ["standard_deviation", "series"]
+    return rounded(C.count_change_points(out, ["percentage_level"], "index", "noise", within=within), 4)
+
+
+NOISE_FITS = " UNION ALL ".join(
+    f"""SELECT series, standard_deviation, index, {w} AS window_length_level,
+      CASE WHEN count(value) OVER f = {w} THEN regr_sxx(value, index) OVER f END AS xx,
+      regr_syy(value, index) OVER f AS yy, regr_sxy(value, index) OVER f AS xy FROM ({NOISY})
+      WINDOW f AS (PARTITION BY series, standard_deviation ORDER BY index ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"""
+    for w in NOISE_WINDOWS
+)
+
+
+@query(f"""WITH s AS (
+    SELECT series, standard_deviation, {PERCENTAGE} AS percentage_level, unnest(['sigmas', 'r.squareds']) AS statistics,
+           unnest([CASE WHEN xx > 0 THEN sqrt(greatest(yy - xy * xy / xx, 0) / (window_length_level - 2)) END,
+                   CASE WHEN xx * yy > 0 THEN xy * xy / (xx * yy) END]) AS value
+    FROM ({NOISE_FITS}))
+  SELECT series, standard_deviation, percentage_level, statistics, count(*) AS n_rows, count(value) AS n_values,
+         round(avg(value), 6) AS mean, round(max(value), 6) AS max, round(min(value), 6) AS min FROM s GROUP BY ALL""")
+def noise_fit_stats(spark, sf):
+    out = D.noise_fit_stats(
+        signal(spark, sf), "series", "index", "value", NOISE_LEVELS, NOISE_PERCENTAGES, index="index"
+    )
+    return rounded(
+        out.groupBy("series", "standard_deviation", "percentage_level", "statistics").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_values"),
+            F.avg("value").alias("mean"), F.max("value").alias("max"), F.min("value").alias("min"),
+        )
+    )
+
+
 @query("""SELECT n_nationkey, n_name, n_regionkey FROM nation
   WHERE n_nationkey IS NOT NULL AND n_name IS NOT NULL AND n_regionkey IS NOT NULL""")
 def site_map_rows(spark, sf):
@@ -1002,7 +1059,7 @@ def prepare_wide(spark, sf):
     return rounded(M.prepare(joined, "o3", long=False), {"wd": 4})
 
 
-SAMPLES = 5
+SAMPLES = 300  # draws a row, as in the study
 RESAMPLED = f"""
   WITH i AS (SELECT code, date, ws, air_temp, row_number() OVER (PARTITION BY code ORDER BY date) AS rn,
                     count(*) OVER (PARTITION BY code) AS n FROM ({MODEL_INPUT})),
@@ -1085,8 +1142,8 @@ def bau_forest(spark, sf):
 
 @query()
 def counterfactual_peaks(spark, sf):
-    """One study end to end without the gate: forecast, daily difference, 7-row mean, peaks."""
-    model = M.run_bau(model_input(spark, sf), "2024-01-01", "2024-01-20", "2024-01-30", STUDY_FOREST, threshold=None)
+    """One study end to end: coverage gate, forecast, daily difference, 7-row mean, peaks."""
+    model = M.run_bau(model_input(spark, sf), "2024-01-01", "2024-01-20", "2024-01-30", STUDY_FOREST, threshold=0.85)
     days = R.daily_summary_subset(model.withColumnRenamed("code", "site"), "bau", keys="site")
     rows = P.to_series(days, "day", "d7_rollavg_delta_BAU_predict_mean", "site")
     return D.gradient_peaks(rows, "site", "day", "value", 6, 2)
