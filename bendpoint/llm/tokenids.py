@@ -15,7 +15,7 @@ copy, on any store. Each row is a block of consecutive documents that decodes by
   rules binary        little-endian uint32 pairs, each of smaller symbols
   lengths binary      little-endian uint32, ids that each rule expands to
   symbols binary      the sequence, little-endian, `width` bytes each
-  width int           2 or 4
+  width int           2, 3 or 4
 """
 
 from __future__ import annotations
@@ -32,8 +32,6 @@ from .common import arrow_map, fresh_names, whole_text
 from .tokens import pieces
 
 BLOCK_IDS = 1 << 19
-ROUNDS = 4
-PAIRS_A_ROUND = 2048
 LEAST_COUNT = 8
 TABLE_BITS = 18
 SCHEMA = (
@@ -46,50 +44,44 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
-def _frequent(keys: np.ndarray, slots: np.ndarray, room: int) -> np.ndarray:
-    """The most frequent keys, at most PAIRS_A_ROUND and `room`, each in LEAST_COUNT places or more.
+def _frequent(keys: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Keys found in LEAST_COUNT places or more, one for each slot of the table, and whether these are all.
 
-    A table of counts by hash comes first; keys are counted one by one only where it is high enough.
+    Only keys whose slot is full enough are counted one by one.
     """
-    table = np.bincount(slots, minlength=1 << TABLE_BITS)
-    most = min(PAIRS_A_ROUND, room)
-    if most <= 0 or not len(keys):
-        return keys[:0]
-    bar = max(LEAST_COUNT, int(np.partition(table, -most)[-most]))
-    found, n = np.unique(keys[(table >= bar)[slots]], return_counts=True)
-    found, n = found[n >= LEAST_COUNT], n[n >= LEAST_COUNT]
-    return found[np.lexsort((found, -n))[:most]]
+    slots = _slot(keys)
+    found, n = np.unique(keys[(np.bincount(slots, minlength=1 << TABLE_BITS) >= LEAST_COUNT)[slots]], return_counts=True)
+    found = found[n >= LEAST_COUNT]
+    own = np.unique(_slot(found), return_index=True)[1]
+    return found[own], len(own) == len(found)
 
 
 def compress(ids: np.ndarray, counts: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, starts of documents among them, rules (pairs) and the ids each rule expands to.
 
     Re-Pair in rounds: the most frequent pairs of adjacent symbols are replaced by nonterminals, from
-    left to right where they overlap, until no pair is frequent or the rounds end. No pair crosses
-    from one document to the next. Rules that occur once or never after all stay; they are few.
+    left to right where they overlap, until no pair is frequent. No pair crosses from one document to
+    the next. Rules that occur once or never after all stay; they are few.
     """
     symbols = ids.astype(np.uint32)
     last = np.zeros(len(ids), bool)
     last[np.cumsum(counts) - 1] = True
     rules, lengths = np.empty((0, 2), np.uint32), np.empty(0, np.uint32)
-    room = max(0, (1 << 16) - base) if base < (1 << 16) else 1 << 20
-    for _ in range(ROUNDS):
-        inside = ~last[:-1]
-        keys = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        slots = _slot(keys)
-        chosen = _frequent(keys[inside], slots[inside], room - len(rules))
+    whole, fresh = True, 0
+    while True:
+        # After all frequent pairs were replaced, only pairs with a symbol of that round can be frequent.
+        new = symbols >= fresh
+        places = np.flatnonzero(~last[:-1] if whole else ~last[:-1] & (new[:-1] | new[1:]))
+        keys = (symbols[places].astype(np.uint64) << np.uint64(32)) | symbols[places + 1]
+        chosen, whole = _frequent(keys)
+        whole = not whole
         if not len(chosen):
             break
-        # One pair for each slot of the table: another of the same slot waits for the next round.
-        own = _slot(chosen)
-        chosen = chosen[np.sort(np.unique(own, return_index=True)[1])]
         rank_of = np.full(1 << TABLE_BITS, -1, np.int32)
         rank_of[_slot(chosen)] = np.arange(len(chosen))
-        rank = rank_of[slots]
-        at = np.flatnonzero((rank >= 0) & inside)
-        rank = rank[at]
-        right = chosen[rank] == keys[at]
-        at, rank = at[right], rank[right]
+        rank = rank_of[_slot(keys)]
+        right = (rank >= 0) & (chosen[rank] == keys)
+        at, rank = places[right], rank[right]
         # Of places that touch, every other one counts, from the left.
         begins = np.diff(at, prepend=-2) != 1
         run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
@@ -99,7 +91,8 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int) -> tuple[np.ndarray
         known = np.concatenate([[1], lengths])  # a token is one id long
         parts = known[np.maximum(pair.astype(np.int64) - base + 1, 0)]
         lengths = np.concatenate([lengths, parts.sum(axis=1).astype(np.uint32)])
-        symbols[at] = base + len(rules) + rank
+        fresh = base + len(rules)
+        symbols[at] = fresh + rank
         rules = np.concatenate([rules, pair])
         last[at] = last[at + 1]
         keep = np.ones(len(symbols), bool)
@@ -135,10 +128,21 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: in
     return out
 
 
+def _wide(symbols: np.ndarray, width: int) -> bytes:
+    """Little-endian numbers of `width` bytes."""
+    return symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
+def _narrow(packed: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(packed) // width, 4), np.uint8)
+    out[:, :width] = np.frombuffer(packed, np.uint8).reshape(-1, width)
+    return out.view("<u4").ravel()
+
+
 def read_document(block: dict, place: int) -> np.ndarray:
     """The ids of one document of a block (a row as a dict), without expanding the others."""
     starts = np.frombuffer(block["starts"], "<u4")
-    symbols = np.frombuffer(block["symbols"], f"<u{block['width']}").astype(np.uint32)
+    symbols = _narrow(block["symbols"], block["width"])
     end = starts[place + 1] if place + 1 < len(starts) else len(symbols)
     rules = np.frombuffer(block["rules"], "<u4").reshape(-1, 2)
     return expand(symbols[starts[place] : end], rules, np.frombuffer(block["lengths"], "<u4"), block["base"])
@@ -156,14 +160,14 @@ def _encode(path: str, cut: str, end_id: int, base: int, block_ids: int):
             flat = np.concatenate([part[1] for part in held])
             counts = np.concatenate([part[2] for part in held])
             symbols, starts, rules, lengths = compress(flat, counts, base)
-            width = 2 if base + len(rules) <= 1 << 16 else 4
+            width = next(w for w in (2, 3, 4) if base + len(rules) <= 1 << 8 * w)
             row = {
                 "shard": shard, "block": block, "first_id": first, "n_ids": len(flat),
                 "doc_ids": np.array([d or 0 for d in docs], "<i8").tobytes(),
                 "null_docs": np.array([d is None for d in docs], np.uint8).tobytes(),
                 "counts": counts.astype("<u4").tobytes(), "starts": starts.astype("<u4").tobytes(), "base": base,
                 "rules": rules.astype("<u4").tobytes(), "lengths": lengths.astype("<u4").tobytes(),
-                "symbols": symbols.astype(f"<u{width}").tobytes(), "width": width,
+                "symbols": _wide(symbols, width), "width": width,
             }
             block, first = block + 1, first + len(flat)
             kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
@@ -198,8 +202,7 @@ def write_ids(
 ) -> None:
     """Tokenize every text, append `end_id`, and write the ids in ascending doc_id order to `folder`.
 
-    Nonterminals start at `base`, the size of the vocabulary unless given; below 65,536 there are only
-    as many rules as leave two bytes to a symbol. Null and empty texts are the end id alone. Null doc_ids come first; rows of one doc_id are
+    Nonterminals start at `base`, the size of the vocabulary unless given. Null and empty texts are the end id alone. Null doc_ids come first; rows of one doc_id are
     ordered by a hash of their text, then as they were read, so that a doc_id of a third of all rows
     still spreads over shards. Extra columns are not written. An empty table writes no blocks.
     """
@@ -224,7 +227,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
-            symbols = np.frombuffer(row["symbols"], f"<u{row['width']}").astype(np.uint32)
+            symbols = _narrow(row["symbols"], row["width"])
             rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
             flat = expand(symbols, rules, np.frombuffer(row["lengths"], "<u4"), row["base"]).astype("<u4")
             ends = np.cumsum(counts)

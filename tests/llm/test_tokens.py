@@ -110,6 +110,26 @@ def test_grammar_round_trip():
             assert np.array_equal(tokenids.read_document(block, k), ids[ends[k] - n : ends[k]])
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    draw = np.random.default_rng(4)
+    passage, n = draw.integers(0, 50_000, 700), 200
+    docs = [np.concatenate([draw.integers(0, 50_000, 5), passage, [2]]) for _ in range(n)]
+    ids, counts = np.concatenate(docs).astype(np.uint32), np.full(n, 706)
+    symbols, _, rules, lengths = tokenids.compress(ids, counts, 50_257)
+    assert np.array_equal(tokenids.expand(symbols, rules, lengths, 50_257), ids)
+    assert lengths.max() >= 700 and len(symbols) <= n * 7
+    pairs = symbols[:-1].astype(np.int64) << 32 | symbols[1:]
+    inside = np.ones(len(symbols) - 1, bool)
+    inside[np.flatnonzero(symbols[:-1] == 2)] = False
+    assert np.unique(pairs[inside], return_counts=True)[1].max(initial=0) < tokenids.LEAST_COUNT
+
+
+def test_symbols_of_every_width():
+    for width, top in ((2, 1 << 16), (3, 1 << 24), (4, 1 << 32)):
+        values = np.array([0, 1, 255, 256, top - 1], np.uint32)
+        assert tokenids._narrow(tokenids._wide(values, width), width).tolist() == values.tolist()
+
+
 def test_token_files(spark, docs_of):
     docs = [(i * 3 % 41, t) for i, t in enumerate(TEXTS * 2)] + [(None, "no id"), (77, None), (3, "again"), (3, "again")]
     folder = scratch_folder(spark, "test-ids")
