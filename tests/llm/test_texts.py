@@ -191,8 +191,10 @@ def brute_collocations(docs, min_count, max_words, covered_percent):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("chunk_bytes", [40, 1 << 20])
-def test_collocations_by_brute_force(docs_of, chunk_bytes):
+@pytest.mark.parametrize(("chunk_bytes", "most_known"), [(40, 1 << 19), (1 << 20, 3)])
+def test_collocations_by_brute_force(docs_of, monkeypatch, chunk_bytes, most_known):
+    """Over many chunks and few, with the frequent phrases broadcast and, beyond the bound, joined."""
+    monkeypatch.setattr(collocations, "MOST_KNOWN", most_known)
     draw = random.Random(11)
     vocabulary = ["a", "B", "ç", "d", "e f", "g.", "h,", "\tx", "y\n", "z;z"]
     docs = [(i, " ".join(draw.choices(vocabulary, [9, 8, 7, 6, 5, 2, 2, 2, 1, 1], k=draw.randrange(60))), draw.choice(["en", None, "de"])) for i in range(120)]
