@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from operator import add
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import mse, pearson
@@ -80,27 +81,87 @@ def features(
 
 @dataclass(frozen=True)
 class Forest:
-    """Settings of a forest.  Defaults follow the study where the two libraries allow it."""
+    """Settings of a forest.  Defaults follow the study where the two libraries allow it.
+
+    Trees come in ``groups``, each grown on a bootstrap sample of its own, so that a row can be scored
+    by the trees that did not see it.  ``bins`` are the cuts tried for a variable, at its quantiles.
+    """
 
     n_trees: int = 300
     max_depth: int = 30
     min_node: int = 5
     seed: int = 0
+    groups: int = 10
+    bins: int = 64
 
-    def fit(self, df: DataFrame, variables: Sequence[str]) -> PipelineModel:
-        """One model of the training rows."""
-        forest = RandomForestRegressor(
-            featuresCol="_features",
-            labelCol="value",
-            predictionCol="value_predict",
-            numTrees=self.n_trees,
-            maxDepth=self.max_depth,
-            minInstancesPerNode=self.min_node,
-            featureSubsetStrategy="sqrt",
-            seed=self.seed,
-        )
+    def fit(self, df: DataFrame, variables: Sequence[str], row: Sequence[str], at_once: int = 4) -> Bagged:
+        """One model of the training rows, which the columns ``row`` tell apart."""
         assemble = VectorAssembler(inputCols=list(variables), outputCol="_features", handleInvalid="error")
-        return Pipeline(stages=[assemble, forest]).fit(df.filter(F.col("set") == "training"))
+        train = assemble.transform(df.filter(F.col("set") == "training")).select("_features", "value", *row).persist()
+        sizes = [n for n in (self.n_trees // self.groups + (g < self.n_trees % self.groups) for g in range(self.groups)) if n]
+
+        def grow(group: int) -> RandomForestRegressionModel:
+            forest = RandomForestRegressor(
+                featuresCol="_features",
+                labelCol="value",
+                weightCol="_weight",
+                predictionCol=f"_group_{group}",
+                numTrees=sizes[group],
+                maxDepth=self.max_depth,
+                maxBins=self.bins,
+                minInstancesPerNode=self.min_node,
+                featureSubsetStrategy="sqrt",
+                bootstrap=False,  # the weights are the bootstrap
+                seed=self.seed + group,
+            )
+            return forest.fit(train.withColumn("_weight", bag_weight(row, group, self.seed)).filter("_weight > 0"))
+
+        with ThreadPoolExecutor(at_once) as pool:
+            parts = list(pool.map(grow, range(len(sizes))))
+        train.unpersist()
+        return Bagged(assemble, parts, tuple(row), self.seed)
+
+
+def bag_weight(row: Sequence[str], group: int, seed: int) -> Column:
+    """How often a row is in a group's bootstrap sample: Poisson with mean 1, by a hash of the row."""
+    draw = F.pmod(F.xxhash64(*row, F.lit("bag"), F.lit(group), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    weight, reached, share = F.lit(0.0), 0.0, math.exp(-1)
+    for k in range(1, 8):
+        reached += share
+        share /= k
+        weight = weight + F.when(draw >= reached, 1.0).otherwise(0.0)
+    return weight
+
+
+@dataclass(frozen=True)
+class Bagged:
+    """A forest in groups of trees, with what it takes to know which rows a group saw."""
+
+    assemble: VectorAssembler
+    parts: list[RandomForestRegressionModel]
+    row: tuple[str, ...]
+    seed: int
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``value_predict``, the mean of all trees, and ``value_unseen``, that of the trees whose
+        sample lacked the row (of a training row; NULL if every group saw it)."""
+        out = self.assemble.transform(df)
+        for part in self.parts:
+            out = part.transform(out)
+        trees = [part.getNumTrees for part in self.parts]
+        score = [F.col(part.getPredictionCol()) * n for part, n in zip(self.parts, trees, strict=True)]
+        unseen = [bag_weight(self.row, g, self.seed) == 0 for g in range(len(self.parts))]
+        left_out = {
+            "score": reduce(add, [F.when(u, s).otherwise(0.0) for u, s in zip(unseen, score, strict=True)]),
+            "trees": reduce(add, [F.when(u, n).otherwise(0) for u, n in zip(unseen, trees, strict=True)]),
+        }
+        out = out.withColumns(
+            {
+                "value_predict": reduce(add, score) / float(sum(trees)),
+                "value_unseen": F.try_divide(left_out["score"], left_out["trees"]),
+            }
+        )
+        return out.drop("_features", *[part.getPredictionCol() for part in self.parts])
 
 
 SITE_LEVEL = ("_site_mean", "_site_sd")
@@ -110,18 +171,16 @@ SITE_LEVEL = ("_site_mean", "_site_sd")
 class SiteModels:
     """Models by site; the site None stands for one model of all sites, told apart by their level."""
 
-    models: dict[str | None, PipelineModel]
+    models: dict[str | None, Bagged]
     site: str
     levels: DataFrame | None = None
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Rows with ``value_predict``.  Rows of sites without a model of their own are absent."""
+        """Rows with ``value_predict`` and ``value_unseen``.  Rows of sites without a model of their own are absent."""
         if None in self.models:
             rows = with_levels(df, self.levels, self.site)
-            return self.models[None].transform(rows).drop("_features", *SITE_LEVEL)
-        parts = [
-            m.transform(df.filter(F.col(self.site) == s)).drop("_features") for s, m in self.models.items()
-        ]
+            return self.models[None].transform(rows).drop(*SITE_LEVEL)
+        parts = [m.transform(df.filter(F.col(self.site) == s)) for s, m in self.models.items()]
         return reduce(DataFrame.unionByName, parts)
 
 
@@ -146,7 +205,7 @@ def fit_bau(
     forest: Forest,
     site: str = "code",
     sites: Sequence[str] | None = None,
-    at_once: int = 4,
+    t: str = "date",
 ) -> SiteModels:
     """One pooled forest of all sites, or one forest for each of a given list of ``sites``.
 
@@ -155,15 +214,14 @@ def fit_bau(
     """
     if sites is None:
         levels = per_key(site_levels(df, site))
-        return SiteModels({None: forest.fit(with_levels(df, levels, site), [*variables, *SITE_LEVEL])}, site, levels)
+        pooled = forest.fit(with_levels(df, levels, site), [*variables, *SITE_LEVEL], (site, t))
+        return SiteModels({None: pooled}, site, levels)
     wanted = df.filter(F.col(site).isin(list(sites)) & (F.col("set") == "training"))
     trained = {r[0] for r in wanted.select(site).distinct().collect()}  # no more than the list holds
     sites = [s for s in sites if s in trained]
     if not sites:
         raise ValueError("none of the sites has training rows")
-    with ThreadPoolExecutor(at_once) as pool:
-        fitted = pool.map(lambda s: forest.fit(df.filter(F.col(site) == s), variables), sites)
-        return SiteModels(dict(zip(sites, fitted)), site)
+    return SiteModels({s: forest.fit(df.filter(F.col(site) == s), variables, (site, t)) for s in sites}, site)
 
 
 def untrained(df: DataFrame, site: str = "code") -> DataFrame:
@@ -197,16 +255,27 @@ def normalise(
     return scored.groupBy(models.site, t).agg(F.avg("value_predict").alias("rm_normal_value"))
 
 
-def model_stats(pred: DataFrame, site: str = "code", observed: str = "value", predicted: str = "value_predict") -> DataFrame:
-    """Add squared correlation and mean squared error of both sets to every row of the site."""
+def fit_statistics(
+    pred: DataFrame, site: str = "code", observed: str = "value", predicted: str = "value_predict"
+) -> DataFrame:
+    """Squared correlation and mean squared error of both sets, a row for each site.
+
+    Training rows are judged by ``value_unseen`` where the predictions hold it: by trees that did not
+    see them, as a forest's own score is.
+    """
     per_set = {}
     for name in ("training", "testing"):
         inside = F.col("set") == name
-        a, b = F.when(inside, F.col(observed)), F.when(inside, F.col(predicted))
+        by = "value_unseen" if name == "training" and "value_unseen" in pred.columns else predicted
+        a, b = F.when(inside & F.col(by).isNotNull(), F.col(observed)), F.when(inside, F.col(by))
         per_set[f"{name}_rsquared"] = F.pow(pearson(a, b), F.lit(2.0))
         per_set[f"{name}_mse"] = mse(a, b)
-    stats = pred.groupBy(site).agg(*[c.alias(n) for n, c in per_set.items()])
-    return pred.join(per_key(stats), site)
+    return pred.groupBy(site).agg(*[c.alias(n) for n, c in per_set.items()])
+
+
+def model_stats(pred: DataFrame, site: str = "code", observed: str = "value", predicted: str = "value_predict") -> DataFrame:
+    """Add the site's ``fit_statistics`` to every row."""
+    return pred.join(per_key(fit_statistics(pred, site, observed, predicted)), site)
 
 
 # Names of the statistics (fixed values).
@@ -275,11 +344,11 @@ def run_bau(
     variables = _measured(rows)
     span = features(rows, site, t, seed=forest.seed)
     train = features(between_dates(rows, t, None, train_end), site, t, seed=forest.seed)
-    models = fit_bau(train, variables, forest, site, sites)
-    stats = model_stats(models.predict(train), site).select(site, *STATS).distinct()
+    models = fit_bau(train, variables, forest, site, sites, t)
+    stats = per_key(fit_statistics(models.predict(train), site))
     out = models.predict(span).select(site, t, "value", "value_predict").join(stats, site)
     if n_samples is not None:
-        again = fit_bau(span, variables, forest, site, sites)
+        again = fit_bau(span, variables, forest, site, sites, t)
         out = out.join(normalise(again, span, variables, n_samples, t, forest.seed), [site, t])
     return out
 
@@ -313,7 +382,7 @@ def run_normalised(
         raise ValueError("no site reaches the coverage threshold")
     variables = _measured(rows)
     span = features(rows, site, t, seed=forest.seed)
-    normal = normalise(fit_bau(span, variables, forest, site, sites), span, variables, n_samples, t, forest.seed)
+    normal = normalise(fit_bau(span, variables, forest, site, sites, t), span, variables, n_samples, t, forest.seed)
     return span.select(site, t, F.col("value").alias("raw_value")).join(
         normal.withColumnRenamed("rm_normal_value", "value_predict"), [site, t]
     )
