@@ -16,6 +16,18 @@ def _toward_smallest(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
+def least_reached(rooted: DataFrame, node: str, value: str, parts: int = 16) -> DataFrame:
+    """(node, least) for rows (node, root, value): the least value of the rows that share a root.
+
+    The least values are copied `parts` times, one for each part of a root's rows, so that a root of a
+    third of all rows does not go to one task.
+    """
+    least = rooted.groupBy("root").agg(F.min(value).alias("least"))
+    copies = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    part = F.pmod(F.xxhash64(node), F.lit(parts)).cast("int")
+    return rooted.withColumn("part", part).join(copies, ["root", "part"]).select(node, "least")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has an edge; root is the smallest node it reaches.
 

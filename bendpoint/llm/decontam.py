@@ -112,11 +112,19 @@ def _hits(docs: DataFrame, spans: DataFrame, window: int, gram: int) -> DataFram
             F.posexplode(_slices(F.sequence(F.lit(1), F.size("h") - (window - 1)), window)).alias("off", "span"),
         )
         found.append(hits.select("doc", "print", (F.col("at") + F.col("off")).alias("at"), "span"))
-    for n in sorted(set(sizes) - {window}):
-        short = small(landed(spans.filter(F.size("span") == n).select(F.xxhash64("span").alias("fp")).distinct()))
-        starts = F.when(F.size("h") >= n, F.sequence(F.lit(1), F.size("h") - (n - 1)))
-        grams = hashed.select("doc", "print", F.posexplode(_slices(starts, n)).alias("at", "span"))
-        found.append(grams.join(short, F.xxhash64("span") == F.col("fp"), "left_semi"))
+    shorter = sorted(set(sizes) - {window})
+    if shorter:
+        short = small(landed(spans.filter(F.size("span") < window).select(F.xxhash64("span").alias("fp")).distinct()))
+
+        def grams(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.size("h") - (n - 1))
+            places = F.transform(starts, lambda i: F.struct((i - 1).alias("at"), F.slice(F.col("h"), i, n).alias("span")))
+            return F.when(F.size("h") >= n, places)
+
+        # Spans of all sizes in one pass over the words.
+        every = F.flatten(F.array_compact(F.array(*[grams(n) for n in shorter])))
+        rows = hashed.select("doc", "print", F.explode(every).alias("g")).select("doc", "print", "g.at", "g.span")
+        found.append(rows.join(short, F.xxhash64("span") == F.col("fp"), "left_semi"))
     if not found:
         return hashed.limit(0).select("doc", "print", F.lit(0).alias("at"), F.col("h").alias("span"))
     out = found[0]

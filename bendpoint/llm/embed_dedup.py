@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, landed, small
-from .components import components
+from .components import components, least_reached
 from .simhash import Forest
 
 TILE_ROWS = 4096
@@ -241,14 +241,13 @@ def near_duplicates(
     found = landed(arrow_map(units, _compare(shared, threshold), "node bigint, links bigint, root bigint"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    rooted = (
+    linked = least_reached(nodes.select("node", F.col("least").alias("first")).join(roots, "node"), "node", "first")
+    classes = (
         nodes.join(links, "node", "left")
-        .join(roots, "node", "left")
-        .select("vector", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
-                F.coalesce("root", "node").alias("root"))
+        .join(linked.withColumnRenamed("least", "reached"), "node", "left")
+        .select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
+                F.coalesce("reached", "least").alias("component"))
     )
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    classes = rooted.join(least, "root").select("vector", "links", "component")
     joined = valid.join(classes, "vector", "left")
     component = F.when(F.col("vector").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return joined.select(

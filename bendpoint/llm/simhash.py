@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWEST, arrow_map, ascii_lower, fresh_names, landed, whole_text
-from .components import components
+from .components import components, least_reached
 
 BITS = 64
 SPACE = r"[\x20\x09-\x0D]+"
@@ -246,9 +246,8 @@ def _groups(docs: DataFrame, radius: int, size: int) -> tuple[DataFrame, DataFra
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     classes = landed(prints.groupBy("fp").agg(F.min(row).alias("first")))
     roots = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    return prints, rooted.join(least, "root").select("fp", "least")
+    linked = least_reached(classes.join(roots, "fp"), "fp", "first")
+    return prints, classes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFrame:
