@@ -41,6 +41,20 @@ def test_median_is_exact(spark, accuracy):
     assert out == {k: pytest.approx(float(np.median(v))) for k, v in groups.items()}
 
 
+def test_several_medians_beside_other_statistics(spark):
+    """One table with both, also for a null key and a group without values."""
+    rng = np.random.default_rng(6)
+    rows = [(k, float(a), None if i % 3 else float(b)) for k, n in (("x", 301), (None, 40)) for i, (a, b) in enumerate(rng.normal(0, 1, (n, 2)))]
+    df = spark.createDataFrame([*rows, ("none", None, None)], "k string, a double, b double")
+    out = C.group_stats(df, "k", {"ma": "a", "mb": "b"}, [F.count("a").alias("n"), F.max("b").alias("top")], accuracy=20)
+    assert out.columns == ["k", "ma", "mb", "n", "top"]
+    got = {r["k"]: tuple(r)[1:] for r in out.collect()}
+    for k in ("x", None):
+        a, b = ([r[i] for r in rows if r[0] == k and r[i] is not None] for i in (1, 2))
+        assert got[k] == (pytest.approx(np.median(a)), pytest.approx(np.median(b)), len(a), max(b))
+    assert got["none"] == (None, None, 0, None)
+
+
 def test_vector_mean_of_directions_around_north(spark):
     df = spark.createDataFrame([(1.0, 350.0), (1.0, 10.0)], "ws double, wd double")
     mean = df.agg(vector_mean_direction("wd", "ws")).first()[0]

@@ -135,3 +135,22 @@ def test_daily_orders_checkpoint(spark):
     same = {r[0]: r[1] for r in equal.groupBy("series").agg(F.sum(F.col("flag").cast("int"))).collect()}
     by_ratio = {r[0]: r[1] for r in ratio.groupBy("series").agg(F.sum(F.col("cp").cast("int"))).collect()}
     assert {s: (*count[s], same[s], by_ratio[s]) for s in count} == DAILY_CHECK
+
+
+def test_noise_sweep_with_levels_long_and_statistics(series):
+    """Labels of the lengths, the rolling maximum as a signal of its own, sigma and r2 of every fit."""
+    rows = series([i / 3 if i < 60 else 40 - i / 3 for i in range(120)])
+    levels, windows = [0.0, 2.0], {5: "4%", 20: "17%"}
+    wide = D.sweep_noise(rows, "series", "index", "value", levels, windows, index="index")
+    assert {(r[0], r[1]) for r in wide.select("window_length_level", "percentage_level").distinct().collect()} == {(5, "4%"), (20, "17%")}
+    long = D.sweep_noise_long(rows, "series", "index", "value", levels, windows, index="index")
+    assert long.count() == 4 * wide.count()
+    tops = long.filter("variables = 'Applied rollmax'").agg(F.sum("value")).first()[0]
+    assert tops == pytest.approx(wide.agg(F.sum("rollmax")).first()[0])
+    stats = D.noise_fit_stats(rows, "series", "index", "value", levels, windows, index="index")
+    assert stats.count() == 2 * 2 * 2 * 120
+    straight = stats.filter("standard_deviation = 0 AND index <= 60 AND value IS NOT NULL")
+    kinds = {r["statistics"]: r["m"] for r in straight.groupBy("statistics").agg(F.avg("value").alias("m")).collect()}
+    assert kinds["sigmas"] == pytest.approx(0, abs=1e-6) and kinds["r.squareds"] == pytest.approx(1)
+    noisy = stats.filter("standard_deviation = 2 AND statistics = 'sigmas' AND window_length_level = 20")
+    assert 0.3 < noisy.agg(F.avg("value")).first()[0] < 3
