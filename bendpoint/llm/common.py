@@ -130,8 +130,18 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/rows"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written as compressed Parquet to a scratch folder and read from there by what follows."""
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows, written as compressed Parquet to a scratch folder and read from there, and the folder."""
     folder = scratch_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    return stored_at(df, name)[0]
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a stored table that nothing will read again, before the driver's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
