@@ -195,7 +195,9 @@ def near_duplicates(
     smallest vec_id reachable, itself included; kept is vec_id = component_id. Vectors that are null,
     empty, zero or hold null or non-finite components link with nothing, as do vectors of different
     dimensions. Rows that repeat a vec_id are rows of their own with the same component. Null vec_ids
-    link, are smallest only if all are null, and are never kept. Extra columns are not carried.
+    link, are smallest only if all are null, and are never kept. Extra columns are not carried. A unit of
+    work holds two tiles of vectors whatever their number of dimensions, so very wide vectors want a
+    smaller `tile_rows`. An empty table gives an empty one.
 
     Equal vectors are one node with a count. Nodes are dealt into tiles of about `tile_rows` along the
     first principal axis, and only tiles within reach of each other on that axis meet: cosine t means

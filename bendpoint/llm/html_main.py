@@ -345,7 +345,8 @@ def extract(pages: DataFrame) -> DataFrame:
     The main text's blocks in page order, one a line; white space inside a block is one space, also a
     <br>. Null and empty html, and pages without main text, give an empty text. Unclosed, crossed and
     broken tags are taken as browsers mostly do; unclosed comments and scripts run to the end. Repeated
-    rows repeat; columns named like the results are replaced; an empty table gives an empty one.
+    rows repeat; columns named like the results are replaced; an empty table gives an empty one. Pages
+    are read whole; a page of very deep nesting takes time and memory with the square of its depth.
     """
     own = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
     (whole,) = fresh_names(pages, "whole")

@@ -414,7 +414,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     Places are code points, ends exclusive. `base` holds the matches of the fixed patterns, `spans` also
     what the random field finds (such as `name at host dot org` or a phone number without its plus),
     where it overlaps no base span and passes the same tests. Null and empty texts have no spans.
-    Repeated rows repeat; columns named like the results are replaced; an empty table gives none.
+    Texts are read whole, however long; a span of either kind must hold a digit, an @ or the word at, and
+    the chain is decoded around those, in windows that grow while their ends are labelled. Repeated rows
+    repeat; columns named like the results are replaced; an empty table gives none.
     """
     own = [c for c in docs.columns if c not in ("base", "spans")]
     (text,) = fresh_names(docs, "whole")

@@ -256,6 +256,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFram
     Fingerprints at most `radius` bits apart are linked; component_id is the smallest doc_id reachable.
     Null and empty texts have fingerprint zero and link like any other. A null doc_id links but is
     never the smallest unless all of its component are null. Repeated rows repeat. Empty table: empty.
+    Texts count whole, however long.
     """
     prints, groups = _groups(docs, radius, size)
     return prints.join(groups, "fp").select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))

@@ -331,6 +331,11 @@ def train(
     which one vector each comes to the driver. Landmarks are words of toxic documents. The vectors are
     mapped by the inverse root of the landmarks' kernel matrix (Nystroem), a linear machine with hinge
     loss is fitted to them, and a logistic curve to its decisions and the lengths.
+
+    Label rows that repeat count once; a document labelled both ways is an example of each class. A
+    doc_id of several rows is that many examples. Labels without a document, and null doc_ids, teach
+    nothing. Texts are read whole, however long, a sentence at a time; null and empty ones have no words.
+    Without rows of both classes the model gives the one class there is, or 0.
     """
     known = labels.filter(F.col("toxic").isin(0, 1)).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")
@@ -395,7 +400,8 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
     Letters alone count, accents and case do not; three or more letters spelled out with single spaces
     are one word, and marks inside a word are skipped. Null and empty texts, and texts with nothing like
     a landmark, get the score of a text of as many words without any likeness. Where only one class was
-    learned from, that class; where none, 0. Columns named like the results are replaced.
+    learned from, that class; where none, 0. Columns named like the results are replaced. Texts count
+    whole, however long; repeated rows get the same score each; an empty table gives an empty one.
     """
     own = [c for c in docs.columns if c not in ("score", "predicted")]
     (text,) = fresh_names(docs, "whole")
