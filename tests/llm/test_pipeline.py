@@ -9,6 +9,7 @@ import __spark_entry__ as registry
 import corpus_pipeline
 from bendpoint.llm import langid, queries
 
+from ..test_registry import lines
 from .test_native import brute_hits, brute_lines
 from .test_near import fingerprint, reach
 
@@ -25,7 +26,6 @@ def test_query_equals_sql(spark, name):
     got, want = queries.QUERIES[name](spark, SF).toPandas(), con.execute(queries.SQL[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    lines = lambda df: sorted(map(tuple, df[columns].astype(str).values.tolist()))
     assert lines(got) == lines(want)
 
 
