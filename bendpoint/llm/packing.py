@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, whole_text
 from .tokens import pieces
 
-CHUNK_IDS = 4 << 20
-TASK_BYTES = 16 << 20  # text that a task packs, at least
+CHUNK_IDS = 1 << 20
+TASK_BYTES = 4 << 20  # text that a task packs, at least
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
