@@ -21,7 +21,7 @@ LETTERS = 32
 DECAY = 0.7
 LEAST_LIKENESS = 0.0  # no likeness is too small to count
 LISTED = 16  # words of up to so many letters have their triples listed, longer ones go through a dense table
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
 AT_ONCE_WORDS = 20_000
 AT_ONCE_TRIPLES = 1 << 20
 AT_ONCE_DENSE = 16
@@ -97,6 +97,23 @@ def _vectors(words: list[str]) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+def _runs(first: np.ndarray, end: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """Step through runs of consecutive places that begin at `first`, all runs at once.
+
+    Gives for the first place of all runs, then for the second place of those that have one and so on,
+    the runs (as the first ones of `_longest_first`) and the places there.
+    """
+    order = _longest_first(first, end)
+    start, sizes = first[order], np.diff(first, append=end)[order]
+    for i in range(int(sizes.max(initial=0))):
+        n = int(np.searchsorted(-sizes, -i))  # runs longer than i
+        yield slice(0, n), start[:n] + i
+
+
+def _longest_first(first: np.ndarray, end: int) -> np.ndarray:
+    return np.argsort(-np.diff(first, append=end), kind="stable")
+
+
 class Kernel:
     """Likeness of words to landmarks: the normalised gap-weighted subsequence kernel of order three.
 
@@ -119,13 +136,16 @@ class Kernel:
 
     def likeness(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words that share a subsequence with any landmark, by number, and their likeness to each."""
-        found, both = self.of_codes(_split(words))
-        return found, both[:, : self.m]
+        found, sums, norms = self.of_codes(_split(words))
+        return found, sums / norms[:, None]
+
+    def of_codes(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As likeness, of letter codes: the products with each landmark, and the lengths of the words' vectors.
 
-    def of_codes(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """As likeness, of letter codes; behind the likeness to each landmark its share (up to 1) in the word."""
+        A product by its word's length is the likeness; by the landmark's it is the landmark's share in the word.
+        """
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        found, likeness = [np.empty(0, np.int64)], [np.empty((0, 2 * self.m), np.float32)]
+        found, sums, norms = [np.empty(0, np.int64)], [np.empty((0, self.m), np.float32)], [np.empty(0, np.float32)]
         for length in np.unique(lengths[(lengths >= 3) & (lengths <= LISTED)]).tolist():
             (i, j, k), weights = _places(length)
             at = np.flatnonzero(lengths == length)
@@ -138,25 +158,27 @@ class Kernel:
                 if not len(row):
                     continue
                 first = np.flatnonzero(np.diff(row, prepend=-1))
-                each = self.values[slot[row, place]] * weights[place, None].astype(np.float32)
-                near = row[first]
-                found.append(at[low + near])
-                likeness.append(self._both(np.add.reduceat(each, first, axis=0), _norms(part[near])))
+                slot, weight = slot[row, place], weights[place, None].astype(np.float32)
+                near, order = row[first], _longest_first(first, len(row))
+                summed = np.zeros((len(near), self.m), np.float32)
+                for runs, x in _runs(first, len(row)):
+                    summed[runs] += self.values[slot[x]] * weight[x]
+                found.append(at[low + near[order]])
+                sums.append(summed)
+                norms.append(_norms(part[near[order]]).astype(np.float32))
         long = [x for x in np.flatnonzero(lengths > LISTED).tolist() if self.letters[words[x]].sum() >= 3]
         long.sort(key=lengths.__getitem__)
         for low in range(0, len(long), AT_ONCE_DENSE):
             part = np.array(long[low : low + AT_ONCE_DENSE])
             features = _dense([words[x] for x in part.tolist()])
-            sums = features[:, self.used] @ self.values
-            near = sums.any(axis=1)
+            summed = (features[:, self.used] @ self.values).astype(np.float32)
+            near = summed.any(axis=1)
             found.append(part[near])
-            likeness.append(self._both(sums[near], np.linalg.norm(features[near], axis=1)))
+            sums.append(summed[near])
+            norms.append(np.linalg.norm(features[near], axis=1).astype(np.float32))
         numbers = np.concatenate(found)
         order = np.argsort(numbers)
-        return numbers[order], np.concatenate(likeness)[order]
-
-    def _both(self, sums: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        return np.hstack([sums / norms[:, None], np.minimum(sums / self.sizes, 1)]).astype(np.float32)
+        return numbers[order], np.concatenate(sums)[order], np.concatenate(norms)[order]
 
 
 @dataclass
@@ -183,7 +205,8 @@ class Reader:
     def _start_over(self) -> None:
         self.where: dict[str, int] = {}  # of each word twice its row, and 1 if a sentence ends in it
         self.row_of: dict[bytes, int] = {}  # by letters alone
-        self.rows = np.zeros((1024, 2 * self.kernel.m), np.float32)
+        self.rows = np.zeros((1024, self.kernel.m), np.float32)
+        self.scale = np.zeros(1024, np.float32)  # what makes a row a likeness
         self.filled = 1
 
     def _find(self, words: list[str]) -> np.ndarray:
@@ -204,14 +227,15 @@ class Reader:
         return at
 
     def _add(self, keys: list[bytes]) -> None:
-        found, likeness = self.kernel.of_codes([np.frombuffer(k, np.uint8) for k in keys])
+        found, sums, norms = self.kernel.of_codes([np.frombuffer(k, np.uint8) for k in keys])
         self.row_of.update(dict.fromkeys(keys, 0))
         end = self.filled + len(found)
         self.row_of.update(zip([keys[i] for i in found.tolist()], range(self.filled, end), strict=True))
         if end > len(self.rows):
-            more = np.zeros((max(end, 2 * len(self.rows)) - len(self.rows), 2 * self.kernel.m), np.float32)
-            self.rows = np.concatenate([self.rows, more])
-        self.rows[self.filled : end] = likeness
+            more = max(end, 3 * len(self.rows) // 2) - len(self.rows)
+            self.rows = np.concatenate([self.rows, np.zeros((more, self.kernel.m), np.float32)])
+            self.scale = np.concatenate([self.scale, np.zeros(more, np.float32)])
+        self.rows[self.filled : end], self.scale[self.filled : end] = sums, 1 / norms
         self.filled = end
 
     def _describe(self, texts: list[list[str]]) -> np.ndarray:
@@ -223,11 +247,22 @@ class Reader:
             of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[hot]
             sentence = np.cumsum(known & 1)[hot]
             first = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(sentence, prepend=-1) != 0))
-            like = np.maximum.reduceat(self.rows[known[hot] >> 1], first, axis=0).astype(np.float64)
+            word, order = known[hot] >> 1, _longest_first(first, len(hot))
+            like, shared = np.zeros((len(first), m), np.float32), np.zeros((len(first), m), np.float32)
+            for runs, x in _runs(first, len(hot)):
+                rows = self.rows[word[x]]
+                np.maximum(shared[runs], rows, out=shared[runs])
+                rows *= self.scale[word[x], None]
+                np.maximum(like[runs], rows, out=like[runs])
+            back = np.argsort(order)  # sentences of a text side by side again
             start = np.flatnonzero(np.diff(of[first], prepend=-1))
-            mine = of[first][start]
-            best[mine], total[mine] = np.maximum.reduceat(like, start, axis=0), np.add.reduceat(like[:, :m] ** 2, start, axis=0)
-        return np.hstack([best[:, :m], np.log1p(total), best[:, m:]])
+            mine, order = of[first][start], _longest_first(start, len(first))
+            mine = mine[order]
+            for runs, x in _runs(start, len(first)):
+                text, one = mine[runs], like[back[x]].astype(np.float64)
+                best[text] = np.maximum(best[text], np.hstack([one, shared[back[x]] / self.kernel.sizes]))
+                total[text] += one**2
+        return np.hstack([best[:, :m], np.log1p(total), np.minimum(best[:, m:], 1)])
 
     def documents(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each text its sentences' likeness to each landmark, and the words of each text.
