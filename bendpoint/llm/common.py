@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -63,18 +63,54 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+_KEPT: list = []
+_operator: str | None = None
+
+
+def kept(maxsize: int) -> Callable:
+    """lru_cache for what a worker process keeps from task to task, until it turns to another operator."""
+
+    def mark(func: Callable) -> Callable:
+        _KEPT.append(lru_cache(maxsize)(func))
+        return _KEPT[-1]
+
+    return mark
+
+
+def turn_to(operator: str) -> None:
+    """Drop what other operators' tasks have left in this worker process."""
+    global _operator
+    if _operator != operator:
+        for cache in _KEPT:
+            cache.cache_clear()
+        _operator = operator
+
+
+def _tidy(func: Callable) -> Callable:
+    operator = func.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(operator)
+        try:
+            yield from func(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def arrow_map(df: DataFrame, func: Callable, schema: str | T.StructType) -> DataFrame:
     """mapInArrow whose workers can import this package also where only the driver's path has it.
 
     On one machine, or with a shared file system, naming the folder is enough; elsewhere ship the
-    package with --py-files.
+    package with --py-files. A worker holds the caches of one operator at a time.
     """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = df.sparkSession.sparkContext.environment
     known = environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
-    return df.mapInArrow(func, schema)
+    return df.mapInArrow(_tidy(func), schema)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

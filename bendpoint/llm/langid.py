@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh_names, landed, whole_text
+from .common import arrow_map, fresh_names, kept, whole_text
 
 BUCKET_BITS = 16
 ORDERS = (1, 2, 3)
@@ -155,7 +155,7 @@ def classify(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
     return names, np.concatenate(scores)
 
 
-@lru_cache(maxsize=2)
+@kept(maxsize=2)
 def _loaded(model: bytes) -> Model:
     return pickle.loads(model)
 

@@ -6,13 +6,14 @@ import os
 import re
 import string
 import unicodedata
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 
+from .common import kept
+
 AT_ONCE_CHARS = 1 << 20
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 900_000
 CACHE_CHARS = 1 << 24
 
 # A text is cut where its ids are those of the parts, one after the other. Parts are looked up by keys
@@ -147,7 +148,7 @@ class Pieces:
         return np.concatenate(flats), np.concatenate(counts)
 
 
-@lru_cache(maxsize=4)
+@kept(maxsize=2)
 def pieces(path: str, cut: str, end_id: int) -> Pieces:
-    """One cache for each worker process and tokenizer, kept from task to task."""
+    """One cache for each worker process and tokenizer, kept from task to task of an operator."""
     return Pieces(path, cut, end_id)

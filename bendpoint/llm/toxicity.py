@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh_names, landed, whole_text
+from .common import arrow_map, fresh_names, kept, landed, whole_text
 
 LETTERS = 32
 DECAY = 0.7
@@ -287,12 +287,12 @@ class Reader:
         return np.concatenate(pooled), counts
 
 
-@lru_cache(maxsize=2)
+@kept(maxsize=1)
 def _reader(landmarks: tuple[str, ...]) -> Reader:
     return Reader(list(landmarks))
 
 
-@lru_cache(maxsize=2)
+@kept(maxsize=1)
 def _loaded(model: bytes) -> Model:
     return pickle.loads(model)
 
