@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, whole_text
-from .tokens import pieces
+from .tokens import CACHE_PIECES, pieces
 
 CHUNK_IDS = 1 << 20
 TASK_BYTES = 4 << 20  # text that a task packs, at least
@@ -79,7 +79,7 @@ def pack_ids(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
     return {"doc": doc, "start": start, "length": length, "window": window, "offset": offset}
 
 
-def _pack(path: str, cut: str, end_id: int, capacity: int, chunk_ids: int):
+def _pack(path: str, cut: str, end_id: int, capacity: int, chunk_ids: int, cache_pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         next_id = TaskContext.get().partitionId() << 33
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
@@ -110,7 +110,7 @@ def _pack(path: str, cut: str, end_id: int, capacity: int, chunk_ids: int):
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
-                flat, counts = pieces(path, cut, end_id).encode(part.column("text").to_pylist())
+                flat, counts = pieces(path, cut, end_id, cache_pieces).encode(part.column("text").to_pylist())
                 held.append((part.column("doc_id").to_pylist(), flat, counts))
                 size += len(flat)
                 if size >= chunk_ids:
@@ -129,6 +129,7 @@ def pack(
     end_id: int = 1,
     cut: str = "drop",
     chunk_ids: int = CHUNK_IDS,
+    cache_pieces: int = CACHE_PIECES,
 ) -> DataFrame:
     """A row per piece: doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset.
@@ -137,7 +138,8 @@ def pack(
     best-fit decreasing with the other remainders of the same chunk. A chunk is at least `chunk_ids`
     consecutive ids of one task: nothing is shuffled, what a task holds is bounded by the chunk and its
     largest text, and a task that runs again makes the same windows. At most the last windows of a chunk
-    are left with much room; small partitions are read together, TASK_BYTES of text by a task, so that
+    are left with much room. A worker remembers the ids of `cache_pieces` words (some 150 bytes each) at
+    most, which changes time and memory alone; small partitions are read together, TASK_BYTES of text by a task, so that
     chunks are full however finely the table is dealt. sequence_id is unique, not consecutive.
 
     Null and empty texts are one piece of the end id. Repeated rows and null doc_ids are packed as
@@ -146,4 +148,4 @@ def pack(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     texts = texts.coalesce(max(1, size // TASK_BYTES))
-    return arrow_map(texts, _pack(path, cut, end_id, capacity, chunk_ids), SCHEMA)
+    return arrow_map(texts, _pack(path, cut, end_id, capacity, chunk_ids, cache_pieces), SCHEMA)

@@ -13,7 +13,7 @@ import numpy as np
 from .common import kept
 
 AT_ONCE_CHARS = 1 << 20
-CACHE_PIECES = 900_000
+CACHE_PIECES = 1_200_000
 CACHE_CHARS = 1 << 24
 
 # A text is cut where its ids are those of the parts, one after the other. Parts are looked up by keys
@@ -57,14 +57,14 @@ def _letters(word: str) -> bool:
 class Pieces:
     """Encodes texts part by part. What was encoded before is looked up; a full cache starts over."""
 
-    def __init__(self, path: str, cut: str, end_id: int) -> None:
+    def __init__(self, path: str, cut: str, end_id: int, most: int | None = None) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         (self.keys, self.part), self.whole = CUTS[cut], cut == "lead" and "\0" or ""
-        self.end_id = end_id
+        self.end_id, self.most = end_id, most or CACHE_PIECES
         self._start_over()
 
     def _start_over(self) -> None:
@@ -113,7 +113,7 @@ class Pieces:
         return self.ids[np.repeat(self.first[at] - (done - lengths), lengths) + np.arange(done[-1])]
 
     def _find(self, keys: list[str | None]) -> np.ndarray:
-        if len(self.where) > CACHE_PIECES or self.chars > CACHE_CHARS:
+        if len(self.where) > self.most or self.chars > CACHE_CHARS:
             self._start_over()
         at = np.fromiter(map(self.where.get, keys, repeat(-1)), np.int64, len(keys))
         missing = np.flatnonzero(at < 0).tolist()
@@ -149,6 +149,6 @@ class Pieces:
 
 
 @kept(maxsize=2)
-def pieces(path: str, cut: str, end_id: int) -> Pieces:
+def pieces(path: str, cut: str, end_id: int, most: int | None = None) -> Pieces:
     """One cache for each worker process and tokenizer, kept from task to task of an operator."""
-    return Pieces(path, cut, end_id)
+    return Pieces(path, cut, end_id, most)

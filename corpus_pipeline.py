@@ -12,6 +12,7 @@ from bendpoint.llm.common import fresh_names, scratch_folder
 
 
 LEAST_SCORE = 0.5
+CACHE_PIECES = 900_000  # executors that ran the stages before have less memory to spare than packing's alone
 
 # Every stage takes rows as they are: null, empty and very long texts, null languages and repeated rows
 # have the results that its operator's docstring states, an empty table gives an empty one, and a column
@@ -56,7 +57,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the training sequences, with their ids."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), cache_pieces=CACHE_PIECES)
 
 
 STAGES = [
