@@ -88,7 +88,8 @@ def _norms(codes: np.ndarray) -> np.ndarray:
 
 def _split(words: list[str]) -> list[np.ndarray]:
     codes, owner = _joined(words)
-    return np.split(codes, np.cumsum(np.bincount(owner, minlength=len(words)))[:-1]) if words else []
+    ends = np.cumsum(np.bincount(owner, minlength=len(words))).tolist()
+    return [codes[low:high] for low, high in zip([0, *ends], ends)]
 
 
 def _vectors(words: list[str]) -> np.ndarray:
