@@ -40,10 +40,15 @@ def small(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     return F.broadcast(df) if counted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def made_once(table: DataFrame) -> DataFrame:
+    """The table in checkpointed form: what several jobs read is not made again for each of them."""
+    ensure_checkpoint_dir(table.sparkSession)
+    return table.checkpoint()
+
+
 def per_key(table: DataFrame) -> DataFrame:
     """A table of one row a key, made once and broadcast if it is small, so that rows joined to it stay."""
-    ensure_checkpoint_dir(table.sparkSession)
-    return small(table.checkpoint())
+    return small(made_once(table))
 
 
 def keys_of(keys: str | Sequence[str]) -> list[str]:
