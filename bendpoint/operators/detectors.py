@@ -1,20 +1,25 @@
 """Change-point detectors built on rolling regression.
 
 The chain is: rolling slope -> absolute numerical gradient of the slope (the second derivative) ->
-a rule that turns it into flags.  All window lengths of a sweep run over one shuffle and one sort.
+a rule that turns it into flags.  All window lengths and noise levels of a sweep run over one shuffle
+and one sort of the rows as they are; they become rows of their own after it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import axis_key, uniform
-from .layout import BLOCK_ROWS, Layout, keys_of, lay_out
-from .rolling import WIDTH, Fit, gradient_column, kernel_smooth, max_column
+from .frames import WIDTH, Fitted, Held, all_of, each_block, half_up, rolling_max
+from .layout import BLOCK_ROWS, keys_of, lay_out
+from .rolling import kernel_smooth
 
 
 @dataclass(frozen=True)
@@ -42,15 +47,15 @@ class PeakRule:
     def reach(self) -> tuple[int, int]:
         return self.k + 1, self.ahead + 1
 
-    def apply(self, layout: Layout) -> Layout:
-        layout = max_column("_rollmax", "_signal", layout, self.k)
-        return layout.add({"_cp": self._flag("_rollmax", layout)})
-
-    def _flag(self, peak: str, layout: Layout) -> Column:
-        later = F.lead(peak, self.ahead).over(layout.window)
-        holds = F.col(peak) == later if self.plateau == "equal" else F.signum(peak) == F.signum(later)
-        flag = (F.col(peak) - F.lag(peak).over(layout.window) > 0) & holds
-        return flag if self.floor is None else flag & (F.col(peak) > self.floor)
+    def apply(self, signal: Held) -> dict[str, Held]:
+        peak = rolling_max(signal, self.k)
+        later = peak.at(self.ahead)
+        if self.plateau == "equal":
+            holds = peak.same(later)
+        else:
+            holds = Held(np.sign(peak.v), peak.ok).same(Held(np.sign(later.v), later.ok))
+        floor = [] if self.floor is None else [peak.over(self.floor)]
+        return {"rollmax": peak, "cp": all_of(peak.minus(peak.at(-1)).over(0.0), holds, *floor)}
 
 
 @dataclass(frozen=True)
@@ -70,31 +75,28 @@ class RatioRule:
 
     reach = (1, 1)
 
-    def apply(self, layout: Layout) -> Layout:
-        return layout.add({"_cp": self._flag(F.col("_signal"), layout)})
-
-    def _flag(self, now: Column, layout: Layout) -> Column:
-        previous = F.lag(now).over(layout.window)
-        flag = (now > previous * F.lit(float(self.cp_factor))) & (previous > F.lit(float(self.epsilon)))
-        return flag & (now - previous > 0) if self.rising else flag
+    def apply(self, signal: Held) -> dict[str, Held]:
+        previous = signal.at(-1)
+        rises = [signal.minus(previous).over(0.0)] if self.rising else []
+        many = signal.over(Held(previous.v * float(self.cp_factor), previous.ok))
+        return {"cp": all_of(many, previous.over(float(self.epsilon)), *rises)}
 
 
 Rule = PeakRule | RatioRule
 
 
-def _signals(fits: Fit, rule: Rule, parts: Sequence[str]) -> Layout:
-    layout = fits.columns(("slope", *parts))
-    if rule.slope_digits is not None:
-        layout = layout.add({"_slope": F.round("_slope", rule.slope_digits)})
-    signal = F.abs(gradient_column("_slope", layout) if rule.on == "gradient" else F.col("_slope"))
-    return rule.apply(layout.add({"_signal": signal if rule.digits is None else F.round(signal, rule.digits)}))
+def _signals(fits: Fitted, rule: Rule) -> dict[str, Held]:
+    slope = half_up(fits.slope(), rule.slope_digits)
+    signal = fits.gradient(slope) if rule.on == "gradient" else slope
+    signal = half_up(Held(np.abs(signal.v), signal.ok), rule.digits)
+    return {"slope": slope, "second_derivative": signal, "r_squared": fits.r2(), **rule.apply(signal)}
 
 
 def detect(
     df: DataFrame,
     keys: str | Sequence[str],
     t: str,
-    value: str,
+    value: str | dict[float, Column],
     windows: Sequence[int],
     rule: Rule,
     x_unit: str = "s",
@@ -104,24 +106,23 @@ def detect(
 ) -> DataFrame:
     """Run one rule at several window lengths: one output row per input row and window.
 
-    Columns: the keys, ``t``, ``value``, window_length_level, slope, second_derivative, rollmax
-    (peak rules), r_squared (with ``fit``), cp.  Rows with a NULL value are left out first.
+    Columns: the keys, ``t``, ``value``, window_length_level, slope, second_derivative, cp, rollmax
+    (peak rules), r_squared (with ``fit``).  Rows with a NULL value are left out first.  ``value`` may
+    be noise levels (see ``noise_levels``), which are then rows too.
 
     Pass ``index=t`` when ``t`` is a dense row index 1..n; its rows all stay, and a frame that holds
     a NULL has no fit.
     """
-    keys = keys_of(keys)
-    rows = df if index is not None else df.filter(F.col(value).isNotNull())
-    fits = Fit.over(rows, keys, t, value, windows, rule.reach, x_unit, index, block_rows)
-    held = {"slope": "_slope", "second_derivative": "_signal", "cp": "_cp"}
-    if isinstance(rule, PeakRule):
-        held["rollmax"] = "_rollmax"
-    if fit:
-        held |= {"r_squared": "_r2"}
-    layout = _signals(fits, rule, ("r2",) if fit else ())
-    levels = F.col(WIDTH).alias("window_length_level")
-    layout = layout.with_rows(layout.df.select(*layout.df.columns, levels, *[F.col(c).alias(n) for n, c in held.items()]))
-    return layout.finish().select(*df.columns, "window_length_level", *held)
+    if index is None:
+        known = [F.col(value)] if isinstance(value, str) else list(value.values())
+        df = df.filter(reduce(and_, [c.isNotNull() for c in known]))
+    names = ["slope", "second_derivative", "cp"]
+    names += ["rollmax"] if isinstance(rule, PeakRule) else []
+    names += ["r_squared"] if fit else []
+    outputs = {n: "boolean" if n == "cp" else "double" for n in names}
+    return each_block(
+        df, keys, t, value, windows, rule.reach, outputs, lambda fits: _signals(fits, rule), x_unit, index, block_rows
+    )
 
 
 def gradient_peaks(
@@ -236,13 +237,12 @@ def sweep_windows(
 NOISE_RULE = PeakRule(k=7, lead=4, digits=4, floor=1e-5)
 
 
-def with_noise_levels(
+def noise_levels(
     df: DataFrame, keys: str | Sequence[str], t: str, value: str, levels: Sequence[float], seed: int = 0
-) -> DataFrame:
-    """Every row once per level, with ``noise`` = value + level * U(0, 1); level 0 adds nothing."""
-    draw = uniform(*keys_of(keys), axis_key(df, t), "standard_deviation", F.lit(seed))
-    out = df.withColumn("standard_deviation", F.explode(F.array(*[F.lit(float(s)) for s in levels])))
-    return out.withColumn("noise", F.col(value) + F.col("standard_deviation") * draw)
+) -> dict[float, Column]:
+    """For each level ``value`` + level * U(0, 1), the draw fixed by row, level and seed; level 0 adds nothing."""
+    draw = {float(s): uniform(*keys_of(keys), axis_key(df, t), F.lit(float(s)), F.lit(seed)) for s in levels}
+    return {s: F.col(value) + F.lit(s) * u for s, u in draw.items()}
 
 
 def with_percentage(df: DataFrame, percentages: dict[int, str]) -> DataFrame:
@@ -271,9 +271,8 @@ def sweep_noise(
     level joins the series key.  With ``fit`` the rolling r_squared is kept too.  ``windows`` that map
     to labels give their ``percentage_level`` beside the length.
     """
-    noisy = with_noise_levels(df, keys, t, value, levels, seed)
-    by = [*keys_of(keys), "standard_deviation"]
-    out = detect(noisy, by, t, "noise", list(windows), rule, x_unit, index, fit, block_rows)
+    noisy = noise_levels(df, keys, t, value, levels, seed)
+    out = detect(df, keys, t, noisy, list(windows), rule, x_unit, index, fit, block_rows)
     signals = [c for c in ("slope", "second_derivative", "rollmax", "r_squared", "cp") if c in out.columns]
     out = out.na.drop("any", subset=signals)
     return with_percentage(out, windows) if isinstance(windows, dict) else out
@@ -310,9 +309,8 @@ def noise_fit_stats(
     block_rows: int | None = None,
 ) -> DataFrame:
     """Residual sd and r2 of the fits at every noise level and window length, long; NULL until full."""
-    noisy = with_noise_levels(df, keys, t, value, levels, seed)
-    by = [*keys_of(keys), "standard_deviation"]
-    return with_percentage(rolling_fit_stats(noisy, by, t, "noise", list(windows), x_unit, index, block_rows), windows)
+    noisy = noise_levels(df, keys, t, value, levels, seed)
+    return with_percentage(rolling_fit_stats(df, keys, t, noisy, list(windows), x_unit, index, block_rows), windows)
 
 
 def multi_series_ratio(
@@ -356,7 +354,7 @@ def rolling_fit_stats(
     df: DataFrame,
     keys: str | Sequence[str],
     t: str,
-    value: str,
+    value: str | dict[float, Column],
     w: int | Sequence[int],
     x_unit: str = "s",
     index: str | None = None,
@@ -364,19 +362,20 @@ def rolling_fit_stats(
 ) -> DataFrame:
     """Residual sd and r2 of the rolling fit, long: keys, t, statistics, value (NULL until full).
 
-    Several window lengths give a row for each, with ``window_length_level``.
+    Several window lengths give a row for each, with ``window_length_level``; noise levels (see
+    ``noise_levels``) one for each too, with ``standard_deviation``.
     """
-    keys = keys_of(keys)
     windows = [w] if isinstance(w, int) else list(w)
-    layout = Fit.over(df, keys, t, value, windows, (0, 0), x_unit, index, block_rows).columns(("r2", "sigma"))
+    outputs = {"_sigma": "double", "_r2": "double"}
+    rows = each_block(
+        df, keys, t, value, windows, (0, 0), outputs, lambda fits: {"_sigma": fits.sigma(), "_r2": fits.r2()}, x_unit, index, block_rows
+    )
     stats = F.array(
         F.struct(F.lit("sigmas").alias("statistics"), F.col("_sigma").alias("value")),
         F.struct(F.lit("r.squareds").alias("statistics"), F.col("_r2").alias("value")),
     )
-    level = [] if isinstance(w, int) else [F.col(WIDTH).alias("window_length_level")]
-    rows = layout.with_rows(layout.df.withColumns({"_stats": stats, "_level": F.struct(*level, F.lit(0).alias("_none"))}))
-    out = rows.finish().select(*keys, t, "_level.*", F.inline("_stats"))
-    return out.drop("_none")
+    level = [*(["standard_deviation"] if isinstance(value, dict) else []), t, *([] if isinstance(w, int) else [WIDTH])]
+    return rows.select(*keys_of(keys), *level, F.inline(stats))
 
 
 def abs_slope_peaks(
