@@ -9,6 +9,7 @@ and the copies are dropped afterwards.  The results are those of the unblocked w
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -46,6 +47,14 @@ def made_once(table: DataFrame) -> DataFrame:
     return table.checkpoint()
 
 
+def dealt(df: DataFrame, by: Sequence[str], rows: float) -> DataFrame:
+    """The table in tasks of about ``rows`` rows each: for work per row that its few bytes do not show.
+
+    The number is set from a count, so adaptive execution leaves the tasks apart.
+    """
+    return df.repartition(math.ceil(df.count() / rows) or 1, *by)
+
+
 def per_key(table: DataFrame) -> DataFrame:
     """A table of one row a key, made once and broadcast if it is small, so that rows joined to it stay."""
     return small(made_once(table))
