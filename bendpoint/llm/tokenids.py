@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh_names, whole_text
-from .tokens import pieces
+from .common import arrow_map, bounded, fresh_names, whole_text
+from .tokens import AT_ONCE_CHARS, pieces
 
 BLOCK_IDS = 1 << 19
 LEAST_COUNT = 8
@@ -44,12 +44,11 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
-def _frequent(keys: np.ndarray) -> tuple[np.ndarray, bool]:
+def _frequent(keys: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, bool]:
     """Keys found in LEAST_COUNT places or more, one for each slot of the table, and whether these are all.
 
     Only keys whose slot is full enough are counted one by one.
     """
-    slots = _slot(keys)
     found, n = np.unique(keys[(np.bincount(slots, minlength=1 << TABLE_BITS) >= LEAST_COUNT)[slots]], return_counts=True)
     found = found[n >= LEAST_COUNT]
     own = np.unique(_slot(found), return_index=True)[1]
@@ -73,19 +72,22 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int) -> tuple[np.ndarray
         new = symbols >= fresh
         places = np.flatnonzero(~last[:-1] if whole else ~last[:-1] & (new[:-1] | new[1:]))
         keys = (symbols[places].astype(np.uint64) << np.uint64(32)) | symbols[places + 1]
-        chosen, whole = _frequent(keys)
+        slots = _slot(keys)
+        chosen, whole = _frequent(keys, slots)
         whole = not whole
         if not len(chosen):
             break
         rank_of = np.full(1 << TABLE_BITS, -1, np.int32)
         rank_of[_slot(chosen)] = np.arange(len(chosen))
-        rank = rank_of[_slot(keys)]
-        right = (rank >= 0) & (chosen[rank] == keys)
+        rank = rank_of[slots]
+        right = np.flatnonzero(rank >= 0)
+        right = right[chosen[rank[right]] == keys[right]]
         at, rank = places[right], rank[right]
         # Of places that touch, every other one counts, from the left.
         begins = np.diff(at, prepend=-2) != 1
-        run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
-        free = (np.arange(len(at)) - run) % 2 == 0
+        nth = np.arange(len(at))
+        run = np.maximum.accumulate(np.where(begins, nth, 0))
+        free = (nth - run) & 1 == 0
         at, rank = at[free], rank[free]
         pair = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
         known = np.concatenate([[1], lengths])  # a token is one id long
@@ -102,30 +104,35 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int) -> tuple[np.ndarray
     return symbols, np.concatenate([[0], ends[:-1]]).astype(np.uint32), rules, lengths
 
 
+def _spread(symbols: np.ndarray, flat: np.ndarray, first: np.ndarray, base: int) -> np.ndarray:
+    """The ids of symbols one after the other; those of rule r are flat[first[r] : first[r + 1]]."""
+    made = np.flatnonzero(symbols >= base)
+    rule = symbols[made].astype(np.int64) - base
+    size = np.ones(len(symbols), np.int64)
+    size[made] = first[rule + 1] - first[rule]
+    done = np.cumsum(size)
+    out = np.repeat(symbols, size)
+    # Where a rule's ids go in the result, and where they come from.
+    size, begin = size[made], done[made] - size[made]
+    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(begin, size) + inner] = flat[np.repeat(first[rule], size) + inner]
+    return out
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
     """The ids that a run of symbols stands for. Expansion lengths say where each symbol's ids go."""
-    # Every rule's ids, one after the other; a rule refers to symbols made before it.
+    # Every rule's ids, one after the other; a rule refers to symbols made before it. Rules that refer
+    # to none of each other, such as those of a round, are expanded at once.
     first = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
     flat = np.empty(int(first[-1]), np.uint32)
-    for r, (a, b) in enumerate(rules.tolist()):
-        at = int(first[r])
-        for s in (a, b):
-            if s < base:
-                flat[at] = s
-                at += 1
-            else:
-                low, high = int(first[s - base]), int(first[s - base + 1])
-                flat[at : at + high - low] = flat[low:high]
-                at += high - low
-    made = symbols >= base
-    rule = np.where(made, symbols.astype(np.int64) - base, 0)
-    size = np.where(made, lengths[rule] if len(lengths) else 1, 1).astype(np.int64)
-    done = np.cumsum(size)
-    out = np.repeat(symbols, size)
-    inner = np.repeat(made, size)
-    begin = np.repeat(np.where(made, first[rule], 0) - (done - size), size)
-    out[inner] = flat[(begin + np.arange(len(out)))[inner]]
-    return out
+    needs = rules.max(axis=1).astype(np.int64) - base
+    low = 0
+    while low < len(rules):
+        late = needs[low + 1 :] >= low
+        high = low + 1 + (int(late.argmax()) if late.any() else len(late))
+        flat[first[low] : first[high]] = _spread(rules[low:high].ravel(), flat, first, base)
+        low = high
+    return _spread(symbols, flat, first, base)
 
 
 def _wide(symbols: np.ndarray, width: int) -> bytes:
@@ -176,14 +183,18 @@ def _encode(path: str, cut: str, end_id: int, base: int, block_ids: int):
             )
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 64):
-                part = batch.slice(low, 64)
+            for part in bounded(batch, "text", AT_ONCE_CHARS):
                 flat, counts = pieces(path, cut, end_id).encode(part.column("text").to_pylist())
-                held.append((part.column("doc_id").to_pylist(), flat, counts))
-                size += len(flat)
-                if size >= block_ids:
-                    yield written()
-                    held, size = [], 0
+                docs, ends = part.column("doc_id").to_pylist(), np.concatenate([[0], np.cumsum(counts)])
+                low = 0
+                while low < len(docs):  # a block ends with the document that fills it
+                    high = min(int(np.searchsorted(ends, ends[low] + block_ids - size)), len(docs))
+                    held.append((docs[low:high], flat[ends[low] : ends[high]], counts[low:high]))
+                    size += int(ends[high] - ends[low])
+                    low = high
+                    if size >= block_ids:
+                        yield written()
+                        held, size = [], 0
         if held:
             yield written()
 

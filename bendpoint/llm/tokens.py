@@ -6,18 +6,22 @@ import os
 import re
 import string
 import unicodedata
-from itertools import repeat
+from itertools import chain, groupby, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import kept
 
-AT_ONCE_CHARS = 1 << 20
+AT_ONCE_CHARS = 1 << 21
+ASK_KEYS = 512
 CACHE_PIECES = 1_200_000
 CACHE_CHARS = 1 << 24
 
 # A text is cut where its ids are those of the parts, one after the other. Parts are looked up by keys
-# that are cheap to make; _part gives the text of a key.
+# that are cheap to make, a list of them or a string with a space between any two; _part gives the text
+# of a key.
 #
 # "drop", for tokenizers that drop white space: parts are what white space separates.
 # "lead", for byte-level tokenizers whose words take one leading space along: a cut comes before a single
@@ -33,11 +37,11 @@ def _drop_keys(text: str) -> list[str]:
     return _PLAIN_WORD.findall(text) if _NOT_UNICODE_SPACE.search(text) else text.split()
 
 
-def _lead_keys(text: str) -> list[str]:
+def _lead_keys(text: str) -> str | list[str]:
     odd = any(c in text for c in (_OTHER_SPACE if text.isascii() else _OTHER_SPACE + _WIDE_SPACE))
-    keys = [] if odd else f"\0{text}".replace("\n", " \n \0").split(" ")
+    keys = "" if odd else f"\0{text}".replace("\n", " \n \0")
     # White space next to white space shows as empty keys.
-    if odd or "" in keys or "\0" in keys:
+    if odd or "  " in keys or "\0 " in keys or keys[-1] in " \0":
         return [f"\0{part}" for part in _SINGLE.split(text)]
     return keys
 
@@ -65,10 +69,15 @@ class Pieces:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         (self.keys, self.part), self.whole = CUTS[cut], cut == "lead" and "\0" or ""
         self.end_id, self.most = end_id, most or CACHE_PIECES
+        self.id_bytes = None
+        if cut == "lead":  # a character of a byte-level token stands for a byte
+            vocab = self.tokenizer.get_vocab()
+            self.id_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+            self.id_bytes[list(vocab.values())] = [len(token) for token in vocab]
         self._start_over()
 
     def _start_over(self) -> None:
-        self.where: dict[str | None, int] = {None: 0}
+        self.where: dict[str, int] = {}  # place 0 is the end id's
         self.ids = np.array([self.end_id], np.uint32)
         self.first, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)
         self.chars = 0
@@ -80,11 +89,30 @@ class Pieces:
         self.ids = np.concatenate([self.ids, flat])
         self.chars += sum(map(len, keys))
 
-    def _ask(self, keys: list[str]) -> None:
-        parts = [self.part(key) for key in keys]
+    def _encoded(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         lengths = np.array([len(e) for e in encoded], np.int64)
-        self._add(keys, np.fromiter((i for e in encoded for i in e), np.uint32, int(lengths.sum())), lengths)
+        return np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum())), lengths
+
+    def _encoded_in_rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words with a space before each, many in a row as in a text. The ids' bytes tell where a word ends."""
+        rows = [" " + " ".join(words[low : low + ASK_KEYS]) for low in range(0, len(words), ASK_KEYS)]
+        flat, _ = self._encoded(rows)
+        whole = np.frombuffer("".join(rows).encode(), np.uint8)
+        ends = np.append(np.flatnonzero(whole == ord(" "))[1:], len(whole))
+        done = np.cumsum(self.id_bytes[flat])
+        last = np.searchsorted(done, ends)
+        if len(ends) != len(words) or done[-1] != ends[-1] or (done[last] != ends).any():
+            return self._encoded([f" {word}" for word in words])
+        return flat, np.diff(last, prepend=-1)
+
+    def _ask(self, keys: list[str]) -> None:
+        words = [key for key in keys if key[0] not in "\0\n"] if self.id_bytes is not None else []
+        others = [key for key in keys if key[0] in "\0\n"] if words else keys
+        asked = [self._encoded_in_rows(words)] if words else []
+        if others:
+            asked.append(self._encoded([self.part(key) for key in others]))
+        self._add(words + others, *map(np.concatenate, zip(*asked, strict=True)))
 
     def _learn(self, new: list[str]) -> None:
         """Letters with ASCII marks behind them are two parts to any of these tokenizers: the ids of a
@@ -93,11 +121,14 @@ class Pieces:
         asked: dict[str, None] = {}
         marked = []
         for key in new:
-            core = key.rstrip(string.punctuation)
+            core = key if key.isalpha() else key.rstrip(string.punctuation)
             if core != key and _letters(core.lstrip("\0")):
                 tail = self.whole + key[len(core) :]
                 marked.append((key, core, tail))
-                asked.update((x, None) for x in (core, tail) if x not in self.where)
+                if core not in self.where:
+                    asked[core] = None
+                if tail not in self.where:
+                    asked[tail] = None
             else:
                 asked[key] = None
         if asked:
@@ -112,38 +143,52 @@ class Pieces:
         done = np.cumsum(lengths)
         return self.ids[np.repeat(self.first[at] - (done - lengths), lengths) + np.arange(done[-1])]
 
-    def _find(self, keys: list[str | None]) -> np.ndarray:
+    def _find(self, keys: list[str]) -> np.ndarray:
         if len(self.where) > self.most or self.chars > CACHE_CHARS:
             self._start_over()
         at = np.fromiter(map(self.where.get, keys, repeat(-1)), np.int64, len(keys))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
-            self._learn(list(dict.fromkeys(keys[i] for i in missing)))
+            self._learn([keys[i] for i in missing])
             at[missing] = [self.where[keys[i]] for i in missing]
         return at
 
-    def _keys(self, text: str) -> list[str]:
+    def _keys(self, text: str) -> str | list[str]:
         # A special token's string could be cut apart, so such a text is encoded whole.
         return [self.whole + text] if any(s in text for s in self.special) else self.keys(text)
 
+    def _all_keys(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The keys of all texts, one after the other, and how many each text has."""
+        runs, counts = [], []
+        for spaced, run in groupby(map(self._keys, texts), lambda keys: isinstance(keys, str)):
+            run = list(run)
+            if spaced:
+                runs.append(pc.split_pattern(pa.array([" ".join(run)], pa.large_string()), " ").flatten())
+                counts += [keys.count(" ") + 1 for keys in run]
+            else:
+                runs.append(pa.array(chain.from_iterable(run), pa.large_string()))
+                counts += map(len, run)
+        return pa.concat_arrays(runs), np.array(counts, np.int64)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each followed by the end id, and the ids of each text."""
+        """The ids of all texts, each followed by the end id, and the ids of each text.
+
+        A key is looked up once for some AT_ONCE_CHARS of text, however often it is there.
+        """
         flats, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         low = 0
         while low < len(texts):
             high, chars = low, 0
-            keys: list[str | None] = []
-            ends = []
             while high < len(texts) and chars < AT_ONCE_CHARS:
-                keys += self._keys(texts[high])
-                keys.append(None)
-                ends.append(len(keys))
                 chars += len(texts[high])
                 high += 1
-            at = self._find(keys)
+            keys, n = self._all_keys(texts[low:high])
+            keys = keys.dictionary_encode()
+            at = self._find(keys.dictionary.to_numpy(zero_copy_only=False).tolist())[keys.indices.to_numpy()]
+            at = np.insert(at, np.cumsum(n), 0)
             done = np.cumsum(self.length[at])
             flats.append(self._gather(at))
-            counts.append(np.diff(done[np.array(ends) - 1], prepend=0))
+            counts.append(np.diff(done[np.cumsum(n + 1) - 1], prepend=0))
             low = high
         return np.concatenate(flats), np.concatenate(counts)
 

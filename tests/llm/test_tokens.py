@@ -44,6 +44,26 @@ def test_every_letter_with_marks_behind_it(file, cut):
         assert [t for t, p, w in zip(texts, parts, want, strict=True) if p.tolist() != w] == []
 
 
+def test_each_word_is_asked_once_and_many_words_together(monkeypatch):
+    """Looking up every word and asking for new ones one by one was most of the CPU time of token files."""
+    draw = np.random.default_rng(5)
+    words = ["".join(draw.choice(list("abcdeéß7'_"), 9)) for _ in range(3000)] + ["'s", "1", "ǆ", "한국", "x's", "<P>"]
+    texts = [" ".join(draw.choice(words, 200)) for _ in range(300)] + TEXTS + ["a\nb\nc d", "\nlead", "x\n", "x \ny", "x\n y"]
+    mine, whole = tokens.Pieces(BYTE, "lead", 7), Tokenizer.from_file(BYTE)
+    asked, looked_up = [], []
+    encoded, find = mine._encoded, mine._find
+    monkeypatch.setattr(mine, "_encoded", lambda parts: asked.extend(parts) or encoded(parts))
+    monkeypatch.setattr(mine, "_find", lambda keys: looked_up.extend(keys) or find(keys))
+    flat, counts = mine.encode(texts)
+    got = np.split(flat, np.cumsum(counts)[:-1])
+    assert [p.tolist() for p in got] == [[*whole.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+    assert len(looked_up) == len(set(looked_up)) and len(asked) < len(words) / 5
+    # Where the bytes of ids don't tell words apart, each is asked for by itself.
+    plain = tokens.Pieces(BYTE, "lead", 7)
+    plain.id_bytes += 1
+    assert np.array_equal(plain.encode(texts)[0], flat)
+
+
 def test_little_padding_over_many_partitions(docs_of):
     draw = np.random.default_rng(2)
     docs = docs_of([(i, "some words of a text " * int(draw.integers(1, 300))) for i in range(1500)])
@@ -145,3 +165,12 @@ def test_token_files(spark, docs_of):
     folder = scratch_folder(spark, "test-no-ids")
     tokenids.write_ids(docs_of([]), folder, BYTE)
     assert rows(tokenids.read_ids(spark, folder), "doc_id") == []
+
+
+def test_a_block_ends_with_the_document_that_fills_it(spark, docs_of):
+    folder = scratch_folder(spark, "test-blocks")
+    tokenids.write_ids(docs_of([(i, "a b c d e f g h i") for i in range(60)]), folder, BYTE, shards=1, block_ids=100)
+    blocks = spark.read.parquet(folder).orderBy("block").collect()
+    assert [b.n_ids for b in blocks] == [100] * 6 and [b.first_id for b in blocks] == list(range(0, 600, 100))
+    out = tokenids.read_ids(spark, folder).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.start, r.n_tokens) for r in out] == [(i, 10 * i, 10) for i in range(60)]
