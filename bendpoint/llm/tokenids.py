@@ -71,7 +71,9 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int) -> tuple[np.ndarray
         # After all frequent pairs were replaced, only pairs with a symbol of that round can be frequent.
         new = symbols >= fresh
         places = np.flatnonzero(~last[:-1] if whole else ~last[:-1] & (new[:-1] | new[1:]))
-        keys = (symbols[places].astype(np.uint64) << np.uint64(32)) | symbols[places + 1]
+        pairs = symbols[:-1].astype(np.uint64) << np.uint64(32)
+        pairs |= symbols[1:]
+        keys = pairs[places]
         slots = _slot(keys)
         chosen, whole = _frequent(keys, slots)
         whole = not whole

@@ -6,7 +6,7 @@ import os
 import re
 import string
 import unicodedata
-from itertools import chain, groupby, repeat
+from itertools import chain, filterfalse, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,31 @@ def _lead_part(key: str) -> str:
     return key[1:] if key[:1] == "\0" else key if key == "\n" else f" {key}"
 
 
+# What _before_marks tells apart: a letter, a mark, what ends a word.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[list(string.ascii_letters.encode())], _KINDS[list(b".,;:!?")], _KINDS[ord(" ")] = 1, 2, 3
+
+
+def _before_marks(keys: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """All keys of texts whose keys are strings, and how many each text has. A mark that ends a word is a
+    key of its own behind an ASCII letter: letters and marks are parts of their own to these tokenizers."""
+    flat = np.frombuffer(" ".join([*keys, ""]).encode(), np.uint8)
+    kinds = _KINDS[flat]
+    cuts = np.flatnonzero((kinds[:-2] == 1) & (kinds[1:-1] == 2) & (kinds[2:] == 3)) + 1
+    ends = np.cumsum([len(k) + 1 if k.isascii() else len(k.encode()) + 1 for k in keys])
+    counts = np.array([k.count(" ") + 1 for k in keys]) + np.diff(np.searchsorted(cuts, ends), prepend=0)
+    # Every cut becomes a space and the sign of a key without one.
+    wide = np.ones(len(flat) - 1, np.int8)
+    wide[cuts] = 3
+    spread = np.repeat(flat[:-1], wide)
+    at = cuts + 2 * np.arange(len(cuts))
+    spread[at], spread[at + 1] = ord(" "), 0
+    whole = pa.Array.from_buffers(
+        pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(spread)], np.int64)), pa.py_buffer(spread)]
+    )
+    return pc.split_pattern(whole, " ").flatten(), counts
+
+
 CUTS = {"drop": (_drop_keys, str), "lead": (_lead_keys, _lead_part)}
 
 
@@ -119,24 +144,21 @@ class Pieces:
         word with its comma are those of the word, often known, and those of the comma. Letters are
         meant as the tokenizer sees them: composed and in lower case some end in a mark of their own."""
         asked: dict[str, None] = {}
-        marked = []
+        marked, cores, tails = [], [], []
         for key in new:
             core = key if key.isalpha() else key.rstrip(string.punctuation)
             if core != key and _letters(core.lstrip("\0")):
-                tail = self.whole + key[len(core) :]
-                marked.append((key, core, tail))
-                if core not in self.where:
-                    asked[core] = None
-                if tail not in self.where:
-                    asked[tail] = None
+                marked.append(key)
+                cores.append(core)
+                tails.append(self.whole + key[len(core) :])
             else:
                 asked[key] = None
+        asked |= dict.fromkeys(filterfalse(self.where.__contains__, chain(cores, tails)))
         if asked:
             self._ask(list(asked))
         if marked:
-            at = np.array([[self.where[core], self.where[tail]] for _, core, tail in marked])
-            flat = self._gather(at.ravel())
-            self._add([key for key, _, _ in marked], flat, self.length[at].sum(axis=1))
+            at = np.fromiter(map(self.where.__getitem__, chain(cores, tails)), np.int64, 2 * len(marked)).reshape(2, -1)
+            self._add(marked, self._gather(at.T.ravel()), self.length[at].sum(axis=0))
 
     def _gather(self, at: np.ndarray) -> np.ndarray:
         lengths = self.length[at]
@@ -163,12 +185,12 @@ class Pieces:
         for spaced, run in groupby(map(self._keys, texts), lambda keys: isinstance(keys, str)):
             run = list(run)
             if spaced:
-                runs.append(pc.split_pattern(pa.array([" ".join(run)], pa.large_string()), " ").flatten())
-                counts += [keys.count(" ") + 1 for keys in run]
+                cut, n = _before_marks(run)
             else:
-                runs.append(pa.array(chain.from_iterable(run), pa.large_string()))
-                counts += map(len, run)
-        return pa.concat_arrays(runs), np.array(counts, np.int64)
+                cut, n = pa.array(chain.from_iterable(run), pa.large_string()), list(map(len, run))
+            runs.append(cut)
+            counts.append(np.array(n, np.int64))
+        return pa.concat_arrays(runs), np.concatenate(counts)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by the end id, and the ids of each text.

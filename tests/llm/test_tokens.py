@@ -64,6 +64,18 @@ def test_each_word_is_asked_once_and_many_words_together(monkeypatch):
     assert np.array_equal(plain.encode(texts)[0], flat)
 
 
+def test_marks_behind_letters_are_no_new_words():
+    draw = np.random.default_rng(6)
+    ends = [",", ".", "!", "?", ";", ":", "...", ",.", ").", '".', "'s.", "1.", "1,", ".a,", "é,", "é;.", "한.", "'.", "x's,"]
+    texts = [" ".join(f"word{e}" for e in draw.choice(ends, 40)) for _ in range(50)] + TEXTS
+    texts += ["a.", ".", "a,\nb.\n", ", a", "a .", "a,b, c", "a.\nb,\nÉ. e.", "it's. 's, 'll."]
+    mine, whole = tokens.Pieces(BYTE, "lead", 7), Tokenizer.from_file(BYTE)
+    flat, counts = mine.encode(texts)
+    got = np.split(flat, np.cumsum(counts)[:-1])
+    assert [p.tolist() for p in got] == [[*whole.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+    assert "word" in mine.where and not {"word,", "word.", "word!"} & set(mine.where)
+
+
 def test_little_padding_over_many_partitions(docs_of):
     draw = np.random.default_rng(2)
     docs = docs_of([(i, "some words of a text " * int(draw.integers(1, 300))) for i in range(1500)])
