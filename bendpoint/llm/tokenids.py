@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, bounded, fresh_names, whole_text
-from .tokens import AT_ONCE_CHARS, pieces
+from .tokens import pieces
 
 BLOCK_IDS = 1 << 19
+AT_ONCE_BYTES = 1 << 22  # of text that is encoded at once
 LEAST_COUNT = 8
 TABLE_BITS = 18
 SCHEMA = (
@@ -185,8 +186,8 @@ def _encode(path: str, cut: str, end_id: int, base: int, block_ids: int):
             )
 
         for batch in batches:
-            for part in bounded(batch, "text", AT_ONCE_CHARS):
-                flat, counts = pieces(path, cut, end_id).encode(part.column("text").to_pylist())
+            for part in bounded(batch, "text", AT_ONCE_BYTES):
+                flat, counts = pieces(path, cut, end_id).encode(part.column("text").to_pylist(), AT_ONCE_BYTES)
                 docs, ends = part.column("doc_id").to_pylist(), np.concatenate([[0], np.cumsum(counts)])
                 low = 0
                 while low < len(docs):  # a block ends with the document that fills it

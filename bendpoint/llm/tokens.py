@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 from .common import kept
 
-AT_ONCE_CHARS = 1 << 21
+AT_ONCE_CHARS = 1 << 20
 ASK_KEYS = 512
 CACHE_PIECES = 1_200_000
 CACHE_CHARS = 1 << 24
@@ -192,16 +192,16 @@ class Pieces:
             counts.append(np.array(n, np.int64))
         return pa.concat_arrays(runs), np.concatenate(counts)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], at_once: int = AT_ONCE_CHARS) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by the end id, and the ids of each text.
 
-        A key is looked up once for some AT_ONCE_CHARS of text, however often it is there.
+        A key is looked up once for some `at_once` characters, however often it is there.
         """
         flats, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         low = 0
         while low < len(texts):
             high, chars = low, 0
-            while high < len(texts) and chars < AT_ONCE_CHARS:
+            while high < len(texts) and chars < at_once:
                 chars += len(texts[high])
                 high += 1
             keys, n = self._all_keys(texts[low:high])
