@@ -1,14 +1,18 @@
 """License notices, fill-in-middle and collocations against plain Python on small tables."""
 
 import hashlib
+import pickle
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bendpoint.llm import collocations, fim, licenses
+from bendpoint.llm import collocations, common, fim, licenses
 
 from .conftest import rows
 
@@ -217,3 +221,85 @@ def test_long_text_is_cut_between_pieces():
     data = b"a b.c d e.f.g h i j k"
     for size in range(1, 30):
         assert b".".join(collocations._cut(data, size)) == data
+
+
+def test_words_are_split_a_part_at_a_time(monkeypatch):
+    monkeypatch.setattr(collocations, "SPLIT_BYTES", 7)
+    for data in (b"", b"a", b" . ", b"ab.c d  e f.. gh ijklmnopqrstu v w", b"a.b.c.d.e.f.g.h.i.j k l.m n o p"):
+        parts = list(collocations._tokens(data))
+        assert [w for part in parts for w in part] == data.replace(b".", b" . ").split()
+    assert len(parts) > 1
+
+
+def memory_of(func):
+    """The result, and the most bytes that numpy, Python and Arrow held on the way."""
+    held = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        out = func()
+        return out, tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() - held
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_chunk_takes_few_bytes_an_occurrence():
+    """A task's memory beside the text: 200,000 occurrences of 20,000 words, nearly all pairs different."""
+    n, words = 200_000, 20_000
+    groups = np.random.default_rng(3).integers(0, words, n)
+    row = {
+        "chunk": pa.scalar(5),
+        "lang": pa.scalar("en"),
+        "n": pa.scalar(n),
+        "places": pa.scalar(collocations._pack(np.ones(n, np.int64))),
+        "groups": pa.scalar(collocations._pack(groups)),
+    }
+    ids = np.random.default_rng(4).permutation(1 << 20)[:words]
+    ids[::7] = -1
+    collocations._extended(row, ids)
+    out, most = memory_of(lambda: collocations._extended(row, ids))
+    assert most < 90 * n
+    at = np.flatnonzero((ids[groups[:-1]] >= 0) & (ids[groups[1:]] >= 0))
+    keys = out.column("keys")[0].values
+    got = collocations._unpack(out.column("groups")[0], len(at))
+    assert np.array_equal(np.cumsum(collocations._unpack(out.column("places")[0], len(at))), at + 1)
+    assert np.array_equal(np.asarray(keys.field("left"))[got], ids[groups[at]])
+    assert np.array_equal(np.asarray(keys.field("right"))[got], ids[groups[at + 1]])
+    assert np.array_equal(np.asarray(out.column("counts")[0].values), np.bincount(got))
+
+
+def test_known_words_take_few_bytes_a_word():
+    n = 50_000
+    rows_ = pa.table({"lang": ["en"] * n + ["de"], "word": [f"w{i}" for i in range(n)] + ["w1"], "id": range(n + 1)})
+    packed = pickle.dumps(collocations.KnownWords(rows_))
+    known, most = memory_of(lambda: pickle.loads(packed))
+    assert most < 64 * n
+
+    def ask(lang, *words):
+        return known({"lang": pa.scalar(lang), "keys": pa.scalar(list(words), pa.list_(pa.string()))}).tolist()
+
+    assert ask("en", "w7", "none", "w0") == [7, -1, 0]
+    assert ask("de", "w0", "w1") == [-1, n]
+    assert ask("fr", "w0") == [-1] and ask("en") == []
+
+
+def test_batches_are_short_for_a_while(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+
+    def sizes():
+        counted = common.arrow_map(df, lambda batches: (pa.record_batch({"n": [b.num_rows]}) for b in batches), "n bigint")
+        return [r.n for r in counted.collect()]
+
+    before = spark.conf.get(name, None)
+    assert sizes() == [60]
+    with common.short_batches(spark, 50_000):
+        short = sizes()
+    assert sum(short) == 60 and max(short) <= 6
+    assert spark.conf.get(name, None) == before
+    spark.conf.set(name, "1m")
+    try:
+        with pytest.raises(ValueError), common.short_batches(spark):
+            raise ValueError
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)
